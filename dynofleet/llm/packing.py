@@ -26,28 +26,66 @@ _MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("
 _BIN = "used int, members array<struct<doc_id:bigint,piece:int,start:bigint,length:int,ids_crc32:bigint,offset:bigint>>, open boolean"
 
 
+#: Marks at the end of a word that stand alone for the tokenizer when a letter comes before them.
+_TAIL = re.compile(r"(?<=[A-Za-z])[.,;:?!#*$%&]+\Z")
+#: A special token, taken out before anything else is done: it keeps the words of a long string apart.
+_APART, _APART_ID = "<|startoftext|>", 49406
+
+
 class WordIds:
     """Distinct blank-separated words -> their ids as little-endian bytes, each tokenised once.
 
     The tokenizer of this vocabulary splits at white space and drops it, and none of its
     normalisers looks across a blank, so the ids of a text are those of its words in order.
+    New words go to the library a few thousand at once, with a special token between them; a word
+    that ends in marks after an ASCII letter is looked up without them first, as letters and marks
+    are split anyway. The table is emptied when it holds ``limit`` bytes, about 200 for a word.
     """
 
-    def __init__(self, path: str, limit: int = 24_000_000):
+    kept: dict[str, WordIds] = {}
+
+    def __init__(self, path: str, limit: int = 200_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        if self.lib.token_to_id(_APART) != _APART_ID:
+            raise ValueError("this vocabulary has another special token")
         self.limit, self.held = limit, 0
         self.ids: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    def of_worker(cls, path: str) -> WordIds:
+        """The table of this Python worker: its later tasks find the words of the earlier ones."""
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def _keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.ids.update(zip(words, ids, strict=True))
+        self.held += sum(map(len, words)) + 180 * len(words)
+
+    def _tokenise(self, words: list[str], at_once: int = 4096) -> None:
+        for w in (w for w in words if _APART in w):
+            self._keep([w], [np.array(self.lib.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()])
+        words = [w for w in words if _APART not in w]
+        for i in range(0, len(words), at_once):
+            some = words[i : i + at_once]
+            ids = np.array(self.lib.encode_batch_fast([_APART.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut, data = np.flatnonzero(ids == _APART_ID).tolist(), ids.tobytes()
+            self._keep(some, [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)], strict=True)])
+
     def add(self, words: set[str]) -> None:
         if self.held > self.limit:
             self.ids, self.held = {"": b""}, 0
-        new = [w for w in words if w not in self.ids]
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, dtype="<u4").tobytes()
-        self.held += sum(len(w) + 120 for w in new)
+        get = self.ids.get
+        new = [w for w in words if get(w) is None]
+        ending = [(w, m.start()) for w in new if (m := _TAIL.search(w))]
+        tailed = {w for w, _ in ending}
+        parts = {w for w in new if w not in tailed}
+        parts.update(x for w, k in ending for x in (w[:k], w[k:]) if get(x) is None)
+        self._tokenise(list(parts))
+        self._keep([w for w, _ in ending], [self.ids[w[:k]] + self.ids[w[k:]] for w, k in ending])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if "\n" in t else t.split(" ") for t in texts]
@@ -133,7 +171,7 @@ def pack(
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sizes, members = WordIds(tokenizer), [], []
+        words, sizes, members = WordIds.of_worker(tokenizer), [], []
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
