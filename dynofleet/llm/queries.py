@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dynofleet.llm import packing, subword
+from dynofleet.llm import boosting, chunking, packing, rules, setjoin, subword
 from dynofleet.llm.common import table
 
 
@@ -20,10 +21,29 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.round_trip_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.removal_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = boosting.learn(docs, table(spark, sf_dir, "labels"))
+    return boosting.score(docs, model).select("doc_id", boosting.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judged(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

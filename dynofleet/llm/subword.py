@@ -17,15 +17,18 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class ChunkTable:
-    """Distinct marked words -> ids, filled by the library, emptied when it holds ``limit`` characters."""
+    """Distinct marked words -> ids, filled by the library, emptied when it holds about ``limit`` bytes."""
 
-    def __init__(self, model: str, limit: int = 24_000_000):
+    kept: dict[str, ChunkTable] = {}
+
+    def __init__(self, model: str, limit: int = 200_000_000):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -35,6 +38,13 @@ class ChunkTable:
         self.limit, self.held = limit, 0
         self.ids: dict[str, tuple[int, ...]] = {}
 
+    @classmethod
+    def of_worker(cls, model: str) -> ChunkTable:
+        """The table of this Python worker: its later tasks find the words of the earlier ones."""
+        if model not in cls.kept:
+            cls.kept[model] = cls(model)
+        return cls.kept[model]
+
     def add(self, chunks: set[str]) -> None:
         if self.held > self.limit:
             self.ids, self.held = {}, 0
@@ -42,7 +52,7 @@ class ChunkTable:
         # The library puts a marker in front itself; one marker alone has no text that gives it.
         for c, ids in zip(new, self.lib.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1), strict=True):
             self.ids[c] = tuple(ids) if len(c) > 1 else (self.lib.piece_to_id(MARK),)
-        self.held += sum(len(c) + 60 for c in new)
+        self.held += sum(map(len, new)) + 250 * len(new)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of every text, exactly as the library gives them for the whole text."""
@@ -70,7 +80,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model)
+        table = ChunkTable.of_worker(model)
         for batch in batches:
             texts = [t or "" for t in batch.column("text_").to_pylist()]
             for lo, hi in _by_size(texts):
@@ -79,7 +89,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, "ids"])
 
     source = docs.select(*keep, docs[text].alias("text_"))
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
     return source.mapInArrow(work, schema)
 
 
@@ -104,7 +114,7 @@ def round_trip_digests(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model)
+        table = ChunkTable.of_worker(model)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in _by_size(texts):
