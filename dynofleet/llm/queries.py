@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dynofleet.llm import boosting, chunking, packing, rules, setjoin, subword
+from dynofleet.llm import boosting, chunking, hosts, licences, neighbours, packing, rules, setjoin, subword, suffixes
 from dynofleet.llm.common import table
 
 
@@ -25,6 +25,28 @@ def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.deduplicated(table(spark, sf_dir, "documents"), length=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+URL_RULES = [
+    hosts.UrlRule("com/", "allow"),
+    hosts.UrlRule("example.com/en/", "block"),
+    hosts.UrlRule("www.example.com/en/", "allow"),
+    hosts.UrlRule("net/es/", "block"),
+    hosts.UrlRule("net/fr/", "block"),
+]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = boosting.learn(docs, table(spark, sf_dir, "labels"))
@@ -35,6 +57,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 

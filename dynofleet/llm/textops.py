@@ -65,13 +65,13 @@ class Slice:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of bytes outside 0x20 and 0x09-0x0D: starts, ends, 64-bit hashes, and offsets by text."""
+    def words(self, lower: bool = False, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of bytes outside ``apart`` (0x20 and 0x09-0x0D): starts, ends, 64-bit hashes, and offsets by text."""
         b = self.data
         if not len(b):
             none = np.zeros(0, np.int64)
             return none, none, none.astype(np.uint64), np.zeros(self.n + 1, np.int64)
-        inside = ~_SPACE[b]
+        inside = ~apart[b]
         first = np.zeros(len(b) + 1, dtype=bool)  # a text starts here
         first[self.offsets] = True
         before = np.empty(len(b) + 1, dtype=bool)
