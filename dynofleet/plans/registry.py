@@ -1,11 +1,15 @@
-"""All registered queries of the engine-tuning side."""
+"""All registered queries of the engine-tuning side, and their SQL."""
 
 from __future__ import annotations
 
+from dynofleet.plans import dense
+
+MODULES = (dense,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
