@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dynofleet.plans import dense
+from dynofleet.plans import dense, records, sparse
 
-MODULES = (dense,)
+MODULES = (dense, sparse, records)
 
 
 def queries() -> dict:

@@ -87,12 +87,29 @@ def step_sql(x: str, width: int) -> str:
 def sparse_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_id = user; samples in order of time; channels are event types.
 
-    Restarts and corrupt stamps are put in by formula: from every 20th event id on, time begins
-    anew; every 37th event is 10,000,000 s late.
+    Restarts and corrupt stamps are put in by formula: time begins anew with every 20th row of a
+    log, and every 37th row is 10^9 s late.
     """
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    raw = (F.unix_micros("ts") / 1_000_000).cast("double")
-    n = F.row_number().over(w)
-    rows = e.select(F.col("user_id").cast("string").alias("log_id"), n.cast("long").alias("row_no"), raw.alias("t"), F.col("event_type").alias("channel"), "value")
-    return rows
+    session = Window.partitionBy("user_id", F.floor((F.col("row_no") - 1) / 20))
+    rows = e.select("user_id", F.row_number().over(w).cast("long").alias("row_no"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("raw"), "event_type", "value")
+    late = F.when(F.col("row_no") % 37 == 0, 1e9).otherwise(0.0)
+    return rows.select(F.col("user_id").alias("log_id"), "row_no", (F.col("raw") - F.min("raw").over(session) + late).alias("t"), F.col("event_type").alias("channel"), "value")
+
+
+SPARSE_SQL = """
+numbered AS (SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_no, epoch_us(ts) / 1000000 AS raw, event_type AS channel, value FROM events),
+sparse AS (SELECT log_id, row_no, raw - min(raw) OVER (PARTITION BY log_id, (row_no - 1) // 20) + CASE WHEN row_no % 37 = 0 THEN CAST(1000000000 AS DOUBLE) ELSE 0 END AS t, channel, value FROM numbered),
+gaps AS (SELECT log_id, t - lag(t) OVER (PARTITION BY log_id ORDER BY row_no) AS g FROM sparse),
+med AS (SELECT log_id, percentile_disc(0.5) WITHIN GROUP (ORDER BY g DESC) AS m FROM gaps WHERE g > 0 GROUP BY log_id),
+walk AS (SELECT s.log_id, s.row_no, s.t AS p, CAST(0 AS DOUBLE) AS off, 1 AS sessions, 0 AS dropped, TRUE AS ok, s.t FROM sparse s WHERE row_no = 1
+  UNION ALL
+  SELECT s.log_id, s.row_no, CASE WHEN s.t - w.p > greatest(60, m.m * 1000) THEN w.p ELSE s.t END,
+    CASE WHEN s.t < w.p THEN w.off + w.p + m.m - s.t ELSE w.off END,
+    CASE WHEN s.t < w.p THEN w.sessions + 1 ELSE w.sessions END,
+    CASE WHEN s.t - w.p > greatest(60, m.m * 1000) THEN w.dropped + 1 ELSE w.dropped END,
+    NOT s.t - w.p > greatest(60, m.m * 1000), s.t
+  FROM walk w JOIN sparse s ON s.log_id = w.log_id AND s.row_no = w.row_no + 1 JOIN med m ON m.log_id = w.log_id),
+normal AS (SELECT w.log_id, w.row_no, sign(w.t + w.off) * floor(abs(w.t + w.off) * CAST(1000 AS DOUBLE) + 0.5) / CAST(1000 AS DOUBLE) + 0.0 AS t, s.channel, s.value FROM walk w JOIN sparse s USING (log_id, row_no) WHERE w.ok)
+"""
