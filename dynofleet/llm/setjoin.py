@@ -14,10 +14,13 @@ Which layout, and how many spare segments E, is chosen for every band pair by co
 pairs expected from chance, from the counts of distinct sets by band, which Spark has counted.
 
 Equal sets collapse to one node before anything is compared. A group of nodes with the same key is
-not expanded into pairs: its most popular node is verified against the others; where that leaves
-several components, the few nodes outside the largest one are compared with the rest, and a group
-with many of those is cut again by another hash of the universe. Verification counts the common
-shingles of two whole sets.
+not expanded into pairs: its most popular node, the pivot p, is verified against the others. Where
+that leaves several components, the group is cut by what its nodes differ in from p. Let D(x) be the
+symmetric difference of x and p. If x and y link but not both of them link to p, then D(x) and D(y)
+overlap, and by at least |D(x)| - H(x) tokens, H(x) being the most that x may differ from a linked
+set. So the H(x) + 1 first tokens of D(x) in hash order hold one of y's, and are the keys of the next
+round. Near copies of one text, changed in different places, share hardly any. Verification counts
+the common shingles of two whole sets.
 """
 
 from __future__ import annotations
@@ -39,10 +42,8 @@ from dynofleet.llm.textops import Slice, distinct_by_text, mix, shingles, slices
 SHARED_TOKEN, PAIR_COST = 0.01, 20.0
 #: Groups up to this size are compared pair by pair (15 pairs).
 SMALL_GROUP = 6
-#: Nodes outside the largest component of a group that are compared with all of it at once.
-FEW_OTHERS = 32
-#: Times that a group with more of them is cut again before they are compared all the same.
-CUTS = 4
+#: Times that a group is cut before what is left of it is compared pair by pair all the same.
+CUTS = 6
 
 
 @dataclass(frozen=True)
@@ -203,47 +204,42 @@ def _shared(index: DataFrame, node: str) -> DataFrame:
     return index.join(keys.filter("lo < hi and any").select("key"), "key")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * common >= num * union, from the whole sets."""
+_VERIFIED = "a long, b long, linked boolean, keys array<bigint>"
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, keys: bool = False) -> DataFrame:
+    """a, b, linked of pairs (a, b): is den * common >= num * union, from the whole sets?
+
+    ``keys``: a is a pivot, and b's keys for the next round come along.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            linked, found = np.zeros(batch.num_rows, dtype=bool), []
+            pivots = batch.column("a").to_numpy()
             for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
                 one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(one) > len(two):
-                    one, two = two, one
-                at = np.searchsorted(two, one)
-                common = int((two[np.minimum(at, len(two) - 1)] == one).sum())
-                keep[i] = den * common >= num * (len(one) + len(two) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")], names=["a", "b"])
+                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+                both = two[at] == one
+                common = int(both.sum())
+                linked[i] = den * common >= num * (len(one) + len(two) - common)
+                if keys:
+                    rest = np.ones(len(two), dtype=bool)
+                    rest[at[both]] = False
+                    with np.errstate(over="ignore"):
+                        order = np.sort(mix(np.concatenate((one[~both], two[rest])) + mix(pivots[i : i + 1].view(np.uint64))))
+                    found.append(order[: len(two) * (den - num) // num + 1].view(np.int64))
+                else:
+                    found.append(np.zeros(0, np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked), lists], names=["a", "b", "linked", "keys"])
 
     of = lambda node, name: sets.select(F.col("node").alias(node), F.col("n").alias(f"n{node}"), F.col("held").alias(name))
     both = pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a")
-    lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
-    return both.filter(den * lo >= num * hi).select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
-
-
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes x and y that share a key."""
-    both = left.join(right, "key").filter("x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _recut(groups: DataFrame, sets: DataFrame, bands: Bands, layouts: list[Layout | None], seed: int) -> DataFrame:
-    """The groups (key, node) cut by another hash: keys of the old group and a segment of the new cut."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("held")]
-            if not held:
-                continue
-            owner, key, whole = index_keys(np.concatenate(held), np.concatenate(([0], np.cumsum([len(x) for x in held]))), bands, layouts, seed)
-            old = batch.column("key").to_numpy().view(np.uint64)[owner]
-            new = mix(old ^ mix(key)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(batch.column("node").to_numpy()[owner]), pa.array(whole)], names=["key", "node", "whole"])
-
-    return groups.join(sets, "node").select("key", "node", "held").mapInArrow(work, "key long, node long, whole boolean")
+    if not keys:  # sizes too far apart can't link
+        both = both.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(work, _VERIFIED)
 
 
 def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
@@ -262,44 +258,38 @@ def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> Data
     counts = {r["band"]: r["count"] for r in nodes.groupBy(band.alias("band")).count().collect()}
     layouts = bands.layouts(counts)
 
-    found = _shared(_index(docs, k, bands, layouts), "d1").distinct().join(nodes.select("d1", "node"), "d1").select("key", "node", "whole")
-    groups = stored(found)
+    found = _shared(_index(docs, k, bands, layouts), "d1").distinct().join(nodes.select("d1", "node"), "d1")
+    groups = stored(found.select("key", "node", F.col("node").alias("component"), "whole"))
     sets = stored(_sets(docs, groups.select("node").distinct().join(nodes, "node"), k))
     all_links: DataFrame | None = None
     for cut in range(CUTS + 1):
-        size = groups.groupBy("key").agg(F.count("*").alias("size"))
-        sized = groups.join(size, "key")
-        # The most popular node stands in the most and largest groups; later cuts take another one.
+        sized = groups.join(groups.groupBy("key").agg(F.count("*").alias("size")), "key")
+        small = sized.filter((F.col("size") <= SMALL_GROUP) | F.lit(cut == CUTS))
+        side = lambda x, c: small.select("key", F.col("node").alias(x), F.col("component").alias(c))  # noqa: E731, B023
+        few = side("a", "ca").join(side("b", "cb"), "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+        all_links = _more(all_links, stored(_verified(few, sets, num, den).filter("linked").select("a", "b")))
+        if cut == CUTS:
+            break
+        # The most popular node stands in the most and largest groups; later rounds take any.
         weight = sized.groupBy("node").agg((F.sum("size") if cut == 0 else F.min(F.xxhash64("node", F.lit(cut)))).alias("weight"))
         big = sized.filter(F.col("size") > SMALL_GROUP).join(weight, "node")
-        pivots = big.groupBy("key").agg(F.max_by("node", F.struct("whole", "weight", -F.col("node"))).alias("y"))
-        small = sized.filter(F.col("size") <= SMALL_GROUP)
-        x = F.col("node").alias("x")
-        star = _pairs(big.select("key", x), pivots)
-        few = _pairs(small.select("key", x), small.select("key", F.col("node").alias("y")))
-        all_links = _more(all_links, stored(_verified(star.union(few).distinct(), sets, num, den)))
-        left = big.select("key", "node", "whole")
-        if left.limit(1).count() == 0:
+        pivots = stored(big.groupBy("key").agg(F.max_by("node", F.struct("whole", "weight", -F.col("node"))).alias("a")))
+        if pivots.limit(1).count() == 0:
             break
-        # Big groups that still hold several components.
+        starred = big.select("key", F.col("node").alias("b")).join(pivots, "key").filter("a <> b")
+        star = stored(_verified(starred.select("a", "b").distinct(), sets, num, den, keys=True))
+        all_links = _more(all_links, star.filter("linked").select("a", "b"))
+        # Pivots of groups that still hold several components: their stars are cut.
         labels = components(all_links)
-        named = left.join(labels, "node", "left").select("key", "node", "whole", F.coalesce("component", "node").alias("component"))
-        named = stored(named)
-        parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n")).filter("parts > 1")
-        named = named.join(open_keys, "key")
-        here = F.col("size") - F.col("main_n") <= FEW_OTHERS if cut < CUTS else F.lit(True)
-        few = named.filter(here)
-        others = few.filter("component <> main").select("key", x, F.col("component").alias("cx"))
-        rest = few.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-        pairs = _pairs(others.join(rest, "key").filter("cx <> cy").select("key", "x"), rest.select("key", "y")) if False else (
-            others.join(rest, "key").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        )
-        all_links = _more(all_links, stored(_verified(pairs, sets, num, den)))
-        many = named.filter(~here).select("key", "node")
-        if cut == CUTS or many.limit(1).count() == 0:
+        named = starred.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+        of_pivot = labels.select(F.col("node").alias("a"), F.col("component").alias("own"))
+        left = named.join(of_pivot, "a", "left").filter(F.col("component") != F.coalesce("own", "a")).select("a").distinct()
+        again = star.join(left, "a").select("b", F.explode("keys").alias("key"))
+        again = again.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").select("key", F.col("b").alias("node"), F.coalesce("component", "b").alias("component"))
+        mixed = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        groups = stored(again.join(mixed, "key").distinct().withColumn("whole", F.lit(True)))
+        if groups.limit(1).count() == 0:
             break
-        groups = stored(_shared(_recut(many, sets, bands, layouts, cut + 1), "node").distinct())
     return all_links
 
 
