@@ -121,7 +121,7 @@ def resample_hold(samples: DataFrame, step_ms: int = 100, factor: float = 3.0, l
     w = Window.partitionBy("log_id", "channel").orderBy("k")
     held = grid.join(last, ["log_id", "channel", "k"], "left").withColumn("s", F.last("s", ignorenulls=True).over(w))
     label = F.when(F.col("k") == F.col("n"), F.col("t1")).otherwise(F.col("t0") + F.col("k") * step_ms)
-    out = held.withColumn("label", label).filter(F.col("s").isNotNull() & ((F.col("label") - F.col("s.ms")) <= F.col("hold") * 1000))
+    out = held.withColumn("label", label).filter(F.col("s").isNotNull() & ((F.col("label") - F.col("s.ms")) <= F.floor(F.col("hold") * 1000 + 0.5)))
     return out.select("log_id", "k", (F.col("label") / 1000).alias("t"), "channel", F.col("s.value").alias("value"))
 
 

@@ -20,7 +20,7 @@ KINDS = {524288: "P01", 1048576: "P59"}
 SEGMENTS = ("EngineCal", "EngineDiag", "TransCal", "TransDiag", "Fuel", "System", "Speedo")
 SYSTEM_LENGTH = {524288: 0x5FFFE, 1048576: 0xDFFFE}
 
-SCHEMA = T.StructType.fromDDL(
+SCHEMA = (
     """path string, length long, kind string, detected boolean, os_id long, os_version string, eeprom_style int,
     os_checksum struct<stored:int,calculated:int,ok:boolean>,
     segments array<struct<name:string,start:bigint,length:bigint,cal_id:bigint,version:string,stored:int,calculated:int,ok:boolean,error:string>>,
@@ -28,6 +28,11 @@ SCHEMA = T.StructType.fromDDL(
 )
 
 
+FIELDS = (
+    "path", "length", "kind", "detected", "os_id", "os_version", "eeprom_style", "os_checksum", "segments", "vin", "serial", "broadcast_code", "hardware_id", "warnings", "failed", "verdict",
+)
+
+
 def image_detect(content: Column) -> Column:
     """Is it an image: one of the two sizes, and a valid first segment."""
     return F.octet_length(content).isin(*KINDS) & (F.hex(F.substring(content, 0x504, 1)) == "01")
@@ -67,7 +72,7 @@ def _eeprom(data: np.ndarray) -> tuple[int, int] | None:
 def read_image(path: str, content: bytes) -> dict:
     """All readings of one image, as a row of SCHEMA; what can't be read is null and told in warnings."""
     data, warnings = np.frombuffer(content, np.uint8), []
-    out = dict.fromkeys(SCHEMA.names) | {"path": path, "length": len(data), "detected": False, "warnings": warnings}
+    out = dict.fromkeys(FIELDS) | {"path": path, "length": len(data), "detected": False, "warnings": warnings}
     if len(data) not in KINDS:
         warnings.append(f"unexpected size of {len(data)} bytes")
         return out
@@ -113,16 +118,17 @@ def _arrow(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
 
 def analyze_images(images: DataFrame) -> DataFrame:
     """A row of SCHEMA for every image (path, content)."""
+    schema = T.StructType.fromDDL(SCHEMA)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield _arrow([read_image(batch.column("path")[i].as_py(), batch.column("content")[i].as_py())], SCHEMA)
+                yield _arrow([read_image(batch.column("path")[i].as_py(), batch.column("content")[i].as_py())], schema)
 
-    return images.select("path", "content").mapInArrow(work, SCHEMA)
+    return images.select("path", "content").mapInArrow(work, schema)
 
 
-REGIONS = T.StructType.fromDDL("a string, b string, total_changed long, identical boolean, size_mismatch boolean, regions array<struct<name:string,changed:bigint>>")
+REGIONS = "a string, b string, total_changed long, identical boolean, size_mismatch boolean, regions array<struct<name:string,changed:bigint>>"
 
 
 def compare_images(pairs: DataFrame, images: DataFrame) -> DataFrame:
@@ -130,6 +136,7 @@ def compare_images(pairs: DataFrame, images: DataFrame) -> DataFrame:
 
     Contents join the pairs last, once for each side.
     """
+    schema = T.StructType.fromDDL(REGIONS)
     of = lambda side: images.select(F.col("path").alias(side), F.col("content").alias(f"data_{side}"))
     both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
 
@@ -146,6 +153,6 @@ def compare_images(pairs: DataFrame, images: DataFrame) -> DataFrame:
                     spans = [("header", 0, 0x4000), ("eeprom", 0x4000, 0x4000), ("system", 0x20000, SYSTEM_LENGTH[len(x)])]
                     spans += [(s["name"], s["start"], s["length"]) for s in info["segments"] if not s["error"]]
                     out["regions"] = [{"name": m, "changed": int(differ[p : p + k].sum())} for m, p, k in spans]
-                yield _arrow([out], REGIONS)
+                yield _arrow([out], schema)
 
-    return both.select("a", "b", "data_a", "data_b").mapInArrow(work, REGIONS)
+    return both.select("a", "b", "data_a", "data_b").mapInArrow(work, schema)
