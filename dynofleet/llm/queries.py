@@ -75,5 +75,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: Every 100-byte string with its first place, and the bytes that no later one covers.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pos AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS byte, CASE WHEN 2 * p + 200 <= length(h) THEN md5(substr(h, 2 * p + 1, 200)) END AS string FROM pos),
+k AS (SELECT *, row_number() OVER (PARTITION BY string ORDER BY doc_id, p) AS n FROM s),
+c AS (SELECT *, coalesce(max(CASE WHEN string IS NOT NULL AND n > 1 THEN p END) OVER (PARTITION BY doc_id ORDER BY p) >= p - 99, FALSE) AS gone FROM k),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS begins FROM c),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+#: All pairs that share a shingle, and what links reach.
+OP7_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS i, l FROM w WHERE len(l) > 0),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(l[i:i + 2], chr(1))) AS h FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 90 * (x.n + y.n - both_)),
+t AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS id, b AS seen FROM t UNION SELECT r.id, t.b FROM r JOIN t ON t.a = r.seen)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(seen) AS low FROM r GROUP BY id) m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express: the others learn, search or tokenise, and are tested by brute force."""
+    return {"op4_suffixes": OP4_SQL, "op7_jaccard": OP7_SQL}
