@@ -17,6 +17,8 @@ from dynofleet.llm.common import shared_dir, table
 
 #: Documents that the classifier scores below this go. Lower than the 0.7 of its query: in doubt a document stays.
 KEEP_FROM = 0.5
+#: Bytes of a worker's word table, small as the workers go on to serve other stages.
+TABLE_BYTES = 50_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of the remaining documents, packed into sequences of 4096 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), table_bytes=TABLE_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

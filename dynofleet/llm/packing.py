@@ -55,10 +55,11 @@ class WordIds:
         self.ids: dict[str, bytes] = {"": b""}
 
     @classmethod
-    def of_worker(cls, path: str) -> WordIds:
+    def of_worker(cls, path: str, limit: int) -> WordIds:
         """The table of this Python worker: its later tasks find the words of the earlier ones."""
         if path not in cls.kept:
             cls.kept[path] = cls(path)
+        cls.kept[path].limit = limit
         return cls.kept[path]
 
     def _keep(self, words: list[str], ids: list[bytes]) -> None:
@@ -160,18 +161,20 @@ def pack(
     slack: int = 16,
     fan_in: int = 8,
     task_items: int = 50_000,
+    table_bytes: int = 200_000_000,
 ) -> DataFrame:
     """Packs all texts; one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A text (null: empty) is its ids and ``end_id``. Only longer ones than ``capacity`` are cut, into
     pieces of ``capacity``; the last may be shorter. A bin with at most ``slack`` places left counts
     as full. ``task_items`` bounds the items that one task packs at once; a partition with more is
-    packed in several runs, whose open bins meet again in the next round.
+    packed in several runs, whose open bins meet again in the next round. ``table_bytes`` bounds the
+    word table that a Python worker keeps, also when later stages of another kind run in it.
     Repeated rows are packed as often as they come; an empty table gives no rows.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sizes, members = WordIds.of_worker(tokenizer), [], []
+        words, sizes, members = WordIds.of_worker(tokenizer, table_bytes), [], []
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
