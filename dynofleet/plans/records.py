@@ -15,7 +15,7 @@ from dynofleet.functions.roles import BANKS, PATTERNS
 from dynofleet.operators import channels as ch
 from dynofleet.operators import history, scrub
 from dynofleet.plans.standins import half_away_sql as half, table
-from dynofleet.sources import scanner
+from dynofleet.sources import files, logs, scanner
 
 QUERIES, SQL = {}, {}
 
@@ -90,13 +90,13 @@ def _headers(spark, d):
 
 
 def _header_samples(spark, d):
-    """A column is dead where its part costs less than 1,000."""
+    """Every seventh column is dead."""
     p = table(spark, d, "part").withColumn("row_no", F.lit(1).cast("long"))
-    v = F.when(F.col("p_retailprice") >= 1000, F.col("p_retailprice"))
+    v = F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice"))
     return p.select(F.col("p_size").alias("log_id"), "row_no", F.col("p_partkey").alias("ordinal"), v.alias("value_num"), F.lit(None).cast("string").alias("value_str"))
 
 
-_LIVE = f"{_CAND}, live AS (SELECT p_size AS log_id, p_partkey AS ordinal FROM part WHERE p_retailprice >= 1000), lc AS (SELECT c.*, row_number() OVER (PARTITION BY c.log_id, role ORDER BY c.ordinal) AS k FROM cand c JOIN live USING (log_id, ordinal)), used AS (SELECT log_id, role, ordinal, header FROM lc WHERE k = 1 OR role IN ('ltft', 'stft'))"
+_LIVE = f"{_CAND}, live AS (SELECT p_size AS log_id, p_partkey AS ordinal FROM part WHERE p_partkey % 7 <> 0), lc AS (SELECT c.*, row_number() OVER (PARTITION BY c.log_id, role ORDER BY c.ordinal) AS k FROM cand c JOIN live USING (log_id, ordinal)), used AS (SELECT log_id, role, ordinal, header FROM lc WHERE k = 1 OR role IN ('ltft', 'stft'))"
 
 
 @query("detect_unit", f"{_HEAD_CTE}, t AS (SELECT ordinal, header, trim(regexp_extract(header, '[(\\[]([^)\\]]{{1,12}})[)\\]]\\s*$', 1)) AS b, regexp_matches(header, '[(\\[]([^)\\]]{{1,12}})[)\\]]\\s*$') AS has FROM h) SELECT ordinal, header, CASE WHEN NOT has THEN NULL " + " ".join(f"WHEN regexp_matches(b, '{_sql_regex(p)}') THEN '{u}'" for p, u in units.SPELLINGS) + " ELSE b END AS unit FROM t")
@@ -170,7 +170,7 @@ def _(spark, d):
     return ch.bank_average(used, s).withColumn("value", half_away(F.col("value"), 4))
 
 
-@query("log_density", "SELECT log_id, rows, round(CAST(filled AS DOUBLE) / (rows * headers), 3) AS density, CAST(filled AS DOUBLE) / (rows * headers) < 0.9 AS sparse FROM (SELECT p_size AS log_id, CAST(1 AS BIGINT) AS rows, count(*) AS headers, count(*) FILTER (p_retailprice >= 1000) AS filled FROM part GROUP BY p_size)")
+@query("log_density", "SELECT log_id, rows, round(CAST(filled AS DOUBLE) / (rows * headers), 3) AS density, CAST(filled AS DOUBLE) / (rows * headers) < 0.9 AS sparse FROM (SELECT p_size AS log_id, CAST(1 AS BIGINT) AS rows, count(*) AS headers, count(*) FILTER (p_partkey % 7 <> 0) AS filled FROM part GROUP BY p_size)")
 def _(spark, d):
     return ch.log_density(_headers(spark, d), _header_samples(spark, d))
 
@@ -370,3 +370,95 @@ def _vector_cells(spark, d):
     cells = cells.select("image_id", "table_id", "r", F.col("c").cast("long").alias("c"), half_away(F.col("x").cast("double"), 1).alias("value"), F.lit(None).cast("string").alias("x_label"), F.lit(None).cast("string").alias("y_label"))
     pairs = e.select(F.col("vec_id").cast("string").alias("a"), (F.col("vec_id") + 1).cast("string").alias("b"))
     return cells, pairs
+
+
+@query("top_changed_tables", f"""WITH c AS (SELECT vec_id, unnest(range(0, 64)) AS c, unnest(embedding) AS e FROM embeddings), v AS (SELECT vec_id, c, {half('CAST(e AS DOUBLE)', 1)} AS v FROM c)
+SELECT CAST(a.vec_id AS VARCHAR) AS a, CAST(b.vec_id AS VARCHAR) AS b, count(*) FILTER (a.v <> b.v) AS changed FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 AND b.c = a.c GROUP BY ALL HAVING count(*) FILTER (a.v <> b.v) > 0""")
+def _(spark, d):
+    from dynofleet.sources.definitions import cell_diff, top_changed_tables
+
+    return top_changed_tables(cell_diff(*_vector_cells(spark, d))).select("a", "b", "changed")
+
+
+@query("ect_threshold", f"{_LIVE} SELECT log_id, CASE WHEN header LIKE '%(F)%' THEN 160.0 ELSE 71.1 END AS threshold FROM used WHERE role = 'ect'")
+def _(spark, d):
+    return ch.ect_threshold(ch.live_channels(_headers(spark, d), _header_samples(spark, d)))
+
+
+@query("log_warnings", f"""{_LIVE}, sup AS (SELECT log_id, role, min_by(header, ordinal) AS superseded FROM used GROUP BY log_id, role),
+dead AS (SELECT c.log_id, c.role, s.superseded, row_number() OVER (PARTITION BY c.log_id, c.role ORDER BY c.ordinal) AS k FROM cand c LEFT JOIN live l USING (log_id, ordinal) LEFT JOIN sup s ON s.log_id = c.log_id AND s.role = c.role WHERE l.ordinal IS NULL),
+told AS (SELECT log_id FROM dead WHERE (superseded IS NULL AND k = 1) OR (superseded IS NOT NULL AND role NOT IN ('ltft', 'stft')) UNION ALL SELECT log_id FROM (SELECT DISTINCT log_id FROM h) WHERE log_id NOT IN (SELECT log_id FROM used WHERE role = 'ect'))
+SELECT x.log_id, count(t.log_id) AS warnings FROM (SELECT DISTINCT log_id FROM h) x LEFT JOIN told t USING (log_id) GROUP BY x.log_id""")
+def _(spark, d):
+    c, v = _headers(spark, d), _header_samples(spark, d)
+    return ch.log_warnings(ch.live_channels(c, v), ch.silent_channels(c, v), c).select("log_id", F.size("warnings").cast("long").alias("warnings"))
+
+
+@query("definition_match", "SELECT doc_id, source AS os_id, (SELECT max(name) FROM (SELECT d2.source AS os, d2.lang || '_' || d2.source || '.xdf' AS name FROM documents d2) n WHERE n.os = documents.source) AS definition FROM documents")
+def _(spark, d):
+    from dynofleet.sources.definitions import definition_match
+
+    docs = table(spark, d, "documents")
+    defs = docs.select(F.col("source").alias("os_id"), F.concat("lang", F.lit("_"), "source", F.lit(".xdf")).alias("name"))
+    return definition_match(docs.select("doc_id", F.col("source").alias("os_id")), defs)
+
+
+# ---- log files written from events and read back: one file a user
+def _event_lines(spark, d):
+    e = table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select("user_id", F.row_number().over(w).alias("k"), F.floor("value").cast("long").alias("v"), (F.col("event_id") % 4).alias("m"))
+
+
+def _as_files(lines, head):
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda r: r["line"])
+    return lines.groupBy(F.col("user_id").cast("string").alias("log_id")).agg(F.concat(F.lit(head), F.array_join(rows, "\n")).alias("text"))
+
+
+_FILE_SQL = "WITH l AS (SELECT CAST(user_id AS VARCHAR) AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_no, CAST(floor(value) AS BIGINT) AS v, event_id % 4 AS m FROM events)"
+
+
+@query("read_plain_log", f"{_FILE_SQL} SELECT log_id, row_no, CAST(v AS DOUBLE) AS value, CASE WHEN m > 0 THEN 'state' || m END AS state FROM l")
+def _(spark, d):
+    lines = _event_lines(spark, d).withColumn("line", F.concat_ws(",", F.col("k").cast("string"), F.col("v").cast("string"), F.when(F.col("m") > 0, F.concat(F.lit("state"), F.col("m").cast("string"))).otherwise("7")))
+    _, s = logs.parse_logs(_as_files(lines, "Time,Value,State\ns,rpm,\n"))
+    pick = lambda i, c: F.max(F.when(F.col("ordinal") == i, F.col(c)))
+    return s.groupBy("log_id", "row_no").agg(pick(1, "value_num").alias("value"), pick(2, "value_str").alias("state"))
+
+
+@query("read_sectioned_log", f"{_FILE_SQL} SELECT log_id, 'Engine RPM [rpm]' AS header, count(*) FILTER (m > 0) AS n, CAST(sum(v) FILTER (m > 0) AS DOUBLE) AS total FROM l GROUP BY log_id UNION ALL SELECT log_id, 'Coolant (a,b) [°F]', count(*) FILTER (m < 2), CAST(sum(v) FILTER (m < 2) AS DOUBLE) FROM l GROUP BY log_id")
+def _(spark, d):
+    v = F.col("v").cast("string")
+    lines = _event_lines(spark, d).withColumn("line", F.concat_ws(",", F.col("k").cast("string"), F.when(F.col("m") > 0, v).otherwise(""), F.when(F.col("m") < 2, v).otherwise("")))
+    head = "HP Tuners CSV Log File\n\n[Channel Information]\n0,12,5\nOffset,Engine RPM,Coolant (a,b)\ns,rpm,°F\n\n[Channel Data]\n"
+    c, s = logs.parse_logs(_as_files(lines, head))
+    out = c.filter("ordinal > 0").join(s, ["log_id", "ordinal"])
+    return out.groupBy("log_id", "header").agg(F.count("value_num").alias("n"), F.sum("value_num").alias("total"))
+
+
+@query("read_flash_log", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS rev, CASE WHEN o_orderkey % 2 = 0 THEN 'cable' ELSE 'cable · ' || o_orderstatus END AS detail, count(*) AS n FROM orders GROUP BY ALL")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    line = F.concat(F.lit("| "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" | "), "o_orderpriority", F.lit(" | cable | "), F.when(F.col("o_orderkey") % 2 == 0, "—").otherwise(F.col("o_orderstatus")), F.lit(" |"))
+    rows = files.flash_rows(o.select(line.alias("line")))
+    return rows.select("date", "rev", files.flash_detail(F.col("adapter"), F.col("notes")).alias("detail")).groupBy("date", "rev", "detail").agg(F.count("*").alias("n"))
+
+
+@query("current_state", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'v' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') END AS current_revision, c_mktsegment AS last_flashed FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    rev = F.when(F.col("c_custkey") % 3 == 0, "— (stock)").otherwise(F.concat(F.lit("v"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")))
+    text = F.concat(F.lit("# car\n- Current tune revision: "), rev, F.lit("\n- Last flashed: "), "c_mktsegment", F.lit("\n"))
+    return c.select("c_custkey", files.current_state(text).alias("s")).select("c_custkey", "s.*")
+
+
+@query("scrub_check", "SELECT CAST(doc_id AS VARCHAR) AS log_id, CAST(doc_id % 2 AS INTEGER) AS vins, CAST(doc_id % 3 = 0 AS INTEGER) AS notes, CAST(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS places, doc_id % 2 = 0 AND doc_id % 3 > 0 AND doc_id % 5 > 0 AS clean FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    text = F.concat(
+        F.when(i % 5 == 0, "Time,RPM,GPS Latitude,GPS Longitude").otherwise("Time,RPM,TPS,MAP"),
+        F.lit("\n0,900,1,2\n"),
+        F.when(i % 2 == 1, F.concat(F.lit("1ZZTEST99Z"), F.lpad(i.cast("string"), 7, "0"))).otherwise("1,901,1,2"),
+        F.when(i % 3 == 0, "\nNotes: idle").otherwise("\nNotes:"),
+    )
+    return scrub.scrub_check(table(spark, d, "documents").select(i.cast("string").alias("log_id"), text.alias("text")))
