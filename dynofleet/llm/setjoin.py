@@ -40,8 +40,8 @@ from dynofleet.llm.textops import Slice, distinct_by_text, mix, shingles, slices
 
 #: Chance that a set holds a given token of another one; and what a candidate pair costs in index rows.
 SHARED_TOKEN, PAIR_COST = 0.01, 20.0
-#: Groups up to this size are compared pair by pair (15 pairs).
-SMALL_GROUP = 6
+#: Groups up to this size are compared pair by pair (45 pairs).
+SMALL_GROUP = 10
 #: Times that a group is cut before what is left of it is compared pair by pair all the same.
 CUTS = 6
 
@@ -198,10 +198,39 @@ def _index(docs: DataFrame, k: int, bands: Bands, layouts: list[Layout | None])
     return docs.select("text").mapInArrow(work, "key long, d1 long, whole boolean")
 
 
-def _shared(index: DataFrame, node: str) -> DataFrame:
-    """Index rows whose key holds two nodes or more, one of them by a whole segment."""
-    keys = index.groupBy("key").agg(F.min(node).alias("lo"), F.max(node).alias("hi"), F.bool_or("whole").alias("any"))
-    return index.join(keys.filter("lo < hi and any").select("key"), "key")
+def _shared(index: DataFrame) -> DataFrame:
+    """Distinct index rows whose key two different sets hold.
+
+    One exchange by key, sorted; a stream over the sorted rows that remembers one row tells them,
+    so most rows end here and a common key takes no memory.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_set = waiting = None  # waiting: the first row of a key that one set holds so far
+        several = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, d1, whole = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "d1", "whole"))
+            goes_on = last_key is not None and key[0] == last_key
+            same_key = np.append(goes_on, key[1:] == key[:-1])
+            same_set = np.append(goes_on and d1[0] == last_set, d1[1:] == d1[:-1]) & same_key
+            group = np.cumsum(~same_key)  # 0: the key that goes on
+            mixed = np.zeros(group[-1] + 1, dtype=bool)
+            mixed[0] = several
+            mixed[group[same_key & ~same_set]] = True
+            rows = np.flatnonzero(mixed[group] & ~same_set)
+            cols = [c[rows] for c in (key, d1, whole)]
+            if waiting is not None and goes_on and mixed[0]:
+                cols = [np.append(c, w).astype(c.dtype) for c, w in zip(cols, waiting, strict=True)]
+                waiting = None
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "d1", "whole"])
+            last_key, last_set, several = key[-1], d1[-1], bool(mixed[group[-1]])
+            if group[-1] > 0:
+                k = int(np.searchsorted(group, group[-1]))
+                waiting = None if several else (key[k], d1[k], whole[k])
+
+    return index.repartition("key").sortWithinPartitions("key", "d1", F.desc("whole")).mapInArrow(work, "key long, d1 long, whole boolean")
 
 
 _VERIFIED = "a long, b long, linked boolean, keys array<bigint>"
@@ -258,7 +287,7 @@ def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> Data
     counts = {r["band"]: r["count"] for r in nodes.groupBy(band.alias("band")).count().collect()}
     layouts = bands.layouts(counts)
 
-    found = _shared(_index(docs, k, bands, layouts), "d1").distinct().join(nodes.select("d1", "node"), "d1")
+    found = _shared(_index(docs, k, bands, layouts)).join(nodes.select("d1", "node"), "d1")
     groups = stored(found.select("key", "node", F.col("node").alias("component"), "whole"))
     sets = stored(_sets(docs, groups.select("node").distinct().join(nodes, "node"), k))
     all_links: DataFrame | None = None
