@@ -15,7 +15,7 @@ pairs expected from chance, from the counts of distinct sets by band, which Spar
 
 Equal sets collapse to one node before anything is compared. A group of nodes with the same key is
 not expanded into pairs: its most popular node, the pivot p, is verified against the others. Where
-that leaves several components, the group is cut by what its nodes differ in from p. Let D(x) be the
+that leaves some unlinked, the group is cut by what its nodes differ in from p. Let D(x) be the
 symmetric difference of x and p. If x and y link but not both of them link to p, then D(x) and D(y)
 overlap, and by at least |D(x)| - H(x) tokens, H(x) being the most that x may differ from a linked
 set. So the H(x) + 1 first tokens of D(x) in hash order hold one of y's, and are the keys of the next
@@ -308,13 +308,9 @@ def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> Data
         starred = big.select("key", F.col("node").alias("b")).join(pivots, "key").filter("a <> b")
         star = stored(_verified(starred.select("a", "b").distinct(), sets, num, den, keys=True))
         all_links = _more(all_links, star.filter("linked").select("a", "b"))
-        # Pivots of groups that still hold several components: their stars are cut.
-        labels = components(all_links)
-        named = starred.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-        of_pivot = labels.select(F.col("node").alias("a"), F.col("component").alias("own"))
-        left = named.join(of_pivot, "a", "left").filter(F.col("component") != F.coalesce("own", "a")).select("a").distinct()
-        again = star.join(left, "a").select("b", F.explode("keys").alias("key"))
-        again = again.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").select("key", F.col("b").alias("node"), F.coalesce("component", "b").alias("component"))
+        # Stars with nodes that don't link to their pivot are cut; what links to it is one component there.
+        left = star.filter(~F.col("linked")).select("a").distinct()
+        again = star.join(left, "a").select(F.explode("keys").alias("key"), F.col("b").alias("node"), F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("component"))
         mixed = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
         groups = stored(again.join(mixed, "key").distinct().withColumn("whole", F.lit(True)))
         if groups.limit(1).count() == 0:
