@@ -5,7 +5,7 @@ character, so no merge crosses the front of a marked word: segmenting a text is
 of its marked words. A task keeps a table of the distinct marked words it has seen, segments each
 of them once with the library, and joins the ids back by position. There is no exchange: a global
 table would shuffle every (block, word) pair twice to save the segmentation of words that other
-tasks have seen too, which costs about two microseconds a word.
+tasks have seen too, which costs a few microseconds a word.
 """
 
 from __future__ import annotations
