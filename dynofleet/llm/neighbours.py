@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Rows that the tree is fitted on, queries that visits are calibrated on: documented bounds.
 FIT_ROWS, CALIBRATION_QUERIES = 30_000, 128
 #: Rows of a leaf and queries of a leaf that meet in one cell.
-CELL_ROWS, CELL_QUERIES = 4096, 2048
+CELL_ROWS, CELL_QUERIES = 4096, 8192
 
 
 @dataclass
@@ -71,7 +71,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c, (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
 
 
-def fit_tree(x: np.ndarray, scale: float, branches: int = 12, leaf_rows: int = 400) -> Tree:
+def fit_tree(x: np.ndarray, scale: float, branches: int = 12, leaf_rows: int = 1500) -> Tree:
     """``scale``: rows that a sampled row stands for. A node of about ``leaf_rows`` rows is a leaf."""
     rng = np.random.default_rng(5)
     centre, first, count, open_ = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [0], [0], [(0, x)]
@@ -108,20 +108,30 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def _top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Row numbers and scores of the best ``k`` rows for each query, ties to the smaller id, never itself.
+def _top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, at_once: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query numbers, row numbers, scores) of the best ``k`` rows of all queries, ties to the smaller id, never itself.
 
-    A matrix product finds who can be among the best; the scores given are sums in one fixed order,
-    the same for equal vectors wherever they stand.
+    A matrix product of some queries with all rows finds who can be among the best; the scores given
+    are sums in one fixed order, the same for equal vectors wherever they stand.
     """
-    rough = q @ x.T
-    for i, own in enumerate(q_ids):
-        s = np.where(ids == own, -np.inf, rough[i])
-        near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * (1 + np.abs(s[np.isfinite(s)]).max(initial=0)))
-        near = near[ids[near] != own]
-        exact = (x[near] * q[i]).sum(1)
-        order = np.lexsort((ids[near], -exact))[:k]
-        yield near[order], exact[order], i
+    for lo in range(0, len(q), at_once):
+        part = q[lo : lo + at_once]
+        rough = part @ x.T
+        own = ids[None, :] == q_ids[lo : lo + at_once, None]
+        rough[own] = -np.inf
+        if x.shape[0] > k:
+            least = np.partition(rough, x.shape[0] - k, axis=1)[:, x.shape[0] - k]
+            slack = 1e-9 * (1 + np.linalg.norm(part, axis=1) * np.linalg.norm(x, axis=1).max())
+            near = (rough >= (least - slack)[:, None]) & ~own
+        else:
+            near = ~own
+        i, at = np.nonzero(near)
+        exact = (x[at] * part[i]).sum(1)
+        order = np.lexsort((ids[at], -exact, i))
+        i, at, exact = i[order], at[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        best = rank < k
+        yield lo + i[best], at[best], exact[best]
 
 
 _HITS = "query_id long, vec_id long, score double, leaf int"
@@ -148,7 +158,7 @@ def _calibrated(rows: DataFrame, tree: Tree, q_ids: np.ndarray, q: np.ndarray, k
                 continue
             ids, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), dims)
             leaf = tree.assign(x)
-            yield _hits([(np.full(len(at), q_ids[i]), ids[at], s, leaf[at]) for at, s, i in _top(ids, x, q_ids, q, k)])
+            yield _hits([(q_ids[i], ids[at], s, leaf[at]) for i, at, s in _top(ids, x, q_ids, q, k)])
 
     truth = _ranked(rows.mapInArrow(brute, _HITS), k).select("query_id", "leaf").collect()  # at most queries x k rows
     place = {int(i): {leaf: n for n, leaf in enumerate(tree.best_bins(v, tree.leaves))} for i, v in zip(q_ids, q, strict=True)}
@@ -166,7 +176,7 @@ def _calibrated(rows: DataFrame, tree: Tree, q_ids: np.ndarray, q: np.ndarray, k
     return min(visits, tree.leaves)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every query among all other rows.
 
     Rows whose vector is null, zero, or holds null or non-finite components take no part, nor do
@@ -216,8 +226,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         if a.num_rows and b.num_rows:
             ids, q_ids = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
             x, q = _matrix(a.column("v"), dims), _matrix(b.column("v"), dims)
-            for lo in range(0, len(q), 256):
-                parts += [(np.full(len(at), q_ids[lo + i]), ids[at], s, np.zeros(len(at))) for at, s, i in _top(ids, x, q_ids[lo : lo + 256], q[lo : lo + 256], k)]
+            parts = [(q_ids[i], ids[at], s, np.zeros(len(at))) for i, at, s in _top(ids, x, q_ids, q, k)]
         return pa.Table.from_batches([_hits(parts)])
 
     hits = left.groupBy("leaf", "rc", "qc").cogroup(right.groupBy("leaf", "rc", "qc")).applyInArrow(cell, _HITS)
