@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows that the tree is fitted on, queries that visits are calibrated on: documented bounds.
 FIT_ROWS, CALIBRATION_QUERIES = 30_000, 128
-#: Rows of a leaf and queries of a leaf that meet in one cell.
-CELL_ROWS, CELL_QUERIES = 4096, 8192
+#: Rows of some leaves, and visits of queries to these leaves, that meet in one cell.
+CELL_ROWS, CELL_VISITS = 16_384, 65_536
 
 
 @dataclass
@@ -211,23 +211,40 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     kind = f"leaf int, vec_id long, v {vectors.schema[vector_col].dataType.simpleString()}"
     rows = clean.select("vec_id", "v").mapInArrow(to_leaf, kind)
     asks = clean.filter("asks").select("vec_id", "v").mapInArrow(to_bins, kind)
-    # Cells of a leaf: one row a leaf, so bounded by the tree.
+    # Leaves that follow each other share a cell, a large leaf has several: one count a leaf, so bounded by the tree.
     count = lambda df: {r["leaf"]: r["count"] for r in df.groupBy("leaf").count().collect()}
     of_rows, of_asks = count(rows), count(asks)
-    cells = lambda counts, most: F.coalesce(F.get(F.array(*(F.lit(max(1, -(-counts.get(i, 0) // most))) for i in range(tree.leaves))), F.col("leaf")), F.lit(1))
-    row_cells, ask_cells = cells(of_rows, CELL_ROWS), cells(of_asks, CELL_QUERIES)
+    group, held, visited = [], [], []
+    for leaf in range(tree.leaves):
+        here = of_rows.get(leaf, 0)
+        if not held or held[-1] + here > CELL_ROWS:
+            held.append(0)
+            visited.append(0)
+        held[-1] += here
+        visited[-1] += of_asks.get(leaf, 0)
+        group.append(len(held) - 1)
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), F.col(at))
+    row_cells, ask_cells = pick([max(1, -(-x // CELL_ROWS)) for x in held], "g"), pick([max(1, -(-x // CELL_VISITS)) for x in visited], "g")
     spread = lambda own, n: F.pmod(F.xxhash64("vec_id", F.lit(own)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.withColumn("rc", spread(1, row_cells)).select("*", every(ask_cells).alias("qc"))
-    right = asks.withColumn("qc", spread(2, ask_cells)).select("*", every(row_cells).alias("rc"))
+    left = rows.withColumn("g", pick(group, "leaf")).withColumn("rc", spread(1, row_cells)).select("*", every(ask_cells).alias("qc"))
+    right = asks.withColumn("g", pick(group, "leaf")).withColumn("qc", spread(2, ask_cells)).select("*", every(row_cells).alias("rc"))
 
     def cell(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         parts = []
         if a.num_rows and b.num_rows:
             ids, q_ids = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
             x, q = _matrix(a.column("v"), dims), _matrix(b.column("v"), dims)
-            parts = [(q_ids[i], ids[at], s, np.zeros(len(at))) for i, at, s in _top(ids, x, q_ids, q, k)]
+            of_x, of_q = a.column("leaf").to_numpy(), b.column("leaf").to_numpy()
+            for leaf in np.intersect1d(of_x, of_q):
+                r, c = np.flatnonzero(of_x == leaf), np.flatnonzero(of_q == leaf)
+                parts += [(q_ids[c][i], ids[r][at], s, np.zeros(len(at))) for i, at, s in _top(ids[r], x[r], q_ids[c], q[c], k)]
+        if parts:  # the best of all leaves of the cell
+            q_of, v_of, score, zero = (np.concatenate(p) for p in zip(*parts, strict=True))
+            order = np.lexsort((v_of, -score, q_of))
+            best = order[np.arange(len(order)) - np.searchsorted(q_of[order], q_of[order]) < k]
+            parts = [(q_of[best], v_of[best], score[best], zero[best])]
         return pa.Table.from_batches([_hits(parts)])
 
-    hits = left.groupBy("leaf", "rc", "qc").cogroup(right.groupBy("leaf", "rc", "qc")).applyInArrow(cell, _HITS)
+    hits = left.groupBy("g", "rc", "qc").cogroup(right.groupBy("g", "rc", "qc")).applyInArrow(cell, _HITS)
     return _ranked(hits, k).select("query_id", "rank", "vec_id", "score")
