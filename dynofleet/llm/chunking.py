@@ -2,8 +2,10 @@
 
 A gear rolling hash over the last 16 bytes decides where chunks end, so an insertion moves no
 boundary beyond its own neighbourhood. Chunks are deduplicated by a 128-bit digest: all but the
-first occurrence, in order of doc_id and place, are repeats. Runs of repeated chunks that are long
-enough are cut out of their document.
+first occurrence, in order of doc_id and place, are repeats. The chunks that hang over the ends of
+a shared passage don't repeat: at both ends of every run of repeats the bytes are compared with those
+around the earlier occurrence, and the run grows as far as they agree. Runs that are long enough then
+are cut out of their document. Every byte cut stands earlier, by doc_id and place.
 """
 
 from __future__ import annotations
@@ -21,8 +23,13 @@ from dynofleet.llm.textops import _SPACE, Slice, byte_table, slices
 
 GEAR = byte_table(11, np.uint32)
 SECOND = byte_table(13)
-#: A boundary needs this many bytes since the candidate before it; a chunk never exceeds LONGEST bytes.
-APART, LONGEST = 16, 512
+#: A boundary needs this many bytes since the candidate before it; a chunk never exceeds LONGEST bytes (ten bits).
+APART, LONGEST = 6, 512
+#: One in so many characters ends a chunk: blanks, other ASCII, the rest (which may know no blanks). Powers of two.
+BLANKS, LETTERS, OTHERS = 4, 32, 4
+#: Bytes from the end of a run within which its chunks say where to compare on; and bytes compared beyond the
+#: chunk that hangs over, as a boundary depends on the 16 + APART bytes before it.
+NEAR, MARGIN = 128, 32
 #: Bytes that a run of repeated chunks must have to be cut out.
 LEAST_RUN = 100
 
@@ -47,7 +54,9 @@ def chunks(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(data)) - np.repeat(s.offsets[:-1], n_bytes)
     h = gear_hash(data, place)
     whole = np.append((data[1:] & 0xC0) != 0x80, True)  # the next byte begins a character
-    cut = (_SPACE[data] & (h >> np.uint32(12) & np.uint32(7) == 0)) | (whole & (h >> np.uint32(7) & np.uint32(127) == 0))
+    one_in = lambda n: h >> np.uint32(10) & np.uint32(n - 1) == 0
+    wide = data >= 0x80
+    cut = (_SPACE[data] & one_in(BLANKS)) | (whole & ((~wide & one_in(LETTERS)) | (wide & one_in(OTHERS))))
     at = np.flatnonzero(cut) + 1
     owner = np.searchsorted(s.offsets, at - 1, side="right") - 1
     apart = np.ones(len(at), dtype=bool)
@@ -70,19 +79,27 @@ def chunks(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(s.offsets, starts, side="right") - 1
 
 
-def _numbers(owner: np.ndarray) -> np.ndarray:
-    """Number of each chunk in its text."""
-    if not len(owner):
-        return owner
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    return np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+def _placed(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, s: Slice) -> np.ndarray:
+    """start << 30 | length << 20 | length of the chunk before << 10 | of the one after (0: none); sorts by start."""
+    size = ends - starts
+    before, after = np.zeros_like(size), np.zeros_like(size)
+    same = owner[1:] == owner[:-1]
+    before[1:][same], after[:-1][same] = size[:-1][same], size[1:][same]
+    return (starts - s.offsets[owner]) << 30 | size << 20 | before << 10 | after
+
+
+def _span(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return at >> 30, (at >> 30) + (at >> 20 & 1023)
+
+
+_CHUNKS = "d1 long, d2 long, doc_id long, at long, first_doc long, first_at long"
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """d1, d2, doc_id, number, known of every chunk.
+    """d1, d2, doc_id, at, first_doc, first_at of every chunk.
 
-    ``known``: the same slice of the input holds the chunk earlier, so it is a repeat whatever else
-    there is and takes no part in the exchange by digest; a common passage is sent once a slice.
+    ``first_doc`` and ``first_at`` are set where the same slice of the input holds the chunk earlier:
+    it is a repeat whatever else there is and is not compared by digest; a common passage is sent once a slice.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,45 +108,171 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             for s in slices(batch.column("text")):
                 starts, ends, owner = chunks(s)
                 d1, d2 = s.span_hashes(starts, ends), s.span_hashes(starts, ends, table=SECOND)
-                doc, number = ids[s.lo : s.hi][owner], _numbers(owner)
-                order = np.lexsort((number, doc, d2, d1))
+                doc, at = ids[s.lo : s.hi][owner], _placed(starts, ends, owner, s)
+                order = np.lexsort((at, doc, d2, d1))
+                d1, d2, doc, at = d1[order], d2[order], doc[order], at[order]
                 known = np.zeros(len(order), dtype=bool)
-                same = (d1[order[1:]] == d1[order[:-1]]) & (d2[order[1:]] == d2[order[:-1]])
-                known[order[1:][same]] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(known)],
-                    names=["d1", "d2", "doc_id", "number", "known"],
-                )
+                known[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
+                first = np.maximum.accumulate(np.where(known, 0, np.arange(len(order))))
+                cols = [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at, pa.int64())]
+                cols += [pa.array(doc[first], pa.int64(), mask=~known), pa.array(at[first], pa.int64(), mask=~known)]
+                yield pa.RecordBatch.from_arrays(cols, names=["d1", "d2", "doc_id", "at", "first_doc", "first_at"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(work, "d1 long, d2 long, doc_id long, number int, known boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(work, _CHUNKS)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and ``again``: array of (number, d1) of the chunks of a document that come earlier elsewhere."""
-    rows = stored(chunk_table(docs))
-    fresh = rows.filter("not known")
-    first = fresh.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # Known repeats whose first occurrence in the slice is itself a repeat need nothing more.
-    later = fresh.join(first, ["d1", "d2"]).filter(F.struct("doc_id", "number") != F.col("first"))
-    return (
-        later.select("doc_id", "number", "d1")
-        .unionByName(rows.filter("known").select("doc_id", "number", "d1"))
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("number", "d1")).alias("again"))
-    )
+    """doc_id and ``again``: array of (at, d1, first_doc, first_at) of the chunks of a document that come earlier elsewhere.
+
+    One exchange by digest, sorted; a stream over the sorted rows remembers the first of a digest.
+    """
+    names = ["doc_id", "at", "d1", "first_doc", "first_at"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # d1, d2, doc_id, at of the first row of the digest that goes on
+        for batch in batches:
+            known = batch.column("first_doc").is_valid()
+            yield batch.filter(known).select(names)
+            d1, d2, doc, at = _fresh(batch)
+            if not len(d1):
+                continue
+            if last is not None:
+                d1, d2, doc, at = (np.concatenate(([x], c)) for x, c in zip(last, (d1, d2, doc, at), strict=True))
+            new = np.ones(len(d1), dtype=bool)
+            new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(d1)), 0))
+            rows = np.flatnonzero(~new & ((doc != doc[first]) | (at != at[first])))
+            cols = (doc[rows], at[rows], d1[rows], doc[first[rows]], at[first[rows]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+            last = tuple(int(c[first[-1]]) for c in (d1, d2, doc, at))
+
+    # Known repeats go past the comparison, by document, to spare common digests.
+    rows = chunk_table(docs).repartition(F.when(F.col("first_doc").isNull(), F.col("d1")).otherwise(F.col("doc_id")))
+    found = rows.sortWithinPartitions("d1", "d2", "doc_id", "at").mapInArrow(work, "doc_id long, at long, d1 long, first_doc long, first_at long")
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "d1", "first_doc", "first_at")).alias("again"))
+
+
+def _fresh(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    part = batch.filter(batch.column("first_doc").is_null())
+    return tuple(part.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2", "doc_id", "at"))
+
+
+def _flat(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Row number and fields of all entries of an array<struct> column (null: no entries)."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), n), *(flat.field(c).to_numpy(zero_copy_only=False) for c in names)
+
+
+#: Which bytes to fetch: the ``window`` bytes left or right of ``first_pos`` in first_doc, where a chunk of ``size`` and digest d1 begins or ends.
+_KEYS = ["first_doc", "first_pos", "leftward", "size", "d1"]
+_EDGES = "doc_id long, pos long, first_doc long, first_pos long, leftward boolean, size int, d1 long, window int"
+
+
+def edges(again: DataFrame, least_run: int) -> DataFrame:
+    """Where runs of repeats end, and the bytes around earlier occurrences that they may go on with.
+
+    A run asks at each end for every place that its chunks within NEAR bytes of it point to. Runs that
+    stay below ``least_run`` even with both chunks beside them ask for nothing.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, d1, doc, first = _flat(batch.column("again"), "at", "d1", "first_doc", "first_at")
+            if not len(row):
+                continue
+            order = np.lexsort((at, row))
+            row, at, d1, doc, first = row[order], at[order], d1[order], doc[order], first[order]
+            start, end = _span(at)
+            reach = np.maximum.accumulate((row << 34) + end)  # rows that share a doc_id may overlap
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] << 34) + start[1:] > reach[:-1]
+            new[1:] |= row[1:] != row[:-1]
+            run = np.cumsum(new) - 1
+            at_run = np.flatnonzero(new)
+            lo, hi = start[at_run][run], np.maximum.reduceat(end, at_run)[run]
+            before = np.maximum.reduceat(np.where(start == lo, at >> 10 & 1023, 0), at_run)[run]
+            after = np.maximum.reduceat(np.where(end == hi, at & 1023, 0), at_run)[run]
+            may = hi - lo + before + after + 2 * MARGIN >= least_run
+            size, first_start = end - start, first >> 30
+            shift = first_start - start
+            for left in (True, False):
+                if left:
+                    use = np.flatnonzero(may & (before > 0) & (start < lo + NEAR) & (first_start > 0))
+                else:
+                    use = np.flatnonzero(may & (after > 0) & (end > hi - NEAR) & (first & 1023 > 0))[::-1]
+                # Of the chunks that point to one place the outermost asks.
+                o = use[np.lexsort((np.arange(len(use)), shift[use], doc[use], run[use]))]
+                ask = np.ones(len(o), dtype=bool)
+                ask[1:] = (run[o[1:]] != run[o[:-1]]) | (doc[o[1:]] != doc[o[:-1]]) | (shift[o[1:]] != shift[o[:-1]])
+                o = o[ask]
+                pos = start[o] if left else end[o]
+                window = MARGIN + (start[o] - lo[o] + before[o] if left else hi[o] - end[o] + after[o])
+                cols = [batch.column("doc_id").take(pa.array(row[o])), pa.array(pos, pa.int64()), pa.array(doc[o], pa.int64()), pa.array(pos + shift[o], pa.int64())]
+                cols += [pa.array(np.full(len(o), left)), pa.array(size[o], pa.int32()), pa.array(d1[o], pa.int64()), pa.array(window, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", *_KEYS, "window"])
+
+    return again.mapInArrow(work, _EDGES)
+
+
+def neighbours(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id and ``beside``: array of (pos, leftward, bytes) that ``edges`` asked for, each place fetched once."""
+    wanted = asked.groupBy(*_KEYS).agg(F.max("window").alias("window")).groupBy("first_doc").agg(F.collect_list(F.struct(*_KEYS[1:], "window")).alias("wanted"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                part = batch.slice(s.lo, s.n)
+                row, pos, left, size, d1, window = _flat(part.column("wanted"), "first_pos", "leftward", "size", "d1", "window")
+                left = left.astype(bool)
+                n, base = np.diff(s.offsets)[row], s.offsets[row]
+                start = np.where(left, pos, pos - size)
+                ok = np.flatnonzero((start >= 0) & (start + size <= n))
+                # Of rows that share a doc_id only those that hold the chunk there.
+                ok = ok[s.span_hashes((base + start)[ok], (base + start + size)[ok]).view(np.int64) == d1[ok]]
+                row, pos, left, size, d1, n, base, window = (x[ok] for x in (row, pos, left, size, d1, n, base, window))
+                lo, hi = np.where(left, np.maximum(pos - window, 0), pos) + base, np.where(left, pos, np.minimum(pos + window, n)) + base
+                raw = s.data.tobytes()
+                found = pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                cols = [part.column("first_doc").take(pa.array(row)), pa.array(pos, pa.int64()), pa.array(left), pa.array(size, pa.int32()), pa.array(d1, pa.int64()), found]
+                yield pa.RecordBatch.from_arrays(cols, names=[*_KEYS, "bytes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text")
+    found = texts.join(wanted, "first_doc").mapInArrow(work, "first_doc long, first_pos long, leftward boolean, size int, d1 long, bytes binary").distinct()
+    return asked.join(found, _KEYS).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "leftward", "bytes")).alias("beside"))
+
+
+def _grown(text: bytes, pos: int, leftward: bool, beside: bytes) -> tuple[int, int]:
+    """The span next to ``pos`` that agrees with ``beside``, in whole characters."""
+    if leftward:
+        n = min(pos, len(beside))
+        one, two = np.frombuffer(text[pos - n : pos], np.uint8)[::-1], np.frombuffer(beside[len(beside) - n :], np.uint8)[::-1]
+    else:
+        n = min(len(text) - pos, len(beside))
+        one, two = np.frombuffer(text[pos : pos + n], np.uint8), np.frombuffer(beside[:n], np.uint8)
+    differ = np.flatnonzero(one != two)
+    same = int(differ[0]) if len(differ) else n
+    lo, hi = (pos - same, pos) if leftward else (pos, pos + same)
+    while lo < pos and text[lo] & 0xC0 == 0x80:
+        lo += 1
+    while hi > pos and hi < len(text) and text[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return lo, hi
 
 
-def cut_spans(s: Slice, i: int, again: list | None, bounds: tuple, least_run: int) -> list[tuple[int, int]]:
-    """The byte spans to remove from text ``i``: runs of repeated chunks of at least ``least_run`` bytes."""
-    if not again:
+def cut_spans(text: bytes, spans: list[tuple[int, int]], beside: list | None, least_run: int) -> list[tuple[int, int]]:
+    """The byte spans to remove: runs of repeated chunks ``spans``, grown, of at least ``least_run`` bytes."""
+    if not spans:
         return []
-    starts, ends, d1, lo = bounds
-    hit = np.zeros(len(starts), dtype=bool)
-    for x in again:
-        if x["number"] < len(starts) and int(d1[x["number"]]) == x["d1"]:
-            hit[x["number"]] = True
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    return [(int(starts[a] - lo), int(ends[b - 1] - lo)) for a, b in zip(edge[::2], edge[1::2], strict=True) if ends[b - 1] - starts[a] >= least_run]
+    ends = {x for span in spans for x in span}
+    grown = [_grown(text, b["pos"], b["leftward"], b["bytes"]) for b in beside or () if b["pos"] in ends]
+    runs: list[list[int]] = []
+    for lo, hi in sorted([*spans, *grown]):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    return [(lo, hi) for lo, hi in runs if hi - lo >= least_run]
 
 
 def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
@@ -145,30 +288,37 @@ def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, again = batch.column("text"), batch.column("_again")
+            text = batch.column("text")
             for s in slices(text):
                 part = batch.slice(s.lo, s.n)
-                lists = again.slice(s.lo, s.n).to_pylist()
+                row, at, d1 = _flat(part.column("_again"), "at", "d1")
+                start, end = _span(at)
+                ok = np.flatnonzero(end <= np.diff(s.offsets)[row])
+                row, start, end, d1 = row[ok], start[ok], end[ok], d1[ok]
+                # Rows that share a doc_id share the list: each takes what it holds.
+                ok = s.span_hashes(start + s.offsets[row], end + s.offsets[row]).view(np.int64) == d1
+                row, start, end = row[ok], start[ok], end[ok]
+                of = np.searchsorted(row, np.arange(s.n + 1))
                 out, removed = part.column("text").to_pylist(), [[] for _ in range(s.n)]
-                if any(lists):
-                    starts, ends, owner = chunks(s)
-                    d1 = s.span_hashes(starts, ends).view(np.int64)
-                    of = np.searchsorted(owner, np.arange(s.n + 1))
-                    for i in (i for i in range(s.n) if lists[i]):
-                        a, b = of[i], of[i + 1]
-                        removed[i] = cut_spans(s, i, lists[i], (starts[a:b], ends[a:b], d1[a:b], s.offsets[i]), least_run)
-                        if removed[i]:
-                            whole, at, kept = s.text(i), 0, []
-                            for x, y in removed[i]:
-                                kept.append(whole[at:x])
-                                at = y
-                            out[i] = b"".join([*kept, whole[at:]]).decode()
+                beside = part.column("_beside")
+                for i in np.flatnonzero(np.diff(of)).tolist():
+                    a, b = of[i], of[i + 1]
+                    whole, at_, kept = s.text(i), 0, []
+                    removed[i] = cut_spans(whole, list(zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)), beside[i].as_py(), least_run)
+                    if removed[i]:
+                        for x, y in removed[i]:
+                            kept.append(whole[at_:x])
+                            at_ = y
+                        out[i] = b"".join([*kept, whole[at_:]]).decode()
                 cols = [pa.array(out, text.type) if c == "text" else part.column(c) for c in names]
                 spans = pa.array([[{"start": x, "end": y} for x, y in r] for r in removed], kind)
                 yield pa.RecordBatch.from_arrays([*cols, spans], names=[*names, "_removed"])
 
-    lists = repeats(docs).select(F.col("doc_id").alias("_doc"), F.col("again").alias("_again"))
-    return docs.join(lists, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc").mapInArrow(work, schema)
+    again = stored(repeats(docs))
+    beside = neighbours(docs, stored(edges(again, least_run))).select(F.col("doc_id").alias("_doc2"), F.col("beside").alias("_beside"))
+    lists = again.select(F.col("doc_id").alias("_doc"), F.transform("again", lambda x: F.struct(x["at"].alias("at"), x["d1"].alias("d1"))).alias("_again"))
+    both = lists.join(beside, F.col("_doc") == F.col("_doc2"), "left").drop("_doc2")
+    return docs.join(both, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc").mapInArrow(work, schema)
 
 
 def removal_digests(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:

@@ -163,6 +163,30 @@ def test_chunks_tile_and_resist_shifts():
     assert len(one - two) <= 3
 
 
+@pytest.mark.parametrize("blank", [" ", ""])
+def test_chunks_catch_short_passages_to_their_ends(spark, blank):
+    rows, want, script = [], {}, [chr(c) for c in range(0x4E00, 0x5A00)]
+    for i in range(300):
+        rng = random.Random(i)
+        text = lambda n, s: " ".join(words(n, s)) if blank else "".join(rng.choice(script) for _ in range(2 * n))  # noqa: E731, B023
+        passage = blank + text(51, 9000 + i) + blank
+        rows += [(2 * i, text(40, 2 * i) + passage + text(30, 20000 + i)), (2 * i + 1, text(35, 2 * i + 1) + passage + text(45, 30000 + i))]
+        want[2 * i + 1] = len(passage.encode())
+    got = {r.doc_id: r.n_removed for r in chunking.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[2 * i] == 0 for i in range(300))
+    less = [i for i, n in want.items() if got[i] < n - 1]  # a blank at an end may not stand beside the same text
+    assert not less, f"{len(less)} of {len(want)} passages are left in part"
+    assert all(got[i] <= n + 8 for i, n in want.items())
+
+
+def test_chunks_of_rows_that_share_a_doc_id(spark):
+    one, two = " ".join(words(60, 1)), " ".join(words(60, 2))
+    rows = [(1, "a " + one), (2, "b " + two), (3, " ".join(words(20, 3)) + " " + one), (3, " ".join(words(25, 4)) + " " + two), (None, one)]
+    got = {(r.doc_id, r.text) for r in chunking.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {x for x in got if x[0] in (1, 2, None)} == {rows[0], rows[1], rows[4]}
+    assert {t.strip() for i, t in got if i == 3} == {" ".join(words(20, 3)), " ".join(words(25, 4))}
+
+
 def labelled(spark, n=600):
     rng, docs, labels = random.Random(5), [], []
     for i in range(n):
