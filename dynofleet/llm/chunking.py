@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes decides where chunks end, so an insertion moves no
-boundary beyond its own neighbourhood. Chunks are deduplicated by a 128-bit digest: all but the
+A gear rolling hash over the last 8 bytes decides where chunks end, so an insertion moves no
+boundary beyond its own neighbourhood. Chunks are deduplicated by a 112-bit digest: all but the
 first occurrence, in order of doc_id and place, are repeats. The chunks that hang over the ends of
 a shared passage don't repeat: at both ends of every run of repeats the bytes are compared with those
 around the earlier occurrence, and the run grows as far as they agree. Runs that are long enough then
@@ -23,21 +23,21 @@ from dynofleet.llm.textops import _SPACE, Slice, byte_table, slices
 
 GEAR = byte_table(11, np.uint32)
 SECOND = byte_table(13)
-#: A boundary needs this many bytes since the candidate before it; a chunk never exceeds LONGEST bytes (ten bits).
-APART, LONGEST = 6, 512
+#: A boundary needs this many bytes since the candidate before it; a chunk never exceeds LONGEST bytes (nine bits).
+APART, LONGEST = 6, 511
 #: One in so many characters ends a chunk: blanks, other ASCII, the rest (which may know no blanks). Powers of two.
-BLANKS, LETTERS, OTHERS = 4, 32, 4
+BLANKS, LETTERS, OTHERS = 4, 64, 8
 #: Bytes from the end of a run within which its chunks say where to compare on; and bytes compared beyond the
-#: chunk that hangs over, as a boundary depends on the 16 + APART bytes before it.
-NEAR, MARGIN = 128, 32
+#: chunk that hangs over, as a boundary depends on the 8 + APART bytes before it.
+NEAR, MARGIN = 128, 14
 #: Bytes that a run of repeated chunks must have to be cut out.
 LEAST_RUN = 100
 
 
 def gear_hash(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Sum of GEAR[byte k back] << k over the last 16 bytes of the same text, by doubling the window."""
+    """Sum of GEAR[byte k back] << k over the last 8 bytes of the same text, by doubling the window."""
     h = GEAR[data]
-    for m in (1, 2, 4, 8):
+    for m in (1, 2, 4):
         back = np.zeros_like(h)
         back[m:] = h[:-m] << np.uint32(m)
         back[place < m] = 0
@@ -79,24 +79,34 @@ def chunks(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(s.offsets, starts, side="right") - 1
 
 
-def _placed(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, s: Slice) -> np.ndarray:
-    """start << 30 | length << 20 | length of the chunk before << 10 | of the one after (0: none); sorts by start."""
+def _placed(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Two words a chunk: start << 29 | length << 20 | length of the chunk before << 11 | of the one after << 2
+    (0: none), which sorts by start; and the byte before << 8 | the byte after."""
     size = ends - starts
     before, after = np.zeros_like(size), np.zeros_like(size)
     same = owner[1:] == owner[:-1]
     before[1:][same], after[:-1][same] = size[:-1][same], size[1:][same]
-    return (starts - s.offsets[owner]) << 30 | size << 20 | before << 10 | after
+    bytes_ = s.data[starts - 1].astype(np.uint64) << np.uint64(8) | s.data[ends % max(len(s.data), 1)].astype(np.uint64)
+    return (starts - s.offsets[owner]) << 29 | size << 20 | before << 11 | after << 2, bytes_
 
 
 def _span(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return at >> 30, (at >> 30) + (at >> 20 & 1023)
+    return at >> 29, (at >> 29) + (at >> 20 & LONGEST)
+
+
+def _may_grow(at: np.ndarray, bytes_: np.ndarray, first_at: np.ndarray, first_bytes: np.ndarray) -> np.ndarray:
+    """``at`` with two lowest bits: the bytes before, and after, are the same at the first occurrence."""
+    differ = bytes_ ^ first_bytes
+    left = (differ >> 8 & 255 == 0) & (at >> 11 & LONGEST > 0) & (first_at >> 11 & LONGEST > 0)
+    right = (differ & 255 == 0) & (at >> 2 & LONGEST > 0) & (first_at >> 2 & LONGEST > 0)
+    return at | left.astype(np.int64) << 1 | right.astype(np.int64)
 
 
 _CHUNKS = "d1 long, d2 long, doc_id long, at long, first_doc long, first_at long"
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """d1, d2, doc_id, at, first_doc, first_at of every chunk.
+    """d1, d2 (its 16 lowest bits are the bytes beside), doc_id, at, first_doc, first_at of every chunk.
 
     ``first_doc`` and ``first_at`` are set where the same slice of the input holds the chunk earlier:
     it is a repeat whatever else there is and is not compared by digest; a common passage is sent once a slice.
@@ -108,13 +118,15 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             for s in slices(batch.column("text")):
                 starts, ends, owner = chunks(s)
                 d1, d2 = s.span_hashes(starts, ends), s.span_hashes(starts, ends, table=SECOND)
-                doc, at = ids[s.lo : s.hi][owner], _placed(starts, ends, owner, s)
-                order = np.lexsort((at, doc, d2, d1))
-                d1, d2, doc, at = d1[order], d2[order], doc[order], at[order]
+                doc, (at, beside) = ids[s.lo : s.hi][owner], _placed(starts, ends, owner, s)
+                d2 = d2 & ~np.uint64(0xFFFF) | beside  # 48 bits of digest
+                order = np.lexsort((at, doc, d2 >> np.uint64(16), d1))
+                d1, d2, doc, at = d1[order].view(np.int64), d2[order].view(np.int64), doc[order], at[order]
                 known = np.zeros(len(order), dtype=bool)
-                known[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
+                known[1:] = (d1[1:] == d1[:-1]) & (d2[1:] >> 16 == d2[:-1] >> 16)
                 first = np.maximum.accumulate(np.where(known, 0, np.arange(len(order))))
-                cols = [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at, pa.int64())]
+                at = np.where(known, _may_grow(at, d2, at[first], d2[first]), at)
+                cols = [pa.array(d1), pa.array(d2), pa.array(doc, pa.int64()), pa.array(at, pa.int64())]
                 cols += [pa.array(doc[first], pa.int64(), mask=~known), pa.array(at[first], pa.int64(), mask=~known)]
                 yield pa.RecordBatch.from_arrays(cols, names=["d1", "d2", "doc_id", "at", "first_doc", "first_at"])
 
@@ -139,17 +151,19 @@ def repeats(docs: DataFrame) -> DataFrame:
             if last is not None:
                 d1, d2, doc, at = (np.concatenate(([x], c)) for x, c in zip(last, (d1, d2, doc, at), strict=True))
             new = np.ones(len(d1), dtype=bool)
-            new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+            new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] >> 16 != d2[:-1] >> 16)
             first = np.maximum.accumulate(np.where(new, np.arange(len(d1)), 0))
             rows = np.flatnonzero(~new & ((doc != doc[first]) | (at != at[first])))
-            cols = (doc[rows], at[rows], d1[rows], doc[first[rows]], at[first[rows]])
+            of = first[rows]
+            cols = (doc[rows], _may_grow(at[rows], d2[rows], at[of], d2[of]), d1[rows], doc[of], at[of])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
             last = tuple(int(c[first[-1]]) for c in (d1, d2, doc, at))
 
     # Known repeats go past the comparison, by document, to spare common digests.
     rows = chunk_table(docs).repartition(F.when(F.col("first_doc").isNull(), F.col("d1")).otherwise(F.col("doc_id")))
-    found = rows.sortWithinPartitions("d1", "d2", "doc_id", "at").mapInArrow(work, "doc_id long, at long, d1 long, first_doc long, first_at long")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "d1", "first_doc", "first_at")).alias("again"))
+    found = rows.sortWithinPartitions("d1", F.shiftright("d2", 16), "doc_id", "at").mapInArrow(work, "doc_id long, at long, d1 long, first_doc long, first_at long")
+    # Rows are smaller in an exchange than lists of structs.
+    return found.repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "d1", "first_doc", "first_at")).alias("again"))
 
 
 def _fresh(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -157,6 +171,59 @@ def _fresh(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return tuple(part.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2", "doc_id", "at"))
 
 
+def _asking(row: np.ndarray, at: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of chunks sorted by row and place: start and end of the run that each is in, by how much the run may
+    grow at its two ends, and which chunks ask there for the bytes beside their first occurrence.
+
+    Of the chunks within NEAR bytes of an end that point to one place the outermost asks, if the next byte agrees.
+    """
+    start, end = _span(at)
+    reach = np.maximum.accumulate((row << 34) + end)  # rows that share a doc_id may overlap
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = ((row[1:] << 34) + start[1:] > reach[:-1]) | (row[1:] != row[:-1])
+    run, head = np.cumsum(new) - 1, np.flatnonzero(new)
+    lo, hi = start[head][run], np.maximum.reduceat(end, head)[run]
+    shift, out = (first >> 29) - start, []
+    for left in (True, False):
+        use = np.flatnonzero(start < lo + NEAR) if left else np.flatnonzero(end > hi - NEAR)[::-1]
+        o = use[np.lexsort((np.arange(len(use)), shift[use], doc[use], run[use]))]
+        outer = np.ones(len(o), dtype=bool)
+        outer[1:] = (run[o[1:]] != run[o[:-1]]) | (doc[o[1:]] != doc[o[:-1]]) | (shift[o[1:]] != shift[o[:-1]])
+        asks = np.zeros(len(at), dtype=bool)
+        asks[o[outer]] = True
+        asks &= at >> int(left) & 1 > 0
+        edge = np.where(start == lo, at >> 11 & LONGEST, 0) if left else np.where(end == hi, at >> 2 & LONGEST, 0)
+        grows = np.where(np.maximum.reduceat(asks, head), np.maximum.reduceat(edge, head) + MARGIN, 0)[run]
+        out += [grows, asks]
+    return lo, hi, *out
+
+
+def long_runs(again: DataFrame, least_run: int) -> DataFrame:
+    """``again`` without the runs that stay below ``least_run`` even with all they may grow by."""
+    fields = ["at", "d1", "first_doc", "first_at"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, *cols = _flat(batch.column("again"), *fields)
+            if not len(row):
+                continue
+            order = np.lexsort((cols[0], row))
+            row, cols = row[order], [c[order] for c in cols]
+            lo, hi, left, _, right, _ = _asking(row, cols[0], cols[2], cols[3])
+            x, y = (row << 34) + np.maximum(lo - left, 0), (row << 34) + hi + right
+            # Runs that may grow into one another count as one.
+            apart = np.minimum.accumulate(x[::-1])[::-1][1:] > np.maximum.accumulate(y)[:-1]
+            head = np.flatnonzero(np.append(True, apart | (row[1:] != row[:-1])))
+            reach = np.maximum.reduceat(y, head) - np.minimum.reduceat(x, head)
+            may = np.flatnonzero(np.repeat(reach >= least_run, np.diff(np.append(head, len(row)))))
+            row, cols = row[may], [c[may] for c in cols]
+            rows, offsets = np.unique(row, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(offsets, len(row)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=fields))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), lists], names=["doc_id", "again"])
+
+    return again.mapInArrow(work, "doc_id long, again array<struct<at: long, d1: long, first_doc: long, first_at: long>>")
+
+
 def _flat(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
     """Row number and fields of all entries of an array<struct> column (null: no entries)."""
     n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -164,16 +231,11 @@ def _flat(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(column)), n), *(flat.field(c).to_numpy(zero_copy_only=False) for c in names)
 
 
-#: Which bytes to fetch: the ``window`` bytes left or right of ``first_pos`` in first_doc, where a chunk of ``size`` and digest d1 begins or ends.
-_KEYS = ["first_doc", "first_pos", "leftward", "size", "d1"]
-_EDGES = "doc_id long, pos long, first_doc long, first_pos long, leftward boolean, size int, d1 long, window int"
+def edges(again: DataFrame) -> DataFrame:
+    """Where runs of repeats may grow, and the bytes around earlier occurrences that they may go on with.
 
-
-def edges(again: DataFrame, least_run: int) -> DataFrame:
-    """Where runs of repeats end, and the bytes around earlier occurrences that they may go on with.
-
-    A run asks at each end for every place that its chunks within NEAR bytes of it point to. Runs that
-    stay below ``least_run`` even with both chunks beside them ask for nothing.
+    ``own``: place << 11 | leftward << 10 | bytes to compare; ``place``: place in first_doc << 10 | leftward << 9 |
+    length of the chunk with digest d1 that begins (leftward) or ends there.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,62 +246,42 @@ def edges(again: DataFrame, least_run: int) -> DataFrame:
             order = np.lexsort((at, row))
             row, at, d1, doc, first = row[order], at[order], d1[order], doc[order], first[order]
             start, end = _span(at)
-            reach = np.maximum.accumulate((row << 34) + end)  # rows that share a doc_id may overlap
-            new = np.ones(len(row), dtype=bool)
-            new[1:] = (row[1:] << 34) + start[1:] > reach[:-1]
-            new[1:] |= row[1:] != row[:-1]
-            run = np.cumsum(new) - 1
-            at_run = np.flatnonzero(new)
-            lo, hi = start[at_run][run], np.maximum.reduceat(end, at_run)[run]
-            before = np.maximum.reduceat(np.where(start == lo, at >> 10 & 1023, 0), at_run)[run]
-            after = np.maximum.reduceat(np.where(end == hi, at & 1023, 0), at_run)[run]
-            may = hi - lo + before + after + 2 * MARGIN >= least_run
-            size, first_start = end - start, first >> 30
-            shift = first_start - start
-            for left in (True, False):
-                if left:
-                    use = np.flatnonzero(may & (before > 0) & (start < lo + NEAR) & (first_start > 0))
-                else:
-                    use = np.flatnonzero(may & (after > 0) & (end > hi - NEAR) & (first & 1023 > 0))[::-1]
-                # Of the chunks that point to one place the outermost asks.
-                o = use[np.lexsort((np.arange(len(use)), shift[use], doc[use], run[use]))]
-                ask = np.ones(len(o), dtype=bool)
-                ask[1:] = (run[o[1:]] != run[o[:-1]]) | (doc[o[1:]] != doc[o[:-1]]) | (shift[o[1:]] != shift[o[:-1]])
-                o = o[ask]
-                pos = start[o] if left else end[o]
-                window = MARGIN + (start[o] - lo[o] + before[o] if left else hi[o] - end[o] + after[o])
-                cols = [batch.column("doc_id").take(pa.array(row[o])), pa.array(pos, pa.int64()), pa.array(doc[o], pa.int64()), pa.array(pos + shift[o], pa.int64())]
-                cols += [pa.array(np.full(len(o), left)), pa.array(size[o], pa.int32()), pa.array(d1[o], pa.int64()), pa.array(window, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", *_KEYS, "window"])
-
-    return again.mapInArrow(work, _EDGES)
+            lo, hi, before, asks_left, after, asks_right = _asking(row, at, doc, first)
+            for left, o in ((1, np.flatnonzero(asks_left)), (0, np.flatnonzero(asks_right))):
+                pos, window = (start[o], start[o] - lo[o] + before[o]) if left else (end[o], hi[o] - end[o] + after[o])
+                place = pos + (first[o] >> 29) - start[o]
+                cols = (pos << 11 | left << 10 | window, doc[o], place << 10 | left << 9 | end[o] - start[o], d1[o])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[o])), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "own", "first_doc", "place", "d1"])
+
+    return again.mapInArrow(work, "doc_id long, own long, first_doc long, place long, d1 long")
 
 
 def neighbours(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """doc_id and ``beside``: array of (pos, leftward, bytes) that ``edges`` asked for, each place fetched once."""
-    wanted = asked.groupBy(*_KEYS).agg(F.max("window").alias("window")).groupBy("first_doc").agg(F.collect_list(F.struct(*_KEYS[1:], "window")).alias("wanted"))
+    """doc_id and ``beside``: array of (own, bytes) that ``edges`` asked for, each place fetched once."""
+    keys = ["first_doc", "place", "d1"]
+    places = asked.select(*keys, F.col("own").bitwiseAND(1023).alias("window")).repartition("first_doc").groupBy(*keys).agg(F.max("window").alias("window"))
+    wanted = places.groupBy("first_doc").agg(F.collect_list(F.struct("place", "d1", "window")).alias("wanted"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column("text")):
                 part = batch.slice(s.lo, s.n)
-                row, pos, left, size, d1, window = _flat(part.column("wanted"), "first_pos", "leftward", "size", "d1", "window")
-                left = left.astype(bool)
+                row, place, d1, window = _flat(part.column("wanted"), "place", "d1", "window")
+                pos, left, size = place >> 10, place >> 9 & 1 > 0, place & LONGEST
                 n, base = np.diff(s.offsets)[row], s.offsets[row]
                 start = np.where(left, pos, pos - size)
                 ok = np.flatnonzero((start >= 0) & (start + size <= n))
                 # Of rows that share a doc_id only those that hold the chunk there.
                 ok = ok[s.span_hashes((base + start)[ok], (base + start + size)[ok]).view(np.int64) == d1[ok]]
-                row, pos, left, size, d1, n, base, window = (x[ok] for x in (row, pos, left, size, d1, n, base, window))
+                row, place, d1, pos, left, n, base, window = (x[ok] for x in (row, place, d1, pos, left, n, base, window))
                 lo, hi = np.where(left, np.maximum(pos - window, 0), pos) + base, np.where(left, pos, np.minimum(pos + window, n)) + base
                 raw = s.data.tobytes()
                 found = pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
-                cols = [part.column("first_doc").take(pa.array(row)), pa.array(pos, pa.int64()), pa.array(left), pa.array(size, pa.int32()), pa.array(d1, pa.int64()), found]
-                yield pa.RecordBatch.from_arrays(cols, names=[*_KEYS, "bytes"])
+                yield pa.RecordBatch.from_arrays([part.column("first_doc").take(pa.array(row)), pa.array(place, pa.int64()), pa.array(d1, pa.int64()), found], names=[*keys, "bytes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text")
-    found = texts.join(wanted, "first_doc").mapInArrow(work, "first_doc long, first_pos long, leftward boolean, size int, d1 long, bytes binary").distinct()
-    return asked.join(found, _KEYS).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "leftward", "bytes")).alias("beside"))
+    found = texts.join(wanted, "first_doc").mapInArrow(work, "first_doc long, place long, d1 long, bytes binary")
+    return asked.join(found, keys).select("doc_id", "own", "bytes").repartition("doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("own", "bytes")).alias("beside"))
 
 
 def _grown(text: bytes, pos: int, leftward: bool, beside: bytes) -> tuple[int, int]:
@@ -265,7 +307,7 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]], beside: list | None, le
     if not spans:
         return []
     ends = {x for span in spans for x in span}
-    grown = [_grown(text, b["pos"], b["leftward"], b["bytes"]) for b in beside or () if b["pos"] in ends]
+    grown = [_grown(text, b["own"] >> 11, b["own"] >> 10 & 1 > 0, b["bytes"]) for b in beside or () if b["own"] >> 11 in ends]
     runs: list[list[int]] = []
     for lo, hi in sorted([*spans, *grown]):
         if runs and lo <= runs[-1][1]:
@@ -314,8 +356,8 @@ def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
                 spans = pa.array([[{"start": x, "end": y} for x, y in r] for r in removed], kind)
                 yield pa.RecordBatch.from_arrays([*cols, spans], names=[*names, "_removed"])
 
-    again = stored(repeats(docs))
-    beside = neighbours(docs, stored(edges(again, least_run))).select(F.col("doc_id").alias("_doc2"), F.col("beside").alias("_beside"))
+    again = stored(long_runs(repeats(docs), least_run))
+    beside = neighbours(docs, stored(edges(again))).select(F.col("doc_id").alias("_doc2"), F.col("beside").alias("_beside"))
     lists = again.select(F.col("doc_id").alias("_doc"), F.transform("again", lambda x: F.struct(x["at"].alias("at"), x["d1"].alias("d1"))).alias("_again"))
     both = lists.join(beside, F.col("_doc") == F.col("_doc2"), "left").drop("_doc2")
     return docs.join(both, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc").mapInArrow(work, schema)
