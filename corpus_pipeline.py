@@ -34,10 +34,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (five words, similarity 0.8) the smallest doc_id; rows that repeat it go too."""
-    groups = setjoin.near_duplicates(docs, k=5, num=80, den=100)
-    kept = groups.filter("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    """Of every group of near duplicates (five words, similarity 0.8) one text of the smallest doc_id.
+
+    Rows that repeat a doc_id and its text go too; of different texts under one doc_id each is judged
+    by itself. Rows without doc_id are documents of their own and all stay, whatever they repeat.
+    """
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    groups = setjoin.grouped(keyed, k=5, num=80, den=100, also=("_text_hash",)).filter("component_id = doc_id")
+    one = F.struct("doc_id", "_text_hash")
+    first = groups.filter("group_id is not null").groupBy("group_id").agg(F.min(one).alias("one")).select("one.*")
+    kept = first.unionByName(groups.filter("group_id is null").select("doc_id", "_text_hash").distinct())
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"))
+    named = keyed.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

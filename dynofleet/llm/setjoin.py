@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dynofleet.llm.common import stored
 from dynofleet.llm.components import components
@@ -165,8 +166,10 @@ def index_keys(values: np.ndarray, bounds: np.ndarray, bands: Bands, layouts: li
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2: size and digests of the shingle set of every text."""
+def set_table(docs: DataFrame, k: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, d1, d2: size and digests of the shingle set of every text; then the columns ``also``."""
+    more = T.StructType([docs.schema[c] for c in also])
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_shingles long, d1 long, d2 long").fields, *more.fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +177,9 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
                 values, bounds = text_sets(s, k)
                 d1, d2 = digests(values, bounds)
                 part = batch.slice(s.lo, s.n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], names=["doc_id", "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), *map(part.column, also)], names=["doc_id", "n_shingles", "d1", "d2", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(work, schema)
 
 
 def _index(docs: DataFrame, k: int, bands: Bands, layouts: list[Layout | None]) -> DataFrame:
@@ -272,11 +275,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, keys: bool
 
 
 def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """Links (a, b) that connect what the threshold connects; a node is the smallest doc_id of a set.
+    """Links (a, b) that connect what the threshold connects; a node is the digest d1 of a set.
 
-    ``table``: what ``set_table`` gives, stored. None where no two sets can be linked.
+    Rows that share a doc_id may hold different sets, so doc_id only says where to find one text of a
+    set. Sets that only rows without doc_id hold have no links. ``table``: what ``set_table`` gives, stored. None where no two sets can be linked.
     """
-    nodes = stored(table.filter("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node")).filter("node is not null"))
+    nodes = stored(table.filter("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc")).filter("doc is not null").withColumn("node", F.col("d1")))
     largest = nodes.agg(F.max("n")).first()[0]
     if not largest:
         return None
@@ -287,7 +291,7 @@ def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> Data
     counts = {r["band"]: r["count"] for r in nodes.groupBy(band.alias("band")).count().collect()}
     layouts = bands.layouts(counts)
 
-    found = _shared(_index(docs, k, bands, layouts)).join(nodes.select("d1", "node"), "d1")
+    found = _shared(_index(docs, k, bands, layouts)).join(nodes.select("d1", "node"), "d1")  # drops sets without doc_id
     groups = stored(found.select("key", "node", F.col("node").alias("component"), "whole"))
     sets = stored(_sets(docs, groups.select("node").distinct().join(nodes, "node"), k))
     all_links: DataFrame | None = None
@@ -335,8 +339,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 part = pa.RecordBatch.from_arrays([batch.column("node").slice(s.lo, s.n), pa.array(np.diff(bounds)), pa.array(held, pa.binary())], names=["node", "n", "held"])
                 yield part.filter(pa.array(same))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    return texts.join(nodes.select("node", "d1"), "node").mapInArrow(work, "node long, n long, held binary").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    return texts.join(nodes.select("doc", "node", "d1"), "doc").mapInArrow(work, "node long, n long, held binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -348,13 +352,33 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     shingles and are alone; equal rows are in one component; an empty table gives no rows.
     Sets are compared by 64-bit hashes of shingles; equal sets are found by 128 bits of digest.
     """
-    sized = stored(set_table(docs, k))
+    return grouped(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, k: int, num: int, den: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """What ``near_duplicates`` gives, the columns ``also``, and ``group_id``, which tells components apart.
+
+    Two components may have one smallest doc_id, as rows that share a doc_id may hold different texts.
+    group_id is null where there are no shingles.
+    """
+    sized = stored(set_table(docs, k, also))
     found = links(docs, sized, k, num, den)
-    nodes = sized.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    nodes = sized.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("component"), F.count("*").alias("copies")).withColumn("group", F.col("d1"))
     if found is not None:
-        nodes = nodes.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        linked = _smallest(found, nodes)
+        nodes = nodes.join(linked, F.col("d1") == F.col("node"), "left")
+        nodes = nodes.select("d1", "d2", "n_shingles", "copies", F.coalesce("smallest", "component").alias("component"), F.coalesce("head", "group").alias("group"), "node")
     else:
-        nodes = nodes.withColumn("component", F.col("node"))
+        nodes = nodes.withColumn("node", F.lit(None).cast("long"))
     # Sets that stand alone need no join: the rest is what has copies or links.
-    known = nodes.filter("copies > 1 or component <> node").drop("node", "copies")
-    return sized.join(known, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    known = nodes.filter("copies > 1 or node is not null").drop("node", "copies")
+    group = F.when(F.col("n_shingles") > 0, F.coalesce("group", "d1")).alias("group_id")
+    return sized.join(known, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), group, *also)
+
+
+def _smallest(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, head, smallest: of every linked node the smallest node and doc_id that links reach."""
+    reached = stored(components(found).select("node", F.col("component").alias("head")))
+    docs = nodes.select(F.col("d1").alias("node"), F.col("component").alias("doc"))
+    smallest = reached.join(docs, "node").groupBy("head").agg(F.min("doc").alias("smallest"))
+    return reached.join(smallest, "head")

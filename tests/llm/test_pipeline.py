@@ -44,3 +44,19 @@ def test_stages(spark, tmp_path):
     assert all(cut[i].text == t for i, t in clean.items())
     assert kept["best_fit_packing"] == kept["substring_dedup"]
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == kept["best_fit_packing"]
+
+
+def test_near_duplicates_keep_rows_without_or_with_one_doc_id(spark, tmp_path):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefghiklmnorstuw") for _ in range(6)) for _ in range(3000)]
+    text = lambda: [rng.choice(vocab) for _ in range(120)]
+    a, b, c, lone = text(), text(), text(), text()
+    changed = lambda w: " ".join([*w[:60], "changed", *w[61:]])
+    rows = [(1, " ".join(a)), (5, changed(a)), (5, " ".join(b)), (6, changed(b)), (5, " ".join(c)), (5, " ".join(c)), (7, changed(c))]
+    rows += [(8, ""), (8, " ".join(lone)), (8, changed(lone)), (None, " ".join(text())), (None, changed(a)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    of_eight = [x for x in got if x[0] == 8]
+    want = [(1, " ".join(a)), (5, " ".join(b)), (5, " ".join(c)), *[x for x in rows if x[0] is None]]
+    assert [x for x in got if x[0] != 8] == sorted(want, key=str)
+    assert len(of_eight) == 2 and (8, "") in of_eight
