@@ -43,6 +43,8 @@ from dynofleet.llm.textops import Slice, distinct_by_text, mix, shingles, slices
 SHARED_TOKEN, PAIR_COST = 0.01, 20.0
 #: Groups up to this size are compared pair by pair (45 pairs).
 SMALL_GROUP = 10
+#: Tells the two halves of a key apart where a segment holds no token and both sums are 0.
+_APART = np.uint64(0xA24BAED4963EE407)
 #: Times that a group is cut before what is left of it is compared pair by pair all the same.
 CUTS = 6
 
@@ -149,7 +151,7 @@ def index_keys(values: np.ndarray, bounds: np.ndarray, bands: Bands, layouts: li
         seg_no = np.arange(int(first[-1])) - first[seg_owner]
         with np.errstate(over="ignore"):
             place = mix((pair[seg_owner].astype(np.uint64) << np.uint64(32)) + seg_no.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
-            key = mix(total + place) ^ mix(count.astype(np.uint64) + place)
+            key = mix(total + place) ^ mix(count.astype(np.uint64) + place + _APART)  # an empty segment keeps the key of its place
         order = np.lexsort((key, -count, seg_owner))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - first[seg_owner[order]]
@@ -161,7 +163,7 @@ def index_keys(values: np.ndarray, bounds: np.ndarray, bands: Bands, layouts: li
             drop = deletes[owner]
             s = segment[drop]
             with np.errstate(over="ignore"):
-                less = mix(total[s] - held[drop] + place[s]) ^ mix((count[s] - 1).astype(np.uint64) + place[s])
+                less = mix(total[s] - held[drop] + place[s]) ^ mix((count[s] - 1).astype(np.uint64) + place[s] + _APART)
             out.append((owner[drop], less, np.zeros(len(less), dtype=bool)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

@@ -117,6 +117,18 @@ def test_set_join(spark, docs, k, num):
     assert setjoin.near_duplicates(empty(spark), k, num, 100).count() == 0
 
 
+def test_empty_segments_keep_the_key_of_their_place():
+    bands = setjoin.Bands(80, 100, 200)
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (20, 60, 180)]
+    bounds = np.cumsum([0, *map(len, sets)])
+    for deletions in (False, True):
+        layouts = [setjoin.Layout(40, 40, deletions)] * (len(bands.lows) - 1)
+        owner, key, whole = setjoin.index_keys(np.concatenate(sets), bounds, bands, layouts)
+        assert not (key == 0).any()
+        assert all(len(set(key[(owner == i) & whole])) == (whole & (owner == i)).sum() for i in range(3))
+
+
 def test_suffixes(spark, docs):
     got = {r.doc_id: r for r in suffixes.deduplicated(docs).collect()}
     seen, n = set(), 0
