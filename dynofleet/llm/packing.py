@@ -219,7 +219,7 @@ def pack(
             break
         # As many tasks as the tree says, but no fewer than keep each within its bound.
         fewest = -(-count // task_items)
-        if parts == 1 or parts <= fewest and before is not None and count > 0.98 * before:
+        if before is not None and (parts == 1 or parts <= fewest and count > 0.98 * before):
             done.append(left)
             break
         parts, before = max(1, fewest, -(-parts // fan_in)), count

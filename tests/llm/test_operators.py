@@ -92,6 +92,19 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
+def test_packing_of_one_partition_merges_open_bins(spark):
+    source = spark.createDataFrame([(i, " ".join(words(20, i))) for i in range(20)], "doc_id long, text string").coalesce(1)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(batch)
+    spark.conf.set(batch, "4")
+    try:
+        rows = packing.pack(source, WORDS, task_items=4).collect()
+    finally:
+        spark.conf.set(batch, old)
+    assert {r.doc_id for r in rows} == set(range(20))
+    assert len({r.sequence_id for r in rows}) == 1, "all fit one sequence"
+
+
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 70)])
 def test_set_join(spark, docs, k, num):
     sets = {}
