@@ -22,7 +22,6 @@ from dynofleet.llm.common import stored
 from dynofleet.llm.textops import _SPACE, Slice, byte_table, slices
 
 GEAR = byte_table(11, np.uint32)
-SECOND = byte_table(13)
 #: A boundary needs this many bytes since the candidate before it; a chunk never exceeds LONGEST bytes (nine bits).
 APART, LONGEST = 6, 511
 #: One in so many characters ends a chunk: blanks, other ASCII, the rest (which may know no blanks). Powers of two.
@@ -117,7 +116,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for s in slices(batch.column("text")):
                 starts, ends, owner = chunks(s)
-                d1, d2 = s.span_hashes(starts, ends), s.span_hashes(starts, ends, table=SECOND)
+                d1, d2 = s.span_hashes(starts, ends), s.span_hashes(starts, ends, seed=1)
                 doc, (at, beside) = ids[s.lo : s.hi][owner], _placed(starts, ends, owner, s)
                 d2 = d2 & ~np.uint64(0xFFFF) | beside  # 48 bits of digest
                 order = np.lexsort((at, doc, d2 >> np.uint64(16), d1))

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows of a few dozen bytes up to which one side of a join is sent to all executors.
+BROADCAST_ROWS = 300_000
+
+
+def sized_broadcast(keys: DataFrame) -> DataFrame:
+    """``keys``, stored, and marked for broadcast if they are BROADCAST_ROWS at most; beyond that a join shuffles them."""
+    kept = stored(keys)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) is a local one made and set.
+    Only where the session names none and runs on one machine (tests, a laptop) is a local one made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="dynofleet-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

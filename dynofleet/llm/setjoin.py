@@ -13,14 +13,27 @@ of hashes is cut into segments, and a set is indexed by what it holds in some of
 Which layout, and how many spare segments E, is chosen for every band pair by cost: rows indexed and
 pairs expected from chance, from the counts of distinct sets by band, which Spark has counted.
 
-Equal sets collapse to one node before anything is compared. A group of nodes with the same key is
-not expanded into pairs: its most popular node, the pivot p, is verified against the others. Where
-that leaves some unlinked, the group is cut by what its nodes differ in from p. Let D(x) be the
-symmetric difference of x and p. If x and y link but not both of them link to p, then D(x) and D(y)
-overlap, and by at least |D(x)| - H(x) tokens, H(x) being the most that x may differ from a linked
-set. So the H(x) + 1 first tokens of D(x) in hash order hold one of y's, and are the keys of the next
-round. Near copies of one text, changed in different places, share hardly any. Verification counts
-the common shingles of two whole sets.
+Equal sets collapse to one node before anything is compared. A group of nodes with one key is a star:
+its most popular node, the pivot q, is compared with the others, so comparisons grow with index rows.
+A pair is first tried on odd sketches (parities of hashed tokens): the bits in which they differ are at
+most the tokens in which the sets differ, so what they exclude is excluded for certain, by a
+thirtieth of the bytes. What passes is verified on the whole sets.
+
+Stars whose other nodes lie in different components then go on. Where comparing the others with one another
+takes no more rows than their keys would, they are compared, by sketch again: at most 2H + 2 for each node.
+In larger stars the others are keyed by what they differ in from q. For x let P(x) be the tokens that q
+lacks, and M(x) those of q that x lacks; links differ in H tokens at most, and of two nodes that both link to q
+nothing more is asked.
+
+* A pair that shares a token of P shares one of the H + 1 first ones, in hash order, of both.
+* A pair that shares none differs in |P(x)| + |P(y)| + |M(x) ^ M(y)| <= H tokens. If x doesn't link to q,
+  it follows that y has fewer tokens than q (|P(y)| < |M(y)|), that M(x) and M(y) overlap, and that they share one
+  of the H - |P| + 1 first tokens of M of each. So x asks with these, and y answers with its own.
+
+Nodes that don't link to q ask those that share a key, in blocks of BLOCK askers for each key, and components are merged
+between blocks. Groups that hold the same nodes are one group. Near copies of one text, changed in different places, share
+hardly any key here; the comparisons left are askers times holders of a key, which grows beyond the rows only
+where many texts share one edit and still link to nothing.
 """
 
 from __future__ import annotations
@@ -35,18 +48,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dynofleet.llm.common import stored
+from dynofleet.llm.common import forget, sized_broadcast, stored
 from dynofleet.llm.components import components
 from dynofleet.llm.textops import Slice, distinct_by_text, mix, shingles, slices
 
 #: Chance that a set holds a given token of another one; and what a candidate pair costs in index rows.
 SHARED_TOKEN, PAIR_COST = 0.01, 20.0
-#: Groups up to this size are compared pair by pair (45 pairs).
-SMALL_GROUP = 10
+#: Nodes that ask at once for one key; the others follow in later blocks.
+BLOCK = 32
 #: Tells the two halves of a key apart where a segment holds no token and both sums are 0.
 _APART = np.uint64(0xA24BAED4963EE407)
-#: Times that a group is cut before what is left of it is compared pair by pair all the same.
-CUTS = 6
 
 
 @dataclass(frozen=True)
@@ -185,10 +196,11 @@ def set_table(docs: DataFrame, k: int, also: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _index(docs: DataFrame, k: int, bands: Bands, layouts: list[Layout | None]) -> DataFrame:
-    """key, d1, whole: index rows of all texts; of equal sets in one slice only the first is indexed."""
+    """key, doc: index rows of all texts; of equal sets in one slice only the first is indexed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc").to_numpy()
             for s in slices(batch.column("text")):
                 values, bounds = text_sets(s, k)
                 d1, _ = digests(values, bounds)
@@ -197,92 +209,192 @@ def _index(docs: DataFrame, k: int, bands: Bands, layouts: list[Layout | None])
                 alone[first] = True
                 sizes = np.where(alone, np.diff(bounds), 0)
                 values = values[np.repeat(alone, np.diff(bounds))]
-                owner, key, whole = index_keys(values, np.concatenate(([0], np.cumsum(sizes))), bands, layouts)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d1[owner]), pa.array(whole)], names=["key", "d1", "whole"])
+                owner, key, _ = index_keys(values, np.concatenate(([0], np.cumsum(sizes))), bands, layouts)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[s.lo : s.hi][owner])], names=["key", "doc"])
 
-    return docs.select("text").mapInArrow(work, "key long, d1 long, whole boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null").mapInArrow(work, "key long, doc long")
 
 
 def _shared(index: DataFrame) -> DataFrame:
-    """Distinct index rows whose key two different sets hold.
+    """Index rows whose key two different documents hold.
 
     One exchange by key, sorted; a stream over the sorted rows that remembers one row tells them,
     so most rows end here and a common key takes no memory.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_set = waiting = None  # waiting: the first row of a key that one set holds so far
+        last_key = last_doc = waiting = None  # waiting: the first row of a key that one document holds so far
         several = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, d1, whole = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "d1", "whole"))
+            key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
             goes_on = last_key is not None and key[0] == last_key
             same_key = np.append(goes_on, key[1:] == key[:-1])
-            same_set = np.append(goes_on and d1[0] == last_set, d1[1:] == d1[:-1]) & same_key
+            same_doc = np.append(goes_on and doc[0] == last_doc, doc[1:] == doc[:-1]) & same_key
             group = np.cumsum(~same_key)  # 0: the key that goes on
             mixed = np.zeros(group[-1] + 1, dtype=bool)
             mixed[0] = several
-            mixed[group[same_key & ~same_set]] = True
-            rows = np.flatnonzero(mixed[group] & ~same_set)
-            cols = [c[rows] for c in (key, d1, whole)]
+            mixed[group[same_key & ~same_doc]] = True
+            rows = np.flatnonzero(mixed[group] & ~same_doc)
+            cols = [c[rows] for c in (key, doc)]
             if waiting is not None and goes_on and mixed[0]:
                 cols = [np.append(c, w).astype(c.dtype) for c, w in zip(cols, waiting, strict=True)]
                 waiting = None
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "d1", "whole"])
-            last_key, last_set, several = key[-1], d1[-1], bool(mixed[group[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc"])
+            last_key, last_doc, several = key[-1], doc[-1], bool(mixed[group[-1]])
             if group[-1] > 0:
                 k = int(np.searchsorted(group, group[-1]))
-                waiting = None if several else (key[k], d1[k], whole[k])
+                waiting = None if several else (key[k], doc[k])
 
-    return index.repartition("key").sortWithinPartitions("key", "d1", F.desc("whole")).mapInArrow(work, "key long, d1 long, whole boolean")
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(work, "key long, doc long")
 
 
-_VERIFIED = "a long, b long, linked boolean, keys array<bigint>"
+#: A set as a node: two digests of 64 bits.
+NODE = "struct<d1: long, d2: long>"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, keys: bool = False) -> DataFrame:
-    """a, b, linked of pairs (a, b): is den * common >= num * union, from the whole sets?
+def sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Odd sketches: bit i is the parity of the tokens hashed to i, over a power of two of bits, at least two a token."""
+    sizes = np.diff(bounds)
+    bits = np.array([max(256, 1 << int(2 * n - 1).bit_length()) if n else 256 for n in sizes], dtype=np.int64)
+    first = np.concatenate(([0], np.cumsum(bits)))
+    at = (mix(values ^ _APART) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(first[:-1], sizes)
+    packed = np.packbits(np.bincount(at, minlength=int(first[-1])).astype(np.uint8) & 1, bitorder="little")
+    return [packed[x:y].tobytes() for x, y in zip(first[:-1] // 8, first[1:] // 8, strict=True)]
+
+
+def differ_at_least(one: np.ndarray, two: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the other's length."""
+    if len(one) > len(two):
+        one, two = two, one
+    if len(two) > len(one):
+        two = np.bitwise_xor.reduce(two.reshape(-1, len(one)))
+    return int(np.bitwise_count(one ^ two).sum())
 
-    ``keys``: a is a pivot, and b's keys for the next round come along.
-    """
+
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, n, sketch, held (the sorted shingle hashes) of ``nodes`` (node, doc); twice where rows repeat doc_id and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, found = np.zeros(batch.num_rows, dtype=bool), []
-            pivots = batch.column("a").to_numpy()
-            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+            for s in slices(batch.column("text")):
+                values, bounds = text_sets(s, k)
+                d1, d2 = digests(values, bounds)
+                node = batch.column("node").slice(s.lo, s.n)
+                # Of rows with one doc_id only those that hold the set meant.
+                same = (d1 == node.field("d1").to_numpy()) & (d2 == node.field("d2").to_numpy())
+                held = [values[bounds[i] : bounds[i + 1]].tobytes() for i in range(s.n)]
+                part = pa.RecordBatch.from_arrays([node, pa.array(np.diff(bounds)), pa.array(sketches(values, bounds), pa.binary()), pa.array(held, pa.binary())], names=["node", "n", "sketch", "held"])
+                yield part.filter(pa.array(same))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    return texts.join(sized_broadcast(nodes), "doc").select("node", "text").mapInArrow(work, f"node {NODE}, n long, sketch binary, held binary")
+
+
+def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with sizes and ``column`` of both; sizes too far apart for a link are left to the caller."""
+    of = lambda node: sets.select(F.col("node").alias(node), F.col("n").alias(f"n{node}"), F.col(column).alias(f"s{node}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links among pairs (a, b): by size, by sketch, then den * common >= num * union on the whole sets. Stored."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (den - num) // (den + num)
+            ok = [differ_at_least(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= m for x, y, m in zip(batch.column("sa"), batch.column("sb"), most.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-                both = two[at] == one
-                common = int(both.sum())
-                linked[i] = den * common >= num * (len(one) + len(two) - common)
-                if keys:
-                    rest = np.ones(len(two), dtype=bool)
-                    rest[at[both]] = False
-                    with np.errstate(over="ignore"):
-                        order = np.sort(mix(np.concatenate((one[~both], two[rest])) + mix(pivots[i : i + 1].view(np.uint64))))
-                    found.append(order[: len(two) * (den - num) // num + 1].view(np.int64))
-                else:
-                    found.append(np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked), lists], names=["a", "b", "linked", "keys"])
-
-    of = lambda node, name: sets.select(F.col("node").alias(node), F.col("n").alias(f"n{node}"), F.col("held").alias(name))
-    both = pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a")
-    if not keys:  # sizes too far apart can't link
-        both = both.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(work, _VERIFIED)
+                common = len(one) - int(_only(one, two).sum())
+                ok.append(den * common >= num * (len(one) + len(two) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pair = f"a {NODE}, b {NODE}"
+    near = _with(pairs, sets, "sketch").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    left = stored(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(sketched, pair))
+    found = stored(_with(left, _of_pairs(left, sets), "held").select("a", "b", "sa", "sb").mapInArrow(whole, pair))
+    forget(left)
+    return found
+
+
+def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that pairs (a, b) name."""
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return sets.join(sized_broadcast(named), "node", "left_semi")
+
+
+def _only(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which of the sorted values ``one`` are not in ``two``."""
+    if not len(two):
+        return np.ones(len(one), dtype=bool)
+    return two[np.minimum(np.searchsorted(two, one), len(two) - 1)] != one
+
+
+def difference_keys(pivot: np.ndarray, other: np.ndarray, num: int, den: int, salt: np.uint64) -> tuple[np.ndarray, int, bool]:
+    """Keys of a node by what it differs in from its pivot; how many of them are of P; does it link to the pivot?"""
+    more, less = other[_only(other, pivot)], pivot[_only(pivot, other)]
+    common = len(other) - len(more)
+    linked = den * common >= num * (len(pivot) + len(other) - common)
+    most = len(other) * (den - num) // num
+    with np.errstate(over="ignore"):
+        plus = np.sort(mix(more + salt))[: most + 1]
+        minus = np.sort(mix(~less + salt))[: max(most - len(more) + 1, 0)] if not linked or len(more) < len(less) else plus[:0]
+    return np.concatenate((plus, minus)), len(plus), linked
+
+
+_KEYED = f"key long, node {NODE}, asks boolean, answers boolean"
+
+
+def _keyed(star: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The keys of the others of stars (a: pivot, b: other)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, asks, answers = [], [], [], []
+            salts = mix(batch.column("a").field("d1").to_numpy().view(np.uint64))
+            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+                pivot, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                key, n_plus, linked = difference_keys(pivot, other, num, den, salts[i])
+                keys.append(key)
+                sizes.append(len(key))
+                asks.append(not linked)
+                answers.append((np.arange(len(key)) < n_plus) | (len(other) < len(pivot)))
+            if not sizes:
+                continue
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            cols = [pa.array(np.concatenate(keys).view(np.int64)), batch.column("b").take(pa.array(row)), pa.array(np.array(asks)[row]), pa.array(np.concatenate(answers))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "asks", "answers"])
+
+    return _with(star, _of_pairs(star, sets), "held").select("a", "b", "sa", "sb").mapInArrow(work, _KEYED)
+
+
+def _once(groups: DataFrame, *flags: str) -> DataFrame:
+    """key, n: one key of those whose groups hold the same nodes in the same roles."""
+    one, two = F.xxhash64("node", *flags), F.xxhash64(F.lit(1), "node", *flags)
+    return groups.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(one).alias("h1"), F.bit_xor(two).alias("h2")).filter("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """``rows`` with the component of ``node``: the node itself where no link is known."""
+    return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
 
 
 def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """Links (a, b) that connect what the threshold connects; a node is the digest d1 of a set.
+    """Links (a, b) that connect what the threshold connects; a node is the pair of digests of a set.
 
     Rows that share a doc_id may hold different sets, so doc_id only says where to find one text of a
     set. Sets that only rows without doc_id hold have no links. ``table``: what ``set_table`` gives, stored. None where no two sets can be linked.
     """
-    nodes = stored(table.filter("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc")).filter("doc is not null").withColumn("node", F.col("d1")))
+    node = F.struct("d1", "d2").alias("node")
+    known = table.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", node)
+    nodes = stored(known.groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc")))
     largest = nodes.agg(F.max("n")).first()[0]
     if not largest:
         return None
@@ -293,58 +405,48 @@ def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> Data
     counts = {r["band"]: r["count"] for r in nodes.groupBy(band.alias("band")).count().collect()}
     layouts = bands.layouts(counts)
 
-    found = _shared(_index(docs, k, bands, layouts)).join(nodes.select("d1", "node"), "d1")  # drops sets without doc_id
-    groups = stored(found.select("key", "node", F.col("node").alias("component"), "whole"))
-    sets = stored(_sets(docs, groups.select("node").distinct().join(nodes, "node"), k))
-    all_links: DataFrame | None = None
-    for cut in range(CUTS + 1):
-        sized = groups.join(groups.groupBy("key").agg(F.count("*").alias("size")), "key")
-        small = sized.filter((F.col("size") <= SMALL_GROUP) | F.lit(cut == CUTS))
-        side = lambda x, c: small.select("key", F.col("node").alias(x), F.col("component").alias(c))  # noqa: E731, B023
-        few = side("a", "ca").join(side("b", "cb"), "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-        all_links = _more(all_links, stored(_verified(few, sets, num, den).filter("linked").select("a", "b")))
-        if cut == CUTS:
-            break
-        # The most popular node stands in the most and largest groups; later rounds take any.
-        weight = sized.groupBy("node").agg((F.sum("size") if cut == 0 else F.min(F.xxhash64("node", F.lit(cut)))).alias("weight"))
-        big = sized.filter(F.col("size") > SMALL_GROUP).join(weight, "node")
-        pivots = stored(big.groupBy("key").agg(F.max_by("node", F.struct("whole", "weight", -F.col("node"))).alias("a")))
-        if pivots.limit(1).count() == 0:
-            break
-        starred = big.select("key", F.col("node").alias("b")).join(pivots, "key").filter("a <> b")
-        star = stored(_verified(starred.select("a", "b").distinct(), sets, num, den, keys=True))
-        all_links = _more(all_links, star.filter("linked").select("a", "b"))
-        # Stars with nodes that don't link to their pivot are cut; what links to it is one component there.
-        left = star.filter(~F.col("linked")).select("a").distinct()
-        again = star.join(left, "a").select(F.explode("keys").alias("key"), F.col("b").alias("node"), F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("component"))
-        mixed = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        groups = stored(again.join(mixed, "key").distinct().withColumn("whole", F.lit(True)))
-        if groups.limit(1).count() == 0:
-            break
+    found = stored(_shared(_index(docs, k, bands, layouts)).join(known.select(F.col("doc_id").alias("doc"), "node"), "doc").select("key", "node").distinct())
+    groups = stored(found.join(_once(found).select("key"), "key", "left_semi"))
+    forget(found)
+    sets = stored(_sets(docs, groups.select("node").distinct().join(nodes, "node").select("node", "doc"), k))
+
+    # Every group and its most popular node, with which the others are compared.
+    weight = groups.groupBy("node").agg(F.count("*").alias("weight"))
+    pivots = groups.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
+    star = stored(groups.select("key", F.col("node").alias("b")).join(pivots, "key").filter("a <> b").select("a", "b").distinct())
+    forget(groups)
+    all_links = _verified(star, sets, num, den)
+    labels = stored(components(all_links))
+
+    # Stars whose other nodes lie in several components: small ones are compared, large ones keyed.
+    member = _labelled(star, labels, "b", "cb").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    sized = member.groupBy("a").agg(F.count("*").alias("others"), F.min("nb").alias("least"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).filter("lo < hi")
+    few = F.col("others") - 1 <= 2 * (F.floor(F.col("least") * (den - num) / num) + 1)
+    member = stored(member.join(sized.select("a", few.alias("few")), "a"))
+    side = lambda x: member.filter("few").select("a", F.col("b").alias(x), F.col("cb").alias(f"c{x}"), F.col("nb").alias(f"n{x}"))
+    fits = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+    rest = side("x").join(side("y"), "a").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & fits)
+    all_links = all_links.unionByName(_verified(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets, num, den))
+
+    keyed = stored(_keyed(member.filter("not few").select("a", "b"), sets, num, den).distinct())
+    held = _labelled(keyed, labels, "node", "label")
+    asked = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("asks").alias("askers"), F.max("answers").alias("answer")).filter("lo < hi and askers > 0 and answer")
+    live = asked.join(_once(keyed, "asks", "answers").select("key"), "key", "left_semi").select("key", F.ceil(F.col("askers") / BLOCK).alias("blocks"))
+    groups = stored(keyed.join(live, "key").withColumn("block", F.when(F.col("asks"), F.pmod(F.xxhash64("key", "node"), "blocks"))))
+    for x in (star, member, keyed):
+        forget(x)
+    for block in range(groups.agg(F.max("blocks")).first()[0] or 0):
+        pairs = groups.filter(F.col("block") == block).select("key", F.col("node").alias("a")).join(groups.filter("answers").select("key", F.col("node").alias("b")), "key").filter("a <> b").select("a", "b").distinct()
+        found = _verified(_labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b"), sets, num, den)
+        if found.limit(1).count():
+            all_links = all_links.unionByName(found)
+            forget(labels)
+            labels = stored(components(all_links))
+    for x in (labels, nodes, sets, groups):
+        forget(x)
     return all_links
 
 
-def _more(links_: DataFrame | None, new: DataFrame) -> DataFrame:
-    return new if links_ is None else links_.unionByName(new)
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, n, held: the sorted shingle hashes (64-bit words) of the nodes in question."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in slices(batch.column("text")):
-                values, bounds = text_sets(s, k)
-                d1, _ = digests(values, bounds)
-                same = d1 == batch.column("d1").slice(s.lo, s.n).to_numpy()  # of rows with one doc_id only the one meant
-                held = [values[bounds[i] : bounds[i + 1]].tobytes() for i in range(s.n)]
-                part = pa.RecordBatch.from_arrays([batch.column("node").slice(s.lo, s.n), pa.array(np.diff(bounds)), pa.array(held, pa.binary())], names=["node", "n", "held"])
-                yield part.filter(pa.array(same))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return texts.join(nodes.select("doc", "node", "d1"), "doc").mapInArrow(work, "node long, n long, held binary").dropDuplicates(["node"])
-
-
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -352,7 +454,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     shingles, or all words as one where there are fewer. Sets link when den * common >= num * union.
     component_id is the smallest doc_id that links reach. Null, empty and blank texts have no
     shingles and are alone; equal rows are in one component; an empty table gives no rows.
-    Sets are compared by 64-bit hashes of shingles; equal sets are found by 128 bits of digest.
+    Sets are compared by 64-bit hashes of shingles (two sets of n share one by chance in n * n of 2 ** 64
+    cases); equal sets are found by 128 bits of digest.
     """
     return grouped(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
 
@@ -365,22 +468,15 @@ def grouped(docs: DataFrame, k: int, num: int, den: int, also: tuple[str, ...] =
     """
     sized = stored(set_table(docs, k, also))
     found = links(docs, sized, k, num, den)
-    nodes = sized.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("component"), F.count("*").alias("copies")).withColumn("group", F.col("d1"))
+    nodes = sized.filter("n_shingles > 0").groupBy(F.struct("d1", "d2").alias("node")).agg(F.min("doc_id").alias("component"), F.count("*").alias("copies"))
     if found is not None:
-        linked = _smallest(found, nodes)
-        nodes = nodes.join(linked, F.col("d1") == F.col("node"), "left")
-        nodes = nodes.select("d1", "d2", "n_shingles", "copies", F.coalesce("smallest", "component").alias("component"), F.coalesce("head", "group").alias("group"), "node")
+        # Of every linked node the smallest node and doc_id that links reach.
+        reached = stored(components(found).select("node", F.col("component").alias("head")))
+        smallest = reached.join(nodes, "node").groupBy("head").agg(F.min("component").alias("smallest"))
+        nodes = nodes.join(reached.join(smallest, "head"), "node", "left")
     else:
-        nodes = nodes.withColumn("node", F.lit(None).cast("long"))
+        nodes = nodes.withColumn("head", F.lit(None).cast(NODE)).withColumn("smallest", F.lit(None).cast("long"))
     # Sets that stand alone need no join: the rest is what has copies or links.
-    known = nodes.filter("copies > 1 or node is not null").drop("node", "copies")
-    group = F.when(F.col("n_shingles") > 0, F.coalesce("group", "d1")).alias("group_id")
-    return sized.join(known, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), group, *also)
-
-
-def _smallest(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, head, smallest: of every linked node the smallest node and doc_id that links reach."""
-    reached = stored(components(found).select("node", F.col("component").alias("head")))
-    docs = nodes.select(F.col("d1").alias("node"), F.col("component").alias("doc"))
-    smallest = reached.join(docs, "node").groupBy("head").agg(F.min("doc").alias("smallest"))
-    return reached.join(smallest, "head")
+    known = nodes.filter("copies > 1 or head is not null").select("node.d1", "node.d2", F.coalesce("smallest", "component").alias("component"), F.coalesce("head", "node").alias("group"))
+    group = F.when(F.col("n_shingles") > 0, F.coalesce("group", F.struct("d1", "d2"))).alias("group_id")
+    return sized.join(known, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), group, *also)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dynofleet.llm.common import stored
-from dynofleet.llm.textops import Slice, mix, slices
+from dynofleet.llm.textops import Slice, rolling_hashes, slices
 
 #: Bytes of a gram whose smallest hash deals out a string.
 GRAM = 32
@@ -48,8 +48,7 @@ def stretches(s: Slice, length: int) -> tuple[np.ndarray, ...]:
     if len(s.data) < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
     span = length - GRAM + 1
-    at = np.arange(len(s.data) - GRAM + 1)
-    grams = s.span_hashes(at, at + GRAM)
+    grams = rolling_hashes(s.data, GRAM)
     low = _sliding(grams, span, np.minimum)
     end = np.repeat(s.offsets[1:], n_bytes)
     valid = np.zeros(len(s.data) + 1, dtype=bool)
@@ -277,7 +276,7 @@ def _hot_ranges(texts: DataFrame, length: int) -> DataFrame:
                 n = np.diff(s.offsets) - length + 1
                 at = np.repeat(s.offsets[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
                 one = s.span_hashes(at, at + length)
-                two = s.span_hashes(at, at + length, table=mix(np.arange(1, 257, dtype=np.uint64)))
+                two = s.span_hashes(at, at + length, seed=1)
                 row = np.repeat(np.arange(s.n), n)
                 doc, place = part.column("doc_id").to_numpy()[row], part.column("start").to_numpy()[row] + at - s.offsets[row]
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32))], names=["d1", "d2", "doc_id", "place"])

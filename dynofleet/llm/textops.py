@@ -6,6 +6,7 @@ small whatever the size of the Arrow batch; a text is never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,9 +28,6 @@ def byte_table(seed: int, dtype=np.uint64) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, np.iinfo(dtype).max, 256, dtype=dtype, endpoint=True)
 
 
-_BYTES = byte_table(7)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -40,6 +38,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes read at once; spans beyond _LONG bytes are digested one by one.
+_LANE, _LONG = 8, 1024
+_MASKS = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], dtype=np.uint64)
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n + 1, _ODD)
@@ -49,9 +52,47 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd 64-bit base, and of its inverse; sizes are rounded up so that they are kept."""
-    return _powers(max(SLICE_BYTES, 1 << int(n).bit_length()))
+def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes from every place on, from one running sum of powers.
+
+    It only deals strings out, so that equal ones meet; whether they are equal is decided by other means.
+    """
+    up, down = _powers(max(SLICE_BYTES, 1 << int(len(data)).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte_table(7)[data] * up[: len(data)], out=total[1:])
+        return mix((total[width:] - total[:-width]) * down[: len(data) - width + 1])
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; other seeds give other, independent hashes.
+
+    Eight bytes at a time are mixed into a state, as in a block hash. There is no algebra between
+    texts and hashes (as with sums of powers) by which one could write texts that collide for any seed;
+    spans beyond _LONG bytes are digested by keyed BLAKE2.
+    """
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(_LANE, np.uint8)))
+    words = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019) * np.uint64(2 * seed + 1))
+        use, at, left = np.arange(len(size)), starts, size
+        if len(size) and int(size.max()) > _LONG:
+            use = np.flatnonzero(size <= _LONG)
+            at, left = starts[use], size[use]
+        while True:
+            on = np.flatnonzero(left > 0)
+            if not len(on):
+                break
+            if len(on) < len(use):
+                use, at, left = use[on], at[on], left[on]
+            lane = words[at] & _MASKS[np.minimum(left, _LANE)]
+            out[use] = mix(mix(out[use] ^ lane) * _ODD + lane)
+            at, left = at + _LANE, left - _LANE
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(16, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 class Slice:
@@ -65,7 +106,7 @@ class Slice:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, lower: bool = False, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, lower: bool = False, apart: np.ndarray = _SPACE, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of bytes outside ``apart`` (0x20 and 0x09-0x0D): starts, ends, 64-bit hashes, and offsets by text."""
         b = self.data
         if not len(b):
@@ -79,17 +120,11 @@ class Slice:
         now = np.append(inside, False)
         starts = np.flatnonzero(now & (first | ~before))
         ends = np.flatnonzero(before & (first | ~now))
-        hashes = self.span_hashes(starts, ends, _LOWER[b] if lower else b)
+        hashes = hash_spans(_LOWER[b] if lower else b, starts, ends, seed)
         return starts, ends, hashes, np.searchsorted(starts, self.offsets)
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, b: np.ndarray | None = None, table: np.ndarray = _BYTES) -> np.ndarray:
-        """A 64-bit polynomial hash of each span, from one running sum."""
-        b = self.data if b is None else b
-        up, down = powers(len(b) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(table[b] * up[: len(b)], out=total[1:])
-            return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        return hash_spans(self.data, starts, ends, seed)
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
