@@ -30,10 +30,10 @@ nothing more is asked.
   it follows that y has fewer tokens than q (|P(y)| < |M(y)|), that M(x) and M(y) overlap, and that they share one
   of the H - |P| + 1 first tokens of M of each. So x asks with these, and y answers with its own.
 
-Nodes that don't link to q ask those that share a key, in blocks of BLOCK askers for each key, and components are merged
-between blocks. Groups that hold the same nodes are one group. Near copies of one text, changed in different places, share
-hardly any key here; the comparisons left are askers times holders of a key, which grows beyond the rows only
-where many texts share one edit and still link to nothing.
+Nodes that don't link to q ask those that share a key; their sketches, folded to 256 bits, stand in the rows and
+are compared in the join itself. Groups that hold the same nodes are one group. Near copies of one text, changed in
+different places, share hardly any key here; the comparisons left are askers times holders of a key, which
+grows beyond the rows only where many texts share one edit and still link to nothing.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +54,6 @@ from dynofleet.llm.textops import Slice, distinct_by_text, mix, shingles, slices
 
 #: Chance that a set holds a given token of another one; and what a candidate pair costs in index rows.
 SHARED_TOKEN, PAIR_COST = 0.01, 20.0
-#: Nodes that ask at once for one key; the others follow in later blocks.
-BLOCK = 32
 #: Tells the two halves of a key apart where a segment holds no token and both sums are 0.
 _APART = np.uint64(0xA24BAED4963EE407)
 
@@ -273,8 +271,25 @@ def differ_at_least(one: np.ndarray, two: np.ndarray) -> int:
     return int(np.bitwise_count(one ^ two).sum())
 
 
+#: A sketch folded to four words, small enough to stand in every row.
+BRIEF = "struct<w0: long, w1: long, w2: long, w3: long>"
+
+
+def _briefs(found: list[bytes]) -> pa.StructArray:
+    folded = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, 4)) for x in found]
+    words = np.concatenate(folded).reshape(-1, 4) if folded else np.zeros((0, 4), np.int64)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)], names=["w0", "w1", "w2", "w3"])
+
+
+def _may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Do sizes and brief sketches of nodes x and y (columns n and brief with their names) allow a link?"""
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    apart = sum((F.bit_count(F.col(f"brief{x}.w{i}").bitwiseXOR(F.col(f"brief{y}.w{i}"))) for i in range(4)), F.lit(0))
+    return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (apart * (den + num) <= (nx + ny) * (den - num))
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, n, sketch, held (the sorted shingle hashes) of ``nodes`` (node, doc); twice where rows repeat doc_id and text."""
+    """node, n, brief, sketch, held (the sorted shingle hashes) of ``nodes`` (node, doc); twice where rows repeat doc_id and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,11 +300,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 # Of rows with one doc_id only those that hold the set meant.
                 same = (d1 == node.field("d1").to_numpy()) & (d2 == node.field("d2").to_numpy())
                 held = [values[bounds[i] : bounds[i + 1]].tobytes() for i in range(s.n)]
-                part = pa.RecordBatch.from_arrays([node, pa.array(np.diff(bounds)), pa.array(sketches(values, bounds), pa.binary()), pa.array(held, pa.binary())], names=["node", "n", "sketch", "held"])
+                odd = sketches(values, bounds)
+                part = pa.RecordBatch.from_arrays([node, pa.array(np.diff(bounds)), _briefs(odd), pa.array(odd, pa.binary()), pa.array(held, pa.binary())], names=["node", "n", "brief", "sketch", "held"])
                 yield part.filter(pa.array(same))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return texts.join(sized_broadcast(nodes), "doc").select("node", "text").mapInArrow(work, f"node {NODE}, n long, sketch binary, held binary")
+    return texts.join(sized_broadcast(nodes), "doc").select("node", "text").mapInArrow(work, f"node {NODE}, n long, brief {BRIEF}, sketch binary, held binary")
 
 
 def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -419,30 +435,25 @@ def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> Data
     labels = stored(components(all_links))
 
     # Stars whose other nodes lie in several components: small ones are compared, large ones keyed.
-    member = _labelled(star, labels, "b", "cb").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    member = _labelled(star, labels, "b", "cb").join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("brief").alias("briefb")), "b")
     sized = member.groupBy("a").agg(F.count("*").alias("others"), F.min("nb").alias("least"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).filter("lo < hi")
     few = F.col("others") - 1 <= 2 * (F.floor(F.col("least") * (den - num) / num) + 1)
     member = stored(member.join(sized.select("a", few.alias("few")), "a"))
-    side = lambda x: member.filter("few").select("a", F.col("b").alias(x), F.col("cb").alias(f"c{x}"), F.col("nb").alias(f"n{x}"))
-    fits = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    rest = side("x").join(side("y"), "a").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & fits)
-    all_links = all_links.unionByName(_verified(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets, num, den))
+    side = lambda x: [F.col("b").alias(x), F.col("cb").alias(f"c{x}"), F.col("nb").alias(f"n{x}"), F.col("briefb").alias(f"brief{x}")]
+    small, others = member.filter("few").select("a", *side("x")), member.filter("few").select(F.col("a").alias("star"), *side("y"))
+    apart = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _may_link("x", "y", num, den)
+    rest = small.join(others, (F.col("a") == F.col("star")) & apart).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     keyed = stored(_keyed(member.filter("not few").select("a", "b"), sets, num, den).distinct())
     held = _labelled(keyed, labels, "node", "label")
-    asked = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("asks").alias("askers"), F.max("answers").alias("answer")).filter("lo < hi and askers > 0 and answer")
-    live = asked.join(_once(keyed, "asks", "answers").select("key"), "key", "left_semi").select("key", F.ceil(F.col("askers") / BLOCK).alias("blocks"))
-    groups = stored(keyed.join(live, "key").withColumn("block", F.when(F.col("asks"), F.pmod(F.xxhash64("key", "node"), "blocks"))))
-    for x in (star, member, keyed):
-        forget(x)
-    for block in range(groups.agg(F.max("blocks")).first()[0] or 0):
-        pairs = groups.filter(F.col("block") == block).select("key", F.col("node").alias("a")).join(groups.filter("answers").select("key", F.col("node").alias("b")), "key").filter("a <> b").select("a", "b").distinct()
-        found = _verified(_labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b"), sets, num, den)
-        if found.limit(1).count():
-            all_links = all_links.unionByName(found)
-            forget(labels)
-            labels = stored(components(all_links))
-    for x in (labels, nodes, sets, groups):
+    asked = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("asks").alias("ask"), F.max("answers").alias("answer")).filter("lo < hi and ask and answer")
+    live = asked.join(_once(keyed, "asks", "answers"), "key", "left_semi").select("key")
+    groups = stored(held.join(live, "key", "left_semi").join(sets.select("node", F.col("n").alias("nb"), F.col("brief").alias("briefb")), "node").select("key", F.col("node").alias("b"), F.col("label").alias("cb"), "nb", "briefb", "asks", "answers"))
+    askers, holders = groups.filter("asks").select("key", *side("x")), groups.filter("answers").select(F.col("key").alias("same"), *side("y"))
+    more = askers.join(holders, (F.col("key") == F.col("same")) & (F.col("cx") != F.col("cy")) & _may_link("x", "y", num, den)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = rest.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    all_links = all_links.unionByName(_verified(pairs, sets, num, den))
+    for x in (star, member, keyed, groups, labels, nodes, sets):
         forget(x)
     return all_links
 
