@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 8 bytes decides where chunks end, so an insertion moves no
-boundary beyond its own neighbourhood. Chunks are deduplicated by a 112-bit digest: all but the
+boundary beyond its own neighbourhood. Chunks are deduplicated by an 88-bit digest: all but the
 first occurrence, in order of doc_id and place, are repeats. The chunks that hang over the ends of
 a shared passage don't repeat: at both ends of every run of repeats the bytes are compared with those
 around the earlier occurrence, and the run grows as far as they agree. Runs that are long enough then
@@ -18,17 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dynofleet.llm.common import stored
-from dynofleet.llm.textops import _SPACE, Slice, byte_table, slices
+from dynofleet.llm.common import sized_broadcast, stored
+from dynofleet.llm.textops import Slice, byte_table, slices
 
 GEAR = byte_table(11, np.uint32)
-#: A boundary needs this many bytes since the candidate before it; a chunk never exceeds LONGEST bytes (nine bits).
-APART, LONGEST = 6, 511
-#: One in so many characters ends a chunk: blanks, other ASCII, the rest (which may know no blanks). Powers of two.
-BLANKS, LETTERS, OTHERS = 4, 64, 8
+#: A boundary is where the hash is smallest within so many bytes on either side, so chunks have 33 bytes in the mean
+#: and few are much longer; a chunk never exceeds LONGEST bytes (nine bits).
+APART, LONGEST = 16, 511
+#: The hash of places that end no character.
+_NEVER = np.uint32(0xFFFFFFFF)
 #: Bytes from the end of a run within which its chunks say where to compare on; and bytes compared beyond the
-#: chunk that hangs over, as a boundary depends on the 8 + APART bytes before it.
-NEAR, MARGIN = 128, 14
+#: chunk that hangs over, as a boundary depends on the bytes within APART, and on 7 before those.
+NEAR, MARGIN = 128, 24
 #: Bytes that a run of repeated chunks must have to be cut out.
 LEAST_RUN = 100
 
@@ -44,6 +45,16 @@ def gear_hash(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     return h
 
 
+def smallest_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of x[i : i + width], by doubling; the last places see fewer."""
+    out, have = x.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
 def chunks(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of the chunks of a slice; chunks tile their texts."""
     data, n_bytes = s.data, np.diff(s.offsets)
@@ -53,14 +64,14 @@ def chunks(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(data)) - np.repeat(s.offsets[:-1], n_bytes)
     h = gear_hash(data, place)
     whole = np.append((data[1:] & 0xC0) != 0x80, True)  # the next byte begins a character
-    one_in = lambda n: h >> np.uint32(10) & np.uint32(n - 1) == 0
-    wide = data >= 0x80
-    cut = (_SPACE[data] & one_in(BLANKS)) | (whole & ((~wide & one_in(LETTERS)) | (wide & one_in(OTHERS))))
-    at = np.flatnonzero(cut) + 1
-    owner = np.searchsorted(s.offsets, at - 1, side="right") - 1
-    apart = np.ones(len(at), dtype=bool)
-    apart[1:] = (np.diff(at) >= APART) | (owner[1:] != owner[:-1])
-    ends = np.unique(np.concatenate((at[apart], s.offsets[1:][n_bytes > 0])))
+    h = np.where(whole, h >> np.uint32(1), _NEVER)
+    # Texts are set apart, so that none sees its neighbours.
+    pos = np.arange(len(data)) + APART * (np.repeat(np.arange(s.n), n_bytes) + 1)
+    spread = np.full(len(data) + APART * (s.n + 1) + 1, _NEVER)
+    spread[pos] = h
+    low = smallest_of(spread, APART)
+    at = np.flatnonzero(whole & (h < low[pos - APART]) & (h <= low[pos + 1])) + 1
+    ends = np.unique(np.concatenate((at, s.offsets[1:][n_bytes > 0])))
     starts = np.concatenate(([0], ends[:-1]))
     more = []
     for k in np.flatnonzero(ends - starts > LONGEST):  # no boundary for long: cut by count, at characters
@@ -118,7 +129,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 starts, ends, owner = chunks(s)
                 d1, d2 = s.span_hashes(starts, ends), s.span_hashes(starts, ends, seed=1)
                 doc, (at, beside) = ids[s.lo : s.hi][owner], _placed(starts, ends, owner, s)
-                d2 = d2 & ~np.uint64(0xFFFF) | beside  # 48 bits of digest
+                d2 = d2 >> np.uint64(40) << np.uint64(16) | beside  # 24 bits of digest
                 order = np.lexsort((at, doc, d2 >> np.uint64(16), d1))
                 d1, d2, doc, at = d1[order].view(np.int64), d2[order].view(np.int64), doc[order], at[order]
                 known = np.zeros(len(order), dtype=bool)
@@ -278,7 +289,8 @@ def neighbours(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 found = pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("first_doc").take(pa.array(row)), pa.array(place, pa.int64()), pa.array(d1, pa.int64()), found], names=[*keys, "bytes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text")
+    wanted = stored(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(sized_broadcast(wanted.select("first_doc"), 16), "first_doc", "left_semi")
     found = texts.join(wanted, "first_doc").mapInArrow(work, "first_doc long, place long, d1 long, bytes binary")
     return asked.join(found, keys).select("doc_id", "own", "bytes").repartition("doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("own", "bytes")).alias("beside"))
 
@@ -359,7 +371,12 @@ def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     beside = neighbours(docs, stored(edges(again))).select(F.col("doc_id").alias("_doc2"), F.col("beside").alias("_beside"))
     lists = again.select(F.col("doc_id").alias("_doc"), F.transform("again", lambda x: F.struct(x["at"].alias("at"), x["d1"].alias("d1"))).alias("_again"))
     both = lists.join(beside, F.col("_doc") == F.col("_doc2"), "left").drop("_doc2")
-    return docs.join(both, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc").mapInArrow(work, schema)
+    # Documents without repeats need no join with their lists.
+    ids = sized_broadcast(again.select(F.col("doc_id").alias("_doc")), 16)
+    same = F.col("doc_id").cast("long") == F.col("_doc")
+    cut = docs.join(ids, same, "left_semi").join(both, same).drop("_doc").mapInArrow(work, schema)
+    whole = docs.join(ids, same, "left_anti").withColumn("_removed", F.array().cast(schema["_removed"].dataType))
+    return cut.unionByName(whole)
 
 
 def removal_digests(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:

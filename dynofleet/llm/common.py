@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of a few dozen bytes up to which one side of a join is sent to all executors.
-BROADCAST_ROWS = 300_000
+#: Bytes up to which one side of a join is sent to all executors.
+BROADCAST_BYTES = 24_000_000
 
 
-def sized_broadcast(keys: DataFrame) -> DataFrame:
-    """``keys``, stored, and marked for broadcast if they are BROADCAST_ROWS at most; beyond that a join shuffles them."""
+def sized_broadcast(keys: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """``keys``, stored, and marked for broadcast if they take BROADCAST_BYTES at most; beyond that a join shuffles them.
+
+    ``row_bytes``: what a row takes in an executor's table.
+    """
     kept = stored(keys)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    return F.broadcast(kept) if kept.count() * row_bytes <= BROADCAST_BYTES else kept
 
 
 def shared_dir(spark: SparkSession) -> str:
