@@ -214,36 +214,27 @@ def _index(docs: DataFrame, k: int, bands: Bands, layouts: list[Layout | None])
 
 
 def _shared(index: DataFrame) -> DataFrame:
-    """Index rows whose key two different documents hold.
+    """Index rows whose key two texts hold; they may have the same set, or one doc_id.
 
     One exchange by key, sorted; a stream over the sorted rows that remembers one row tells them,
     so most rows end here and a common key takes no memory.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_doc = waiting = None  # waiting: the first row of a key that one document holds so far
-        several = False
+        last = waiting = None  # the key that goes on, and its doc while one row holds it so far
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
-            goes_on = last_key is not None and key[0] == last_key
-            same_key = np.append(goes_on, key[1:] == key[:-1])
-            same_doc = np.append(goes_on and doc[0] == last_doc, doc[1:] == doc[:-1]) & same_key
-            group = np.cumsum(~same_key)  # 0: the key that goes on
-            mixed = np.zeros(group[-1] + 1, dtype=bool)
-            mixed[0] = several
-            mixed[group[same_key & ~same_doc]] = True
-            rows = np.flatnonzero(mixed[group] & ~same_doc)
-            cols = [c[rows] for c in (key, doc)]
-            if waiting is not None and goes_on and mixed[0]:
-                cols = [np.append(c, w).astype(c.dtype) for c, w in zip(cols, waiting, strict=True)]
-                waiting = None
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc"])
-            last_key, last_doc, several = key[-1], doc[-1], bool(mixed[group[-1]])
-            if group[-1] > 0:
-                k = int(np.searchsorted(group, group[-1]))
-                waiting = None if several else (key[k], doc[k])
+            same = np.append(last is not None and key[0] == last, key[1:] == key[:-1])
+            rows = np.flatnonzero(same | np.append(same[1:], False))
+            keys, docs = key[rows], doc[rows]
+            if same[0] and waiting is not None:
+                keys, docs = np.append(keys, last), np.append(docs, waiting)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs)], names=["key", "doc"])
+            # The last row waits if it began its key and nothing has followed it yet.
+            waiting = None if same[-1] else doc[-1]
+            last = key[-1]
 
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(work, "key long, doc long")
 

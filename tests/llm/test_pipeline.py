@@ -60,3 +60,29 @@ def test_near_duplicates_keep_rows_without_or_with_one_doc_id(spark, tmp_path):
     want = [(1, " ".join(a)), (5, " ".join(b)), (5, " ".join(c)), *[x for x in rows if x[0] is None]]
     assert [x for x in got if x[0] != 8] == sorted(want, key=str)
     assert len(of_eight) == 2 and (8, "") in of_eight
+
+
+CLASHES = ("score", "text_", "_id", "_doc", "_again", "_removed", "_m", "_q_text", "row", "text_hash", "kept_id", "node", "key", "_beside", "component_id")
+
+
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefghiklmnorstuw") for _ in range(3 + i % 6)) for i in range(2000)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(80)) for _ in range(40)]
+    texts += [texts[3], texts[4] + " tail", None, ""]
+    rows = [(i, t, len(t or ""), *(f"{c}{i}" for c in CLASHES)) for i, t in enumerate(texts)] + [(None, texts[5], 9, *CLASHES)]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    of = {r[0]: r for r in rows}
+    for n, (name, stage) in enumerate(pipeline.STAGES[:4]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got or name == "quality_classifier"
+        for r in got:
+            assert tuple(r)[3:] == of[r.doc_id][3:], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        assert [r.doc_id for r in got].count(None) == 1 or n < 2
+    assert pipeline.best_fit_packing(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == len(rows)
+    assert pipeline.best_fit_packing(spark, docs.limit(0), str(tmp_path)).count() == 0
