@@ -27,4 +27,6 @@ PATTERNS = {
 }
 #: Roles that every column that fits plays; all others are played by one.
 BANKS = ("ltft", "stft")
+#: Roles that are set or not, by a number or a word.
+FLAGS = ("pe", "closed_loop")
 REQUIRED = ("maf_hz", "ltft", "stft", "ect", "closed_loop", "pe", "tps", "rpm")

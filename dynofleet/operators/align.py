@@ -115,13 +115,16 @@ def resample_hold(samples: DataFrame, step_ms: int = 100, factor: float = 3.0, l
     span = timed.groupBy("log_id").agg(F.min("ms").alias("t0"), F.max("ms").alias("t1")).withColumn("n", F.floor((F.col("t1") - F.col("t0")) / step_ms).cast("long"))
     filled = timed.filter("value is not null").join(span, "log_id")
     bucket = F.least(F.floor((F.col("ms") - F.col("t0")) / step_ms).cast("long"), F.col("n"))
-    last = filled.groupBy("log_id", "channel", bucket.alias("k")).agg(F.max_by(F.struct("value", "ms"), "row_no").alias("s"))
-    holds = hold_limits(update_intervals(samples), factor, least, unknown).select("log_id", "channel", "hold")
-    grid = holds.join(span, "log_id").select("log_id", "channel", "hold", "t0", "t1", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("k"))
-    w = Window.partitionBy("log_id", "channel").orderBy("k")
-    held = grid.join(last, ["log_id", "channel", "k"], "left").withColumn("s", F.last("s", ignorenulls=True).over(w))
+    last = filled.groupBy("log_id", "channel", bucket.alias("from")).agg(F.max_by(F.struct("value", "ms"), "row_no").alias("s"), *(F.first(c).alias(c) for c in ("t0", "t1", "n")))
+    holds = hold_limits(update_intervals(samples), factor, least, unknown).select("log_id", "channel", F.floor(F.col("hold") * 1000 + 0.5).cast("long").alias("hold"))
+    # A sample stands up to the next one, or as long as it holds: only those rows of the grid are made.
+    w = Window.partitionBy("log_id", "channel").orderBy("from")
+    next_ = F.coalesce(F.lead("from").over(w) - 1, F.col("n"))
+    stands = F.floor((F.col("s.ms") + F.col("hold") - F.col("t0")) / step_ms).cast("long")
+    rows = last.join(holds, ["log_id", "channel"]).withColumn("to", F.least(next_, stands, F.col("n"))).filter(F.col("to") >= F.col("from"))
+    grid = rows.select("log_id", "channel", "s", "hold", "t0", "t1", "n", F.explode(F.sequence("from", "to")).alias("k"))
     label = F.when(F.col("k") == F.col("n"), F.col("t1")).otherwise(F.col("t0") + F.col("k") * step_ms)
-    out = held.withColumn("label", label).filter(F.col("s").isNotNull() & ((F.col("label") - F.col("s.ms")) <= F.floor(F.col("hold") * 1000 + 0.5)))
+    out = grid.withColumn("label", label).filter(F.col("label") - F.col("s.ms") <= F.col("hold"))
     return out.select("log_id", "k", (F.col("label") / 1000).alias("t"), "channel", F.col("s.value").alias("value"))
 
 

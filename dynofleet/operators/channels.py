@@ -6,11 +6,11 @@ Roles are not exclusive: one column can play two.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dynofleet.functions.roles import BANKS, PATTERNS, REQUIRED
-from dynofleet.functions.units import detect_unit, quantity_of
+from dynofleet.functions.roles import BANKS, FLAGS, PATTERNS, REQUIRED
+from dynofleet.functions.units import detect_unit, flag_on, quantity_of
 
 
 def role_candidates(channels: DataFrame) -> DataFrame:
@@ -86,8 +86,24 @@ def bank_average(used: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def wide_log(used: DataFrame, samples: DataFrame) -> DataFrame:
-    """One row per log row and one column per role, null where the role is not there."""
-    return bank_average(used, samples).groupBy("log_id", "row_no").pivot("role", list(PATTERNS)).agg(F.first("value"))
+    """One row per log row and one column per role, null where the role is not there.
+
+    Flags are boolean, set by a number or a word; trims are the mean of the banks that a row carries.
+    One aggregation by row, so a log is shuffled once; rows without a sample of any role are kept.
+    """
+    rows = samples.join(used.select("log_id", "role", "ordinal"), ["log_id", "ordinal"], "left")
+    number = F.col("value_num")
+
+    def of(role: str) -> Column:
+        here = F.col("role") == role
+        if role in FLAGS:
+            return F.max(F.when(here, flag_on(number, F.col("value_str"))))
+        if role in BANKS:
+            return F.sum(F.when(here, number.cast("decimal(18,6)"))).cast("double") / F.count_if(here & number.isNotNull())
+        return F.max(F.when(here, number))
+
+    columns = [(F.when(F.count_if((F.col("role") == r) & number.isNotNull()) > 0, of(r)) if r in BANKS else of(r)).alias(r) for r in PATTERNS]
+    return rows.groupBy("log_id", "row_no").agg(*columns)
 
 
 def log_density(channels: DataFrame, samples: DataFrame) -> DataFrame:
@@ -98,8 +114,11 @@ def log_density(channels: DataFrame, samples: DataFrame) -> DataFrame:
     return n.join(got, "log_id").select("log_id", "rows", F.round(raw, 3).alias("density"), (raw < 0.9).alias("sparse"))
 
 
-def log_warnings(used: DataFrame, silent: DataFrame, logs: DataFrame) -> DataFrame:
-    """log_id, warnings: what was not checked, inferred or dead, in words."""
+def log_warnings(used: DataFrame, silent: DataFrame, logs: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """log_id, warnings: what was not checked, inferred or dead, in words.
+
+    ``settings``: what ``analysis.log_settings`` gives; it tells where the commanded mixture stands for a missing flag.
+    """
     ect = channel_units(used).filter("role = 'ect'").groupBy("log_id").agg(F.min_by(F.struct("header", "quantity"), "ordinal").alias("ect"))
     dead = silent.select(
         "log_id",
@@ -110,7 +129,11 @@ def log_warnings(used: DataFrame, silent: DataFrame, logs: DataFrame) -> DataFra
     words = dead.groupBy("log_id").agg(F.sort_array(F.collect_list("text")).alias("dead"))
     cold = F.when(F.col("ect").isNull(), "no coolant temperature: warm-up was not checked").when(F.col("ect.quantity").isNull() | (F.col("ect.quantity") != "temperature"), F.format_string("coolant temperature '%s' states no unit: warm-up was not checked", "ect.header"))
     joined = logs.select("log_id").distinct().join(ect, "log_id", "left").join(words, "log_id", "left")
-    return joined.select("log_id", F.concat(F.array_compact(F.array(cold)), F.coalesce("dead", F.array().cast("array<string>"))).alias("warnings"))
+    said = [cold]
+    if settings is not None:
+        joined = joined.join(settings.select("log_id", "pe_scale", "commanded"), "log_id", "left")
+        said.append(F.when(F.col("pe_scale").isNotNull(), F.format_string("no enrichment or closed-loop flag: rows in which '%s' commands richer than stoichiometric count as enrichment", "commanded")))
+    return joined.select("log_id", F.concat(F.array_compact(F.array(*said)), F.coalesce("dead", F.array().cast("array<string>"))).alias("warnings"))
 
 
 def ect_threshold(used: DataFrame, value: float = 160.0, unit: str = "°F") -> DataFrame:

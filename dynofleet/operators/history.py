@@ -63,9 +63,9 @@ def orphan_log_revs(revisions: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def next_revision(revisions: DataFrame) -> DataFrame:
-    """vehicle, next: v and the highest number so far plus one, three digits."""
+    """vehicle, next: v and the highest number so far plus one, in three digits or more."""
     n = F.regexp_extract("rev", r"^v(\d{3})", 1).try_cast("int")
-    return revisions.groupBy("vehicle").agg(F.concat(F.lit("v"), F.lpad((F.coalesce(F.max(n), F.lit(0)) + 1).cast("string"), 3, "0")).alias("next"))
+    return revisions.groupBy("vehicle").agg(F.format_string("v%03d", F.coalesce(F.max(n), F.lit(0)) + 1).alias("next"))
 
 
 def duplicate_images(images: DataFrame) -> DataFrame:

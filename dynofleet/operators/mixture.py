@@ -16,10 +16,30 @@ def scale_sample(log: DataFrame, channel: str, first: int = 400) -> DataFrame:
     return head.groupBy("log_id").agg(F.expr("percentile_disc(0.5) within group (order by v desc)").alias("median"))
 
 
-def as_lambda(log: DataFrame, fuel: str = "gasoline", wideband_scale: str = "afr", commanded_scale: str = "afr") -> DataFrame:
-    """Adds wb and cmd, measured and commanded lambda."""
-    s = STOICH[fuel]
-    return log.withColumns({"wb": to_lambda(F.col("wideband_afr"), F.lit(wideband_scale), s), "cmd": to_lambda(F.col("commanded_afr"), F.lit(commanded_scale), s)})
+def scale_samples(log: DataFrame, first: int = 400) -> DataFrame:
+    """log_id, commanded_median, wideband_median of the first ``first`` values, early_median of commanded values in the first ``first`` rows.
+
+    The medians of ``scale_sample`` for both mixtures, from one window and one aggregation.
+    """
+    w = Window.partitionBy("log_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.select("log_id", "row_no", *(x for c in ("commanded_afr", "wideband_afr") for x in (c, F.count(c).over(w).alias(f"{c}_no"))), F.count("*").over(w).alias("nth"))
+    median = lambda c, k: F.expr(f"percentile_disc(0.5) within group (order by {c} desc) filter (where {c} is not null and {k} <= {first})")
+    return seen.groupBy("log_id").agg(
+        median("commanded_afr", "commanded_afr_no").alias("commanded_median"), median("wideband_afr", "wideband_afr_no").alias("wideband_median"), median("commanded_afr", "nth").alias("early_median")
+    )
+
+
+def as_lambda(log: DataFrame, fuel: str = "gasoline", wideband_scale: str = "afr", commanded_scale: str = "afr", settings: DataFrame | None = None) -> DataFrame:
+    """Adds wb and cmd, measured and commanded lambda.
+
+    ``settings``: one row a log with wideband_scale and commanded_scale, as ``analysis.log_settings`` gives it.
+    """
+    s, wb, cmd = STOICH[fuel], F.lit(wideband_scale), F.lit(commanded_scale)
+    if settings is not None:
+        log = log.join(settings.select("log_id", F.col("wideband_scale").alias("own_wb"), F.col("commanded_scale").alias("own_cmd")), "log_id", "left")
+        wb, cmd = F.col("own_wb"), F.col("own_cmd")
+    out = log.withColumns({"wb": to_lambda(F.col("wideband_afr"), wb, s), "cmd": to_lambda(F.col("commanded_afr"), cmd, s)})
+    return out if settings is None else out.drop("own_wb", "own_cmd")
 
 
 def _at_wot(wot_tps: float) -> F.Column:
@@ -52,13 +72,18 @@ def wot_summary(log: DataFrame, lean_limit: float = 1.0, wot_tps: float = 80.0)
     return out.select("log_id", "wot_samples", "lean_samples", half_away(F.col("m.wb"), 3).alias("worst_lambda"), F.col("m.rpm").alias("worst_rpm"), F.col("m.tps").alias("worst_tps"), half_away(F.col("m.cmd"), 3).alias("worst_commanded"))
 
 
-def closed_loop_check(log: DataFrame, fuel: str = "gasoline", least: int = 20, inferred: bool = False) -> DataFrame:
+def closed_loop_check(log: DataFrame, fuel: str = "gasoline", least: int = 20, inferred: bool = False, settings: DataFrame | None = None) -> DataFrame:
     """Mean measured and commanded mixture in closed loop and their error; logs with ``least`` such rows.
 
     ``inferred``: no closed-loop channel exists; commanding lambda within 1 % of 1 stands for it.
+    ``settings``: one row a log with closed_loop_inferred, which says so for each.
     """
-    s = STOICH[fuel]
-    closed = (F.abs(F.col("cmd") - 1) <= 0.01) if inferred else F.coalesce("closed_loop", F.lit(False))
+    s, near = STOICH[fuel], F.abs(F.col("cmd") - 1) <= 0.01
+    flag = F.coalesce("closed_loop", F.lit(False)) if "closed_loop" in log.columns else F.lit(False)
+    closed = near if inferred else flag
+    if settings is not None:
+        log = log.join(settings.select("log_id", "closed_loop_inferred"), "log_id", "left")
+        closed = F.when(F.col("closed_loop_inferred"), near).otherwise(flag)
     rows = log.filter(closed & ~F.coalesce("pe", F.lit(False)) & F.col("wb").isNotNull() & F.col("cmd").isNotNull())
     out = rows.groupBy("log_id").agg(F.count("*").alias("samples"), exact_mean(F.col("wb")).alias("w"), exact_mean(F.col("cmd")).alias("c")).filter(F.col("samples") >= least)
     return out.select(

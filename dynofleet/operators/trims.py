@@ -2,7 +2,7 @@
 
 A dense log has log_id, row_no and one column a role, null where the channel is missing:
 rpm, maf_hz, ltft, stft, ect, tps, map, load, pe, closed_loop, ... Which channels a log has at all is
-told by ``has``: names of roles that exist in the table; guards on other roles don't apply.
+told by its settings, or for a table of logs that are all alike by ``has``; guards on other roles don't apply.
 """
 
 from __future__ import annotations
@@ -48,31 +48,43 @@ def derived_trims(log: DataFrame) -> DataFrame:
     return log.withColumn("total", F.when(~none, F.coalesce("ltft", F.lit(0.0)) + F.coalesce("stft", F.lit(0.0))))
 
 
-def rich(commanded: Column, scale: str) -> Column:
+def rich(commanded: Column, scale: Column | str) -> Column:
     """Is the commanded mixture richer than stoichiometric; scale: eq, lambda or afr (of gasoline)."""
-    return {"eq": commanded > 1.02, "lambda": commanded < 0.98, "afr": commanded / 14.7 < 0.98}[scale]
+    scale = F.lit(scale) if isinstance(scale, str) else scale
+    return F.when(scale == "eq", commanded > 1.02).when(scale == "afr", commanded / 14.7 < 0.98).when(scale == "lambda", commanded < 0.98)
 
 
-def classify_rows(log: DataFrame, f: Filters = Filters(), has: set[str] | None = None, pe_proxy: str | None = None) -> DataFrame:
+def classify_rows(log: DataFrame, f: Filters = Filters(), has: set[str] | None = None, pe_proxy: str | None = None, settings: DataFrame | None = None) -> DataFrame:
     """Adds ``reason``: the first guard that a row fails, in fixed order, or null: kept; and ``total``.
 
-    ``pe_proxy``: scale of the commanded mixture, which stands for a power-enrichment flag where
-    neither that flag nor a closed-loop flag exists.
+    ``settings``: one row a log (log_id, roles, min_ect, pe_scale), as ``analysis.log_settings`` gives it. Each log is then
+    judged by the channels it has and in its own unit; ``has``, ``pe_proxy`` and ``f.min_ect`` say the same for a
+    table whose logs are all alike. ``pe_proxy``, ``pe_scale``: scale of the commanded mixture, which stands for
+    a power-enrichment flag where neither that flag nor a closed-loop flag exists.
     """
-    has = set(log.columns) if has is None else has
+    if settings is None:
+        has = set(log.columns) if has is None else has
+        there = lambda role: F.lit(role in has)
+        coldest = F.lit(f.min_ect).cast("double")
+        scale = F.lit(pe_proxy if "pe" not in has and "closed_loop" not in has else None).cast("string")
+    else:
+        log = log.join(settings.select("log_id", F.col("roles").alias("has_roles"), F.col("min_ect").alias("own_min_ect"), "pe_scale"), "log_id", "left")
+        there = lambda role: F.coalesce(F.array_contains("has_roles", role), F.lit(False))
+        coldest, scale = F.col("own_min_ect"), F.col("pe_scale")
     out = derived_trims(sample_deltas(log))
+    column = lambda c, kind: F.col(c) if c in log.columns else F.lit(None).cast(kind)
     reason = F.when(F.lit(False), "")
-    if pe_proxy and "pe" not in has and "closed_loop" not in has and f.exclude_pe:
-        reason = reason.when(rich(F.col("commanded_afr"), pe_proxy), "powerEnrich")
+    if f.exclude_pe:
+        reason = reason.when(rich(column("commanded_afr", "double"), scale), "powerEnrich")
     reason = reason.when(F.col("rpm") < f.min_rpm, "notRunning")
-    if f.min_ect is not None and "ect" in has:
-        reason = reason.when(F.col("ect") < f.min_ect, "cold")
-    if f.closed_loop and "closed_loop" in has:
-        reason = reason.when(~F.coalesce("closed_loop", F.lit(False)), "openLoop")
-    if f.exclude_pe and "pe" in has:
-        reason = reason.when(F.coalesce("pe", F.lit(False)), "powerEnrich")
+    reason = reason.when(there("ect") & (column("ect", "double") < coldest), "cold")
+    if f.closed_loop:
+        reason = reason.when(there("closed_loop") & ~F.coalesce(column("closed_loop", "boolean"), F.lit(False)), "openLoop")
+    if f.exclude_pe:
+        reason = reason.when(there("pe") & F.coalesce(column("pe", "boolean"), F.lit(False)), "powerEnrich")
     reason = reason.when((F.col("d_tps") > f.max_tps_delta) | (F.col("d_rpm") > f.max_rpm_delta), "transient")
-    return out.withColumn("reason", reason.when(F.col("total").isNull(), "noTrimData"))
+    out = out.withColumn("reason", reason.when(F.col("total").isNull(), "noTrimData"))
+    return out if settings is None else out.drop("has_roles", "own_min_ect", "pe_scale")
 
 
 def kept_rows(classified: DataFrame) -> DataFrame:

@@ -177,16 +177,16 @@ def _(spark, d):
 
 # ---- records: customers are vehicles, orders revisions
 _REV_CTE = """WITH o AS (SELECT o_custkey AS vehicle, o_orderkey, o_orderdate, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
-r AS (SELECT vehicle, 'v' || lpad(CAST(n AS VARCHAR), 3, '0') AS rev, n, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus FROM o),
+r AS (SELECT vehicle, printf('v%03d', n) AS rev, n, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus FROM o),
 flash AS (SELECT DISTINCT vehicle, rev FROM r WHERE o_orderkey % 3 = 0),
-logs AS (SELECT vehicle, CASE WHEN o_orderkey % 7 = 0 THEN 'v' || lpad(CAST(n + 500 AS VARCHAR), 3, '0') ELSE rev END AS rev FROM r WHERE o_orderkey % 4 <> 0)"""
+logs AS (SELECT vehicle, CASE WHEN o_orderkey % 7 = 0 THEN printf('v%03d', n + 500) ELSE rev END AS rev FROM r WHERE o_orderkey % 4 <> 0)"""
 
 
 def _revisions(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     n = F.row_number().over(w)
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("vehicle"), "o_orderkey", n.alias("n"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
-    return rows.withColumn("rev", F.concat(F.lit("v"), F.lpad(F.col("n").cast("string"), 3, "0")))
+    return rows.withColumn("rev", F.format_string("v%03d", "n"))
 
 
 def _flashes(spark, d):
@@ -197,7 +197,7 @@ def _flashes(spark, d):
 def _files(spark, d):
     """Names built the way the records name them, read back by the operators."""
     r = _revisions(spark, d)
-    name = F.when(F.col("o_orderkey") % 7 == 0, F.concat("date", F.lit("_v"), F.lpad((F.col("n") + 500).cast("string"), 3, "0"), F.lit("_pull.csv"))).otherwise(F.concat_ws("_", "date", "rev", F.lit("pull.csv")))
+    name = F.when(F.col("o_orderkey") % 7 == 0, F.concat("date", F.format_string("_v%03d_pull.csv", F.col("n") + 500))).otherwise(F.concat_ws("_", "date", "rev", F.lit("pull.csv")))
     tunes = r.select("vehicle", F.lit("tune").alias("kind"), F.explode(F.array(F.concat_ws("_", "rev", "date", F.lit("street.bin")), F.concat_ws("_", "rev", "date", F.lit("street.hpt")))).alias("name"))
     logs = r.filter("o_orderkey % 4 <> 0").select("vehicle", F.lit("datalog").alias("kind"), name.alias("name"))
     stock = r.filter("n = 1").select("vehicle", F.lit("stock").alias("kind"), F.concat(F.lit("stock_"), "date", F.lit("_read.bin")).alias("name"))
@@ -223,13 +223,13 @@ def _(spark, d):
     return history.orphan_log_revs(_revisions(spark, d), _named_logs(spark, d))
 
 
-@query("next_revision", f"{_REV_CTE} SELECT vehicle, 'v' || lpad(CAST(max(n) + 1 AS VARCHAR), 3, '0') AS next FROM r GROUP BY vehicle")
+@query("next_revision", f"{_REV_CTE} SELECT vehicle, printf('v%03d', max(n) + 1) AS next FROM r GROUP BY vehicle")
 def _(spark, d):
     return history.next_revision(_revisions(spark, d))
 
 
 @query("parse_names", f"""{_REV_CTE} SELECT vehicle, kind, date, rev, count(*) AS n FROM (SELECT vehicle, 'tune' AS kind, date, rev FROM r UNION ALL SELECT vehicle, 'tune', date, rev FROM r UNION ALL SELECT vehicle, 'stock', date, NULL FROM r WHERE n = 1
-UNION ALL SELECT vehicle, 'datalog', date, CASE WHEN o_orderkey % 7 = 0 THEN 'v' || lpad(CAST(n + 500 AS VARCHAR), 3, '0') ELSE rev END FROM r WHERE o_orderkey % 4 <> 0) GROUP BY ALL""")
+UNION ALL SELECT vehicle, 'datalog', date, CASE WHEN o_orderkey % 7 = 0 THEN printf('v%03d', n + 500) ELSE rev END FROM r WHERE o_orderkey % 4 <> 0) GROUP BY ALL""")
 def _(spark, d):
     return history.parse_names(_files(spark, d)).groupBy("vehicle", "kind", "date", "rev").agg(F.count("*").alias("n"))
 
@@ -237,7 +237,7 @@ def _(spark, d):
 _TIMELINE = f"""{_REV_CTE}, ev AS (
 SELECT vehicle, date, 'baseline' AS type, 1 AS o, NULL AS rev, 'Baseline archived' AS title, 'stock_' || date || '_read.bin' AS detail, 'stock_' || date || '_read.bin' AS name FROM r WHERE n = 1
 UNION ALL SELECT vehicle, date, 'revision', 2, rev, rev || ' checked in', rev || '_' || date || '_street.bin, ' || rev || '_' || date || '_street.hpt', rev || '_' || date || '_street.bin' FROM r
-UNION ALL SELECT vehicle, date, 'datalog', 3, lr, 'Datalog captured', date || '_' || lr || '_pull.csv', date || '_' || lr || '_pull.csv' FROM (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'v' || lpad(CAST(n + 500 AS VARCHAR), 3, '0') ELSE rev END AS lr FROM r WHERE o_orderkey % 4 <> 0)
+UNION ALL SELECT vehicle, date, 'datalog', 3, lr, 'Datalog captured', date || '_' || lr || '_pull.csv', date || '_' || lr || '_pull.csv' FROM (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN printf('v%03d', n + 500) ELSE rev END AS lr FROM r WHERE o_orderkey % 4 <> 0)
 UNION ALL SELECT vehicle, date, 'flash', 5, rev, 'Flashed ' || rev, CASE WHEN n % 2 = 0 THEN 'PCM Hammer' ELSE 'PCM Hammer · idle' END, date || '|' || rev FROM r WHERE o_orderkey % 3 = 0)"""
 
 
@@ -452,13 +452,58 @@ def _(spark, d):
     return c.select("c_custkey", files.current_state(text).alias("s")).select("c_custkey", "s.*")
 
 
-@query("scrub_check", "SELECT CAST(doc_id AS VARCHAR) AS log_id, CAST(doc_id % 2 AS INTEGER) AS vins, CAST(doc_id % 3 = 0 AS INTEGER) AS notes, CAST(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS places, doc_id % 2 = 0 AND doc_id % 3 > 0 AND doc_id % 5 > 0 AS clean FROM documents")
-def _(spark, d):
+# Whole texts as logs: a header line in front (with places in every fifth), notes and a vehicle number behind.
+_CHECKED = """WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 1 THEN chr(10) || '1ZZTEST99Z' || lpad(CAST(doc_id AS VARCHAR), 7, '0') ELSE '' END || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'Notes: idle' ELSE 'Notes:' END AS text FROM documents WHERE text IS NOT NULL)"""
+
+
+def _checked_logs(spark, d):
     i = F.col("doc_id")
-    text = F.concat(
-        F.when(i % 5 == 0, "Time,RPM,GPS Latitude,GPS Longitude").otherwise("Time,RPM,TPS,MAP"),
-        F.lit("\n0,900,1,2\n"),
-        F.when(i % 2 == 1, F.concat(F.lit("1ZZTEST99Z"), F.lpad(i.cast("string"), 7, "0"))).otherwise("1,901,1,2"),
-        F.when(i % 3 == 0, "\nNotes: idle").otherwise("\nNotes:"),
-    )
-    return scrub.scrub_check(table(spark, d, "documents").select(i.cast("string").alias("log_id"), text.alias("text")))
+    head = F.when(i % 5 == 0, "Time,RPM,GPS Latitude,GPS Longitude\n").otherwise("Time,RPM,TPS,MAP\n")
+    vin = F.when(i % 2 == 1, F.concat(F.lit("\n1ZZTEST99Z"), F.lpad(i.cast("string"), 7, "0"))).otherwise("")
+    text = F.concat(head, "text", vin, F.when(i % 3 == 0, "\nNotes: idle").otherwise("\nNotes:"))
+    return table(spark, d, "documents").filter("text is not null").select(i.cast("string").alias("log_id"), text.alias("text"))
+
+
+@query("scrub_check", f"""{_CHECKED}, c AS (SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\\b[A-HJ-NPR-Z0-9]{{17}}\\b'), lambda v: regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]')))) AS vins,
+  len(regexp_extract_all(text, '(?m)^\\s*Notes:[ \\t]*[^\\s].*$')) AS notes, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS places FROM t)
+SELECT CAST(doc_id AS VARCHAR) AS log_id, CAST(vins AS INTEGER) AS vins, CAST(notes AS INTEGER) AS notes, CAST(places AS BIGINT) AS places, vins = 0 AND notes = 0 AND places = 0 AS clean FROM c""")
+def _(spark, d):
+    return scrub.scrub_check(_checked_logs(spark, d))
+
+
+@query("scrub_location", """WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)
+SELECT CAST(doc_id AS VARCHAR) AS log_id, CAST(line_no AS INTEGER) AS line_no, sha256(CASE WHEN doc_id % 5 = 0 THEN CAST(line_no AS VARCHAR) || ',' || CAST(length(line) AS VARCHAR) ELSE CAST(line_no AS VARCHAR) || ',' || CAST(length(line) AS VARCHAR) || ',1.5,2.5' END) AS line FROM t""")
+def _(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null").withColumn("log_id", F.col("doc_id").cast("string"))
+    body = docs.select("doc_id", "log_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line_no", F.col("at") + 1)
+    lines = body.select("log_id", "line_no", F.concat_ws(",", F.col("line_no").cast("string"), F.char_length("line").cast("string"), F.lit("1.5,2.5")).alias("line"))
+    names = F.when(F.col("doc_id") % 5 == 0, F.array(*map(F.lit, ("Time", "RPM", "GPS Latitude", "GPS Longitude")))).otherwise(F.array(*map(F.lit, ("Time", "RPM", "TPS", "MAP"))))
+    channels = docs.select("log_id", F.posexplode(names).alias("ordinal", "header"))
+    return scrub.scrub_location(lines, channels).select("log_id", "line_no", F.sha2(F.col("line").cast("binary"), 256).alias("line"))
+
+
+# ---- files played by the tables: JSON and XML texts are built a row, read by the readers' own parsers
+def _xml(text):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
+
+
+def _layouts(spark, d):
+    """name, text: one layout file a part; panes with tables and series as the part's size says."""
+    size = F.col("p_size")
+    entry = lambda tag, k: F.concat(F.lit(f"<{tag}><Label>"), _xml(F.col("p_name")), F.lit(f" {k}</Label><ParameterID>"), (F.col("p_partkey") % 40 + k).cast("string"), F.lit(f"</ParameterID><Unit>{k}</Unit><Decimals>{k}</Decimals><Maximum>9{k}</Maximum></{tag}>"))
+    tables = F.array_join(F.slice(F.array(*(entry("Table", k) for k in range(3))), F.lit(1), (size % 4).cast("int")), "")
+    series = F.array_join(F.slice(F.array(*(entry("Series", k) for k in range(5, 7))), F.lit(1), (size % 3).cast("int")), "")
+    text = F.concat(F.lit("<DocumentContents><Content ID=\"1\">"), tables, F.lit("</Content><Content ID=\"2\"><Chart>"), series, F.lit("</Chart></Content></DocumentContents>"))
+    return table(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".layout.xml")).alias("name"), text.alias("text"))
+
+
+@query("config_counts", "SELECT p_partkey || '.layout.xml' AS name, 'layout' AS kind, CAST(0 AS BIGINT) AS charts, CAST(p_size % 3 AS BIGINT) AS series, CAST(p_size % 4 AS BIGINT) AS tables, CAST(2 AS BIGINT) AS panes FROM part")
+def _(spark, d):
+    return scanner.config_counts(_layouts(spark, d))
+
+
+@query("read_scanner_xml", """WITH k AS (SELECT p_partkey, p_name, p_size, unnest([0, 1, 2, 5, 6]) AS k FROM part)
+SELECT p_partkey || '.layout.xml' AS source, CAST(CASE WHEN k < 3 THEN k ELSE p_size % 4 + k - 5 END AS INTEGER) AS seq, CAST(p_partkey % 40 + k AS VARCHAR) AS parameter_id, trim(p_name || ' ' || k) AS label, CAST(k AS VARCHAR) AS unit_id, CAST(k AS INTEGER) AS decimals, CAST(90 + k AS DOUBLE) AS maximum
+FROM k WHERE (k < 3 AND k < p_size % 4) OR (k >= 5 AND k - 5 < p_size % 3)""")
+def _(spark, d):
+    return scanner.labelled_entries(_layouts(spark, d)).select("source", "seq", "parameter_id", "label", "unit_id", "decimals", "maximum")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dynofleet.plans import dense, records, sparse
+from dynofleet.plans import analyses, dense, flash, records, sparse
 
-MODULES = (dense, sparse, records)
+MODULES = (dense, sparse, records, analyses, flash)
 
 
 def queries() -> dict:

@@ -51,8 +51,16 @@ def _(spark, d):
     return out.withColumns({c: half_away(F.col(c), 3) for c in ("interval", "hold")})
 
 
-# No SQL: the statement that says this makes some DuckDB builds fail on a join; tests hold it against a loop.
-@query("resample_hold")
+@query(
+    "resample_hold",
+    f"""{_INTERVALS}, ms AS (SELECT log_id, row_no, CAST(floor(t * 1000 + 0.5) AS BIGINT) AS ms, channel, value FROM normal),
+    span AS (SELECT log_id, min(ms) AS t0, max(ms) AS t1, (max(ms) - min(ms)) // {HOUR} AS n FROM ms GROUP BY log_id),
+    last AS (SELECT m.log_id, m.channel, least((m.ms - t0) // {HOUR}, n) AS a, max_by(m.value, m.row_no) AS value, max_by(m.ms, m.row_no) AS ms, any_value(t0) AS t0, any_value(t1) AS t1, any_value(n) AS n
+      FROM ms m JOIN span s ON s.log_id = m.log_id WHERE m.value IS NOT NULL GROUP BY 1, 2, 3),
+    stands AS (SELECT l.*, CAST(floor(h.hold * 1000 + 0.5) AS BIGINT) AS hold, coalesce(lead(a) OVER (PARTITION BY l.log_id, l.channel ORDER BY a) - 1, n) AS z FROM last l JOIN hold h ON h.log_id = l.log_id AND h.channel = l.channel),
+    grid AS (SELECT *, unnest(range(a, z + 1)) AS k FROM stands), named AS (SELECT *, CASE WHEN k = n THEN t1 ELSE t0 + k * {HOUR} END AS label FROM grid)
+    SELECT log_id, k, label / 1000 AS t, channel, value FROM named WHERE label - ms <= hold""",
+)
 def _(spark, d):
     return align.resample_hold(align.normalize_time(sparse_log(spark, d)), step_ms=HOUR)
 

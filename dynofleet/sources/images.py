@@ -1,6 +1,6 @@
 """Raw flash images: identity, checksums, differences. The only numpy of this side, one image per row.
 
-Helpers get small Arrow batches (``in_small_batches``), as an image is up to a megabyte.
+Images are up to a megabyte; Spark bounds the bytes of an Arrow batch, and one image at a time is read from it.
 """
 
 from __future__ import annotations

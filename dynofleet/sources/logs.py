@@ -99,11 +99,15 @@ def _frames(lines: DataFrame) -> DataFrame:
 
 
 def parse_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(log_channel, log_sample) of text logs (log_id, text). Logs without data rows have no samples.
+    """(log_channel, log_sample) of text logs (log_id, text), each held whole in one row."""
+    return parse_lines(log_lines(logs))
 
-    Blank cells of sectioned logs are null; a cell that is no number is kept as text.
+
+def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log_channel, log_sample) of the lines of logs (log_id, line_no from 0, line), so that no log is held whole.
+
+    Logs without data rows have no samples. Blank cells of sectioned logs are null; a cell that is no number is kept as text.
     """
-    lines = log_lines(logs)
     frames = _frames(lines)
     named = frames.select("log_id", "format", "ids", "units", F.posexplode("names").alias("ordinal", "name"))
     unit = F.get("units", F.col("ordinal"))

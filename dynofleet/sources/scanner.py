@@ -53,14 +53,21 @@ def rate_summary(channels: DataFrame) -> DataFrame:
 
 
 def labelled_entries(files: DataFrame) -> DataFrame:
-    """source, seq, parameter_id, label, unit_id of everything that charts, graphs and layouts label."""
+    """source, seq, parameter_id, label, unit_id, decimals, maximum, high, middle, low, column_parameter_id, column_unit_id
+    of everything that charts, graphs and layouts label."""
     series = _parsed(files, "charts").select("name", F.flatten(F.transform("x.Chart", lambda c: c["Series"])).alias("e"))
     tables = _parsed(files, "graphs").select("name", F.col("x.Table").alias("e"))
     empty = F.array().cast(f"array<{_LABELLED}>")
     pane = lambda c: F.concat(F.coalesce(c["Table"], empty), F.coalesce(F.flatten(F.transform(c["Chart"], lambda h: h["Series"])), empty), F.coalesce(c["Series"], empty))
     panes = _parsed(files, "layout").select("name", F.flatten(F.transform("x.Content", pane)).alias("e"))
     rows = series.unionByName(tables).unionByName(panes).select("name", F.posexplode("e").alias("seq", "e"))
-    return rows.select(F.col("name").alias("source"), "seq", F.trim("e.ParameterID").alias("parameter_id"), F.trim("e.Label").alias("label"), F.nullif(F.trim("e.Unit"), F.lit("")).alias("unit_id"))
+    own = lambda c: F.nullif(F.trim(F.col(f"e.{c}")), F.lit(""))
+    number = lambda c: own(c).try_cast("double")
+    limits = [number(c).alias(n) for c, n in (("Maximum", "maximum"), ("HighValue", "high"), ("MiddleValue", "middle"), ("LowValue", "low"))]
+    return rows.select(
+        F.col("name").alias("source"), "seq", F.trim("e.ParameterID").alias("parameter_id"), F.trim("e.Label").alias("label"), own("Unit").alias("unit_id"),
+        own("Decimals").try_cast("int").alias("decimals"), *limits, own("ColumnParameterID").alias("column_parameter_id"), own("ColumnUnit").alias("column_unit_id"),
+    )
 
 
 def config_counts(files: DataFrame) -> DataFrame:
