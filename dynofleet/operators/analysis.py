@@ -35,7 +35,7 @@ class Analysis:
 
 
 def log_settings(channels: DataFrame, used: DataFrame, log: DataFrame, f: trims.Filters = trims.Filters()) -> DataFrame:
-    """One row a log: roles (live ones), min_ect (in the log's unit; null: no guard), commanded (header), pe_scale,
+    """One row a log: roles (live ones), min_ect (in the log's unit; null: no guard), commanded and wideband (headers), pe_scale,
     wideband_scale, commanded_scale, closed_loop_inferred.
 
     ``pe_scale`` is set only where neither an enrichment nor a closed-loop flag is live and the scale of the
@@ -54,6 +54,7 @@ def log_settings(channels: DataFrame, used: DataFrame, log: DataFrame, f: trims.
         "roles",
         "min_ect",
         "commanded",
+        "wideband",
         F.when(~there("pe") & ~there("closed_loop") & there("commanded_afr") & proxy.isin(*_KNOWN), proxy).alias("pe_scale"),
         F.when(there("wideband_afr"), scale("wideband", "wideband_median")).alias("wideband_scale"),
         commanded.alias("commanded_scale"),

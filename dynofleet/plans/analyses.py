@@ -42,9 +42,13 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(log.select("log_id", F.col("row_no").cast("int").alias("line_no"), line.alias("line")))
 
 
+def parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    channels, samples = parse_lines(log_lines(spark, d).persist())
+    return channels.persist(), samples.persist()
+
+
 def analysis(spark: SparkSession, d: str) -> Analysis:
-    channels, samples = (x.persist() for x in parse_lines(log_lines(spark, d).persist()))
-    return analyze(channels, samples, WIDE)
+    return analyze(*parsed(spark, d), WIDE)
 
 
 _SQL = f"""WITH {DENSE_SQL.replace('classified AS', 'plain AS').replace('kept AS (SELECT * FROM classified', 'plain_kept AS (SELECT * FROM plain')},
@@ -105,3 +109,19 @@ def _(spark, d):
 )
 def _(spark, d):
     return analysis(spark, d).warnings.select("log_id", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query(
+    "submission_report",
+    """, b AS (SELECT log_id, count(*) FILTER (n >= 20) AS full_bins FROM (SELECT log_id, floor(maf_hz / 500) AS f, count(*) AS n FROM kept GROUP BY ALL) GROUP BY log_id),
+    t AS (SELECT log_id, count(*) AS rows, count(*) FILTER (reason IS NULL) AS kept FROM classified GROUP BY log_id)
+    SELECT log_id, rows, kept, full_bins, CASE log_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'closed_loop' WHEN 2 THEN 'closed_loop|pe' ELSE 'closed_loop|ect' END AS missing, CASE WHEN log_id % 4 = 3 THEN 'Closed Loop' ELSE '' END AS silent,
+    'Wideband AFR' AS wideband, 'afr' AS wideband_scale, CASE log_id % 4 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 0 END AS warnings FROM t LEFT JOIN b USING (log_id)""",
+)
+def _(spark, d):
+    from dynofleet.operators.report import submission_report
+
+    channels, samples = parsed(spark, d)
+    r = submission_report(channels, samples, analyze(channels, samples, WIDE))
+    words = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
+    return r.select("log_id", "rows", "kept", "full_bins", words("missing"), words("silent"), "wideband", "wideband_scale", F.size("warnings").alias("warnings"))

@@ -59,8 +59,9 @@ def _(spark, d):
 
 @query("quality_summary", "SELECT count(*) AS logs, sum(n) AS total_rows, sum(k) AS kept_rows, count(*) FILTER (k = 0) AS unusable_logs FROM (SELECT log_id, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (reason IS NULL) AS k FROM classified GROUP BY log_id)")
 def _(spark, d):
-    t = trims.rejection_tally(classified(spark, d))
-    return t.agg(F.count("*").alias("logs"), F.sum("total").alias("total_rows"), F.sum("kept").alias("kept_rows"), F.count_if(F.col("kept") == 0).alias("unusable_logs"))
+    from dynofleet.operators.report import quality_summary
+
+    return quality_summary(trims.rejection_tally(classified(spark, d)))
 
 
 def _bins_sql(axis: str, width: int) -> str:

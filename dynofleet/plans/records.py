@@ -14,7 +14,7 @@ from dynofleet.functions.numbers import half_away
 from dynofleet.functions.roles import BANKS, PATTERNS
 from dynofleet.operators import channels as ch
 from dynofleet.operators import history, scrub
-from dynofleet.plans.standins import half_away_sql as half, table
+from dynofleet.plans.standins import SPARSE_SQL, half_away_sql as half, sparse_log, table
 from dynofleet.sources import files, logs, scanner
 
 QUERIES, SQL = {}, {}
@@ -507,3 +507,29 @@ SELECT p_partkey || '.layout.xml' AS source, CAST(CASE WHEN k < 3 THEN k ELSE p_
 FROM k WHERE (k < 3 AND k < p_size % 4) OR (k >= 5 AND k - 5 < p_size % 3)""")
 def _(spark, d):
     return scanner.labelled_entries(_layouts(spark, d)).select("source", "seq", "parameter_id", "label", "unit_id", "decimals", "maximum")
+
+
+_OWN_UNIT = "CASE WHEN NOT has THEN NULL " + " ".join(f"WHEN regexp_matches(b, '{_sql_regex(p)}') THEN '{u}'" for p, u in units.SPELLINGS) + " ELSE b END"
+
+
+@query("log_summary", f"""{_HEAD_CTE}, t AS (SELECT h.*, p.p_retailprice AS v, trim(regexp_extract(header, '[(\\[]([^)\\]]{{1,12}})[)\\]]\\s*$', 1)) AS b, regexp_matches(header, '[(\\[]([^)\\]]{{1,12}})[)\\]]\\s*$') AS has,
+  row_number() OVER (PARTITION BY log_id ORDER BY ordinal) AS k, count(*) OVER (PARTITION BY log_id) AS n_all FROM h JOIN part p ON p.p_partkey = h.ordinal),
+u AS (SELECT *, ordinal % 7 <> 0 AS live, {_OWN_UNIT} AS native_unit FROM t WHERE k <= 40)
+SELECT log_id, ordinal, header, CAST(live AS BIGINT) AS n, CASE WHEN native_unit = '°F' THEN '°C' ELSE native_unit END AS unit, native_unit, coalesce(native_unit = '°F', FALSE) AS converted,
+  CASE WHEN live THEN CASE WHEN native_unit = '°F' THEN {half('((v - 32) * 5 / 9)', 3)} ELSE v END END AS hi, NOT live AS non_numeric, CAST(1 AS BIGINT) AS rows FROM u""")
+def _(spark, d):
+    from dynofleet.operators.report import log_summary
+
+    return log_summary(_headers(spark, d), _header_samples(spark, d), {"temperature": "°C"}).select("log_id", "ordinal", "header", "n", "unit", "native_unit", "converted", "hi", "non_numeric", "rows")
+
+
+@query("fleet_quality", """WITH RECURSIVE """ + SPARSE_SQL + """, t AS (SELECT log_id, max(sessions) AS sessions, max(dropped) AS dropped FROM walk GROUP BY log_id)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id FROM events)) AS logs, (SELECT count(*) FROM events) AS total_rows, (SELECT count(*) FROM normal) AS kept_rows, CAST(0 AS BIGINT) AS unusable_logs, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(dropped) AS BIGINT) AS corrupt_stamps FROM t""")
+def _(spark, d):
+    from dynofleet.operators import align
+    from dynofleet.operators.report import quality_summary
+
+    log = sparse_log(spark, d)
+    kept = align.normalize_time(log).groupBy("log_id").agg(F.count("*").alias("kept"))
+    tally = log.groupBy("log_id").agg(F.count("*").alias("total")).join(kept, "log_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return quality_summary(tally, align.time_report(log))

@@ -253,7 +253,7 @@ def test_report(spark, tmp_path):
     assert summary.filter("log_id = 'a'").first().mean == 1.5
     report.write_readings({"summary": summary.withColumn("log_date", F.lit("2026-01-01"))}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/summary").count() == 2
-    one = report.submission_report(s, {"x": summary.filter("log_id = 'a'").select("log_id", "mean")})
+    one = report.side_by_side(s, {"x": summary.filter("log_id = 'a'").select("log_id", "mean")})
     assert {r.log_id: r.mean for r in one.collect()} == {"a": 1.5, "b": None}
     assert one.filter("log_id = 'a'").select(report.as_markdown(F.col("log_id"), {"mean": F.col("mean"), "none": F.lit(None).cast("string")})).first()[0] == "## a\n- mean: 1.5"
 
