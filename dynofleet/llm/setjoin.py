@@ -19,9 +19,10 @@ A pair is first tried on odd sketches (parities of hashed tokens): the bits in w
 most the tokens in which the sets differ, so what they exclude is excluded for certain, by a
 thirtieth of the bytes. What passes is verified on the whole sets.
 
-Stars whose other nodes lie in different components then go on. Where comparing the others with one another
-takes no more rows than their keys would, they are compared, by sketch again: at most 2H + 2 for each node.
-In larger stars the others are keyed by what they differ in from q. For x let P(x) be the tokens that q
+Stars whose other nodes lie in different components then go on. The others of a star are compared with one another
+by sketch, in the join itself, as long as that costs less than their keys would: a comparison of two sketches
+takes a KEY_COST-th of a key, so a node has at most 2 * KEY_COST * (H + 1) of them in a star, and what doesn't pass
+makes no row. In larger stars the others are keyed by what they differ in from q. For x let P(x) be the tokens that q
 lacks, and M(x) those of q that x lacks; links differ in H tokens at most, and of two nodes that both link to q
 nothing more is asked.
 
@@ -30,10 +31,9 @@ nothing more is asked.
   it follows that y has fewer tokens than q (|P(y)| < |M(y)|), that M(x) and M(y) overlap, and that they share one
   of the H - |P| + 1 first tokens of M of each. So x asks with these, and y answers with its own.
 
-Nodes that don't link to q ask those that share a key; their sketches, folded to 256 bits, stand in the rows and
-are compared in the join itself. Groups that hold the same nodes are one group. Near copies of one text, changed in
-different places, share hardly any key here; the comparisons left are askers times holders of a key, which
-grows beyond the rows only where many texts share one edit and still link to nothing.
+Nodes that don't link to q ask those that share a key, by sketch in the join again. Groups that hold the same nodes are
+one group. Near copies of one text, changed in different places, share hardly any key; the comparisons left are
+askers times holders of a key, which grows beyond the rows only where many texts share one edit and still link to nothing.
 """
 
 from __future__ import annotations
@@ -54,6 +54,8 @@ from dynofleet.llm.textops import Slice, distinct_by_text, mix, shingles, slices
 
 #: Chance that a set holds a given token of another one; and what a candidate pair costs in index rows.
 SHARED_TOKEN, PAIR_COST = 0.01, 20.0
+#: Comparisons of two sketches in a join that cost as much as making and dealing out one key (measured: some 10 us and 0.1 us).
+KEY_COST = 100
 #: Tells the two halves of a key apart where a segment holds no token and both sums are 0.
 _APART = np.uint64(0xA24BAED4963EE407)
 
@@ -244,9 +246,9 @@ NODE = "struct<d1: long, d2: long>"
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Odd sketches: bit i is the parity of the tokens hashed to i, over a power of two of bits, at least two a token."""
+    """Odd sketches: bit i is the parity of the tokens hashed to i, over a power of two of bits, at least two a token and 64 * WORDS."""
     sizes = np.diff(bounds)
-    bits = np.array([max(256, 1 << int(2 * n - 1).bit_length()) if n else 256 for n in sizes], dtype=np.int64)
+    bits = np.array([max(64 * WORDS, 1 << int(2 * n - 1).bit_length()) if n else 64 * WORDS for n in sizes], dtype=np.int64)
     first = np.concatenate(([0], np.cumsum(bits)))
     at = (mix(values ^ _APART) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(first[:-1], sizes)
     packed = np.packbits(np.bincount(at, minlength=int(first[-1])).astype(np.uint8) & 1, bitorder="little")
@@ -262,20 +264,23 @@ def differ_at_least(one: np.ndarray, two: np.ndarray) -> int:
     return int(np.bitwise_count(one ^ two).sum())
 
 
-#: A sketch folded to four words, small enough to stand in every row.
-BRIEF = "struct<w0: long, w1: long, w2: long, w3: long>"
+#: Words of a brief: a sketch folded so that it can stand in every row, of the size that sketches have at least.
+WORDS = 16
+BRIEF = "struct<" + ", ".join(f"w{i}: long" for i in range(WORDS)) + ">"
 
 
 def _briefs(found: list[bytes]) -> pa.StructArray:
-    folded = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, 4)) for x in found]
-    words = np.concatenate(folded).reshape(-1, 4) if folded else np.zeros((0, 4), np.int64)
-    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)], names=["w0", "w1", "w2", "w3"])
+    folded = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, WORDS)) for x in found]
+    words = np.concatenate(folded).reshape(-1, WORDS) if folded else np.zeros((0, WORDS), np.int64)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)], names=[f"w{i}" for i in range(WORDS)])
 
 
 def _may_link(x: str, y: str, num: int, den: int) -> Column:
     """Do sizes and brief sketches of nodes x and y (columns n and brief with their names) allow a link?"""
     nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
-    apart = sum((F.bit_count(F.col(f"brief{x}.w{i}").bitwiseXOR(F.col(f"brief{y}.w{i}"))) for i in range(4)), F.lit(0))
+    apart = F.lit(0)
+    for i in range(WORDS):
+        apart = apart + F.bit_count(F.col(f"brief{x}.w{i}").bitwiseXOR(F.col(f"brief{y}.w{i}")))
     return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (apart * (den + num) <= (nx + ny) * (den - num))
 
 
@@ -425,10 +430,10 @@ def links(docs: DataFrame, table: DataFrame, k: int, num: int, den: int) -> Data
     all_links = _verified(star, sets, num, den)
     labels = stored(components(all_links))
 
-    # Stars whose other nodes lie in several components: small ones are compared, large ones keyed.
+    # Stars whose other nodes lie in several components: compared among themselves, or keyed where that is cheaper.
     member = _labelled(star, labels, "b", "cb").join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("brief").alias("briefb")), "b")
     sized = member.groupBy("a").agg(F.count("*").alias("others"), F.min("nb").alias("least"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).filter("lo < hi")
-    few = F.col("others") - 1 <= 2 * (F.floor(F.col("least") * (den - num) / num) + 1)
+    few = F.col("others") - 1 <= 2 * KEY_COST * (F.floor(F.col("least") * (den - num) / num) + 1)
     member = stored(member.join(sized.select("a", few.alias("few")), "a"))
     side = lambda x: [F.col("b").alias(x), F.col("cb").alias(f"c{x}"), F.col("nb").alias(f"n{x}"), F.col("briefb").alias(f"brief{x}")]
     small, others = member.filter("few").select("a", *side("x")), member.filter("few").select(F.col("a").alias("star"), *side("y"))

@@ -105,8 +105,9 @@ def test_packing_of_one_partition_merges_open_bins(spark):
     assert len({r.sequence_id for r in rows}) == 1, "all fit one sequence"
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 70)])
-def test_set_join(spark, docs, k, num):
+@pytest.mark.parametrize(("k", "num", "key_cost"), [(3, 90, 100), (5, 80, 100), (1, 70, 0), (3, 90, 0)])
+def test_set_join(spark, docs, k, num, key_cost, monkeypatch):
+    monkeypatch.setattr(setjoin, "KEY_COST", key_cost)  # 0: all stars are keyed
     sets = {}
     for i, text in corpus():
         w = [x.lower() for x in SPLIT.findall((text or "").encode())]
