@@ -179,25 +179,24 @@ def learn(
     # Bin of a value: how many cuts lie below it, so "value <= cut k" is "bin <= k".
     below = lambda v: lambda cut: cut < v
     bin_of = lambda i: F.size(F.filter(F.array(*map(F.lit, cuts[i])), below(_statistic(names[i]))))
-    binned = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), bin_of(i).alias("bin")) for i in range(len(names)) if cuts[i])))
+    binned = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), bin_of(i).alias("bin"), _statistic(names[i]).alias("value")) for i in range(len(names)) if cuts[i])))
     rules: list[Rule] = []
     while cuts != [[]] * len(names) and len(rules) < max_rules:
         left = rows.filter(verdict(rules))
         rule: Rule = ()
         while len(rule) < max_conditions:
-            counts = left.filter(~F.col("prune") & _all(rule)).select("good", binned.alias("x")).groupBy("x.f", "x.bin", "good").count().collect()
+            grown = left.filter(~F.col("prune") & _all(rule)).select("good", binned.alias("x")).groupBy("x.f", "x.bin", "good")
+            counts = grown.agg(F.count("*").alias("count"), F.min("x.value").alias("lo"), F.max("x.value").alias("hi")).collect()
             best = _best_condition(counts, names, cuts)
             if best is None:
                 break
             # The cut moves to the middle of the gap between the values on its two sides.
-            value = _statistic(best.statistic)
-            side = left.filter(~F.col("prune") & _all(rule)).agg(F.max(F.when(value <= best.cut, value)).alias("lo"), F.min(F.when(value > best.cut, value)).alias("hi")).first()
-            rule = (*rule, Condition(best.statistic, best.above, (side["lo"] + side["hi"]) / 2))
-        rule = _cut_back(left.filter("prune"), rule)
-        if not rule:
-            break
-        taken = left.filter(_all(rule)).agg(F.count_if(F.col("good") == 0).alias("bad"), F.count_if(F.col("good") != 0).alias("good")).first()
-        if taken["bad"] < least_rows or taken["good"] > clean_share * (taken["bad"] + taken["good"]):
+            f = names.index(best.statistic)
+            k = cuts[f].index(best.cut)
+            lo, hi = max(r["hi"] for r in counts if r["f"] == f and r["bin"] <= k), min(r["lo"] for r in counts if r["f"] == f and r["bin"] > k)
+            rule = (*rule, Condition(best.statistic, best.above, (lo + hi) / 2))
+        rule, bad, good = _cut_back(left, rule)
+        if not rule or bad < least_rows or good > clean_share * (bad + good):
             break
         rules.append(rule)
     return rules
@@ -224,17 +223,19 @@ def _best_condition(counts: list, names: list[str], cuts: list[list[float]]) ->
     return best
 
 
-def _cut_back(rows: DataFrame, rule: Rule) -> Rule:
-    """The shortest beginning of the rule with the best (bad - good) / (bad + good) on rows it wasn't grown on."""
+def _cut_back(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
+    """The shortest beginning of the rule with the best (bad - good) / (bad + good) on rows it wasn't grown on; and how
+    many bad and good ones of all rows it takes. One pass."""
     if not rule:
-        return rule
+        return rule, 0, 0
     tallies = []
     for k in range(1, len(rule) + 1):
-        hit = _all(rule[:k])
-        tallies += [F.count_if(hit & (F.col("good") == 0)).alias(f"b{k}"), F.count_if(hit & (F.col("good") != 0)).alias(f"g{k}")]
+        hit, bad = _all(rule[:k]), F.col("good") == 0
+        tallies += [F.count_if(hit & bad & F.col("prune")).alias(f"b{k}"), F.count_if(hit & ~bad & F.col("prune")).alias(f"g{k}"), F.count_if(hit & bad).alias(f"all_b{k}"), F.count_if(hit & ~bad).alias(f"all_g{k}")]
     found = rows.agg(*tallies).first()
     worth = {k: (found[f"b{k}"] - found[f"g{k}"]) / max(1, found[f"b{k}"] + found[f"g{k}"]) for k in range(1, len(rule) + 1)}
-    return rule[: max(worth, key=lambda k: (worth[k], -k))]
+    best = max(worth, key=lambda k: (worth[k], -k))
+    return rule[:best], found[f"all_b{best}"], found[f"all_g{best}"]
 
 
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
