@@ -50,10 +50,11 @@ def log_summary(channels: DataFrame, samples: DataFrame, preferences: dict[str,
 
 def quality_summary(tally: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """One row for a fleet: logs, rows, rows kept, logs without any, and of their time reports sessions and corrupt stamps."""
-    out = tally.agg(F.count("*").alias("logs"), F.sum("total").alias("total_rows"), F.sum("kept").alias("kept_rows"), F.count_if(F.col("kept") == 0).alias("unusable_logs"))
+    facts = [F.count("*").alias("logs"), F.sum("total").alias("total_rows"), F.sum("kept").alias("kept_rows"), F.count_if(F.col("kept") == 0).alias("unusable_logs")]
     if times is None:
-        return out
-    return out.crossJoin(times.agg(F.sum("sessions").cast("long").alias("sessions"), F.sum("dropped").cast("long").alias("corrupt_stamps")))  # one row each
+        return tally.agg(*facts)
+    both = tally.join(times.select("log_id", "sessions", "dropped"), "log_id", "left")
+    return both.agg(*facts, F.sum("sessions").cast("long").alias("sessions"), F.sum("dropped").cast("long").alias("corrupt_stamps"))
 
 
 def submission_report(channels: DataFrame, samples: DataFrame, a: Analysis) -> DataFrame:
