@@ -22,7 +22,7 @@ def logs_of(spark):
         "no_unit": log(f"{base},Coolant", [f"{values},20" for _ in steady]),
         "words": log(f"{base},ECT (F),Closed Loop,Power Enrich", [f"{values},200,{'Active' if i % 2 else 1},{' On' if i < 5 else 0}" for i in steady]),
         "mixture": log(f"{base},ECT (F),Wideband AFR,Commanded AFR", [f"{values},200,14.8,{12.0 if i < 8 else 14.7}" for i in steady]),
-        "lambda": log(f"{base},ECT (F),WB EQ Ratio 1 [\u03bb],Commanded Lambda", [f"{values},200,1.01,{0.85 if i < 8 else 1.0}" for i in steady]),
+        "lambda": log(f"{base},ECT (F),Wideband [\u03bb],Commanded Lambda", [f"{values},200,1.01,{0.85 if i < 8 else 1.0}" for i in steady]),
         "dead": log(f"{base},ECT (F),Closed Loop", [f"{values},200," for _ in steady]),
         "load": log("Engine Speed (RPM),LTFT Bank 1 (%),TPS (%),Cylinder Airmass (g),ECT (F)", ["1500,2,20,0.5,200" for _ in steady]),
     }
