@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dynofleet.llm import boosting, chunking, hosts, licences, neighbours, packing, repair, rules, setjoin, subword, suffixes, whitening
+from dynofleet.llm import boosting, chunking, hosts, licences, neighbours, packing, phrases, repair, rules, setjoin, subword, suffixes, whitening
 from dynofleet.llm.common import table
 
 
@@ -79,6 +79,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

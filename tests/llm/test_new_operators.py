@@ -1,4 +1,4 @@
-"""Whitening and repair against brute force."""
+"""Whitening, repair and fingerprints against brute force."""
 
 import hashlib
 import random
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dynofleet.llm import repair, whitening
+from dynofleet.llm import phrases, repair, whitening
 
 BLANKS = " \t\n\x0b\x0c\r"
 MOVES = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
@@ -156,3 +156,83 @@ def test_grammar_keeps_the_product():
         for c in s[1:]:
             plain = repair.product(plain, repair.symbol_matrix(c))
         assert g.matrix(s) == plain
+
+
+def slow_levels(data: bytes) -> list[list[int]]:
+    """The names of every level of one text, by plain loops."""
+    m = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    odd, names, out = 0x9E3779B97F4A7C15, list(data), []
+    while not out or len(out[-1]) > 1:
+        runs = []
+        for v in names:
+            if runs and runs[-1][0] == v:
+                runs[-1][1] += 1
+            else:
+                runs.append([v, 1])
+        values = [int(phrases._FIRST[v]) if not out else v for v, _ in runs]
+        values = [mixed(v ^ odd * k & m) if k > 1 else v for v, (_, k) in zip(values, runs)]
+        label = [v for v, _ in runs]
+        for _ in range(4 if out else 3):
+            label = [2 * (bit := (d & -d).bit_length() - 1) + (v >> bit & 1) for v, d in zip(label, (v ^ u for v, u in zip(label, [label[0] ^ 1, *label])))]
+        cut = [0] + [i for i in range(1, len(label) - 1) if label[i - 1] < label[i] > label[i + 1]]
+        assert len(set(label)) <= 6 and all(b - a <= 12 for a, b in zip(cut, [*cut[1:], len(label)]))
+        names = [mixed(sum(mixed(values[i] + odd * (i - a + 1) & m) for i in range(a, b)) & m) for a, b in zip(cut, [*cut[1:], len(label)])]
+        out.append(names)
+    return out
+
+
+def test_phrases_against_loops_and_shifts():
+    rng = random.Random(7)
+    texts = [b"", b"a", b"ab", b"aaaa", b"abab" * 40, "Ä日本 𝄞 ".encode() * 9] + [bytes(rng.choice(b"abcde  \n") for _ in range(rng.randrange(1, 900))) for _ in range(40)]
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    names, of = phrases.signatures(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    for i, t in enumerate(texts):
+        levels = slow_levels(t) if t else [[]]
+        want = [v for k, level in enumerate(levels, 1) for v in level if k >= phrases.LOWEST] or levels[-1]
+        assert sorted(names[of == i].tolist()) == sorted(want)
+    part = bytes(rng.choice(b"abcdefghij klmno") for _ in range(3000))
+    for before in (1, 2, 3, 5, 7, 64, 501):  # the names inside of a passage don't depend on where it stands
+        other = bytes(rng.choice(b"qrstuvw") for _ in range(before)) + part + bytes(rng.choice(b"qrstuvw") for _ in range(before))
+        a, b = (set(slow_levels(t)[1]) for t in (part, other))
+        assert len(a - b) <= 6 and len(a) > 300
+
+
+def test_fingerprints_of_documents_in_order(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(i, text(rng.randrange(1, 120))) for i in range(0, 600, 3)] + [(600, None), (603, ""), (606, text(40_000)), (609, "日本語 ÄÖ 𝄞" * 30), (-5, "one"), (None, "no id"), (None, "nor this")]
+    rows += [(300, f"again {k} " + text(30)) for k in range(300)] + [(303, "the same")] * 40 + [(9, rows[3][1])]
+    schema = "doc_id long, text string, fingerprint string, range int, digest string"
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], schema).repartition(5)
+    keyed = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, keyed[r], r[1] or ""))
+    texts = [t or "" for _, t in ordered]
+    want = []
+    sketch = phrases.sketches([t.encode() for t in texts])
+    for k, (i, _) in enumerate(ordered):
+        after = texts[(k + 1) % len(texts)]
+        n = len(texts[k])
+        cut = texts[k][: n - n // 4] + after[: n // 4]
+        own = phrases.sketches([cut.encode()])
+        near = [float(phrases.likeness(sketch[k : k + 1], o)[0]) for o in (own, sketch[(k + 1) % len(texts)][None])]
+        want.append((i, n, hashlib.sha256(cut.encode()).hexdigest(), phrases.written(sketch[k : k + 1])[0], phrases.written(own)[0], *near))
+    order = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    for ranges in (1, 7, 40):
+        got = [tuple(r) for r in phrases.fingerprinted(df, ranges).collect()]
+        assert sorted(got, key=order) == sorted(want, key=order)
+    big = [w for w in want if w[1] > 300]
+    assert min(w[5] for w in big) > 0.35 and max(w[6] for w in big if w[0] not in (9, 300, 303)) < 0.15
+    assert phrases.fingerprinted(df.limit(0)).collect() == []
+    alone = phrases.fingerprinted(df.filter("doc_id = -5")).collect()
+    assert [(r.n_chars, r.near_edited, r.near_next) for r in alone] == [(3, 1.0, 1.0)]
+    parts = phrases.in_order(df, 40)
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 80, "the id with 300 texts is spread"
