@@ -133,6 +133,7 @@ def facts(rows: DataFrame) -> DataFrame:
     letter = F.when(initial.isin("s", "u", "a"), initial).otherwise("o")
     light = rows.select("conv_id", "turn", "role", digest().alias("digest"), (last == "").alias("blank"), F.when(last.isin(".", "!", "?"), letter).otherwise(F.upper(letter)).alias("symbol"), "copies")
     one = light.groupBy("conv_id", "turn", "role", "digest").agg(F.sum("copies").alias("n"), F.first("blank").alias("blank"), F.first("symbol").alias("symbol"))
+    one = stored(one)  # read three times
     kept = one.filter("n > 0 and not blank")
     turn = F.struct(F.col("turn").isNotNull(), "turn")
     starts = kept.groupBy(F.col("conv_id").alias("c"), F.col("digest").alias("d")).agg(F.min(turn).alias("start"))
@@ -322,7 +323,7 @@ def repaired_hashes(rows: DataFrame, plans: DataFrame) -> DataFrame:
                         hashes.append(state.hexdigest())
                     state, audit, at, place = hashlib.sha256(), audits[i].as_py(), 0, 0
                     length, odd = len(audit), (len(audit) - audit.count("D")) % 2  # an odd number of rows begins with s
-                    held = b.slice(i, 1)
+                    held = pa.RecordBatch.from_arrays([c.slice(i, 1) for c in b.columns], b.schema.names)  # batches differ in what may be null
                     continue
                 role, text = None, None
                 for _ in range(copies[i]):

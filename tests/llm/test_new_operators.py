@@ -130,7 +130,9 @@ def test_repair_against_a_walk_with_whole_strings(spark, monkeypatch, segment):
     monkeypatch.setattr(repair, "SEGMENT", segment)
     monkeypatch.setattr(repair, "FAN", 3 if segment == 7 else 32)
     rows = conversations()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if segment == 7 else 37)
     got = repair.repaired(spark.createDataFrame([(*r, "x", 1) for r in rows], CONVERSATIONS).repartition(5)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r[0]: tuple(r)[1:] for r in got} == brute_repair(rows) and len(got) == len({r[0] for r in rows})
 
 
