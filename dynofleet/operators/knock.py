@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dynofleet.functions.numbers import exact_mean, half_away, step_down
+from dynofleet.operators import ranges
 
 LEAST = 0.1
 
@@ -38,10 +39,9 @@ def knock_events(log: DataFrame, y: str = "map", least: float = LEAST, min_rpm:
     Of an event: its first row number, samples, peak; rpm, load, iat and spark at the first peak;
     ect and tps at the first row; the rpm range; ``suspect_false`` under light throttle.
     """
-    w = Window.partitionBy("log_id").orderBy("row_no")
     hit = F.coalesce(F.col("rpm") >= min_rpm, F.lit(True)) & F.coalesce(F.col("knock_retard") >= least, F.lit(False))
-    # Rows that don't knock so far: the same for all rows of a run.
-    islands = log.withColumn("hit", hit).withColumn("island", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(w)).filter("hit")
+    # Rows that don't knock so far: the same for all rows of a run, also where it goes on in the next range of rows.
+    islands = ranges.running_count(log.withColumn("hit", hit), ~F.col("hit"), "island").filter("hit")
     peak = F.max_by(F.struct(F.col("knock_retard").alias("kr"), "rpm", F.col(y).alias("load"), "iat", "spark"), F.struct("knock_retard", -F.col("row_no")))
     head = F.min_by(F.struct("ect", "tps"), "row_no")
     out = islands.groupBy("log_id", "island").agg(

@@ -19,14 +19,15 @@ def scale_sample(log: DataFrame, channel: str, first: int = 400) -> DataFrame:
 def scale_samples(log: DataFrame, first: int = 400) -> DataFrame:
     """log_id, commanded_median, wideband_median of the first ``first`` values, early_median of commanded values in the first ``first`` rows.
 
-    The medians of ``scale_sample`` for both mixtures, from one window and one aggregation.
+    The medians of ``scale_sample`` for both mixtures; every task keeps no more than ``first`` rows of a log before they are shuffled.
     """
-    w = Window.partitionBy("log_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    seen = log.select("log_id", "row_no", *(x for c in ("commanded_afr", "wideband_afr") for x in (c, F.count(c).over(w).alias(f"{c}_no"))), F.count("*").over(w).alias("nth"))
-    median = lambda c, k: F.expr(f"percentile_disc(0.5) within group (order by {c} desc) filter (where {c} is not null and {k} <= {first})")
-    return seen.groupBy("log_id").agg(
-        median("commanded_afr", "commanded_afr_no").alias("commanded_median"), median("wideband_afr", "wideband_afr_no").alias("wideband_median"), median("commanded_afr", "nth").alias("early_median")
-    )
+    w = Window.partitionBy("log_id").orderBy("row_no")
+    rows = log.select("log_id", "row_no", F.col("commanded_afr").alias("v")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= first)
+    early = rows.groupBy("log_id").agg(F.expr("percentile_disc(0.5) within group (order by v desc) filter (where v is not null)").alias("early_median"))
+    out = early
+    for channel, name in (("commanded_afr", "commanded_median"), ("wideband_afr", "wideband_median")):
+        out = out.join(scale_sample(log, channel, first).withColumnRenamed("median", name), "log_id", "left")
+    return out
 
 
 def as_lambda(log: DataFrame, fuel: str = "gasoline", wideband_scale: str = "afr", commanded_scale: str = "afr", settings: DataFrame | None = None) -> DataFrame:

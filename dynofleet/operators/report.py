@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from dynofleet.functions.numbers import exact_mean, half_away
 from dynofleet.functions.units import convert, detect_unit, quantity_of
-from dynofleet.operators import channels as ch
 from dynofleet.operators.analysis import Analysis
 
 
@@ -57,23 +56,47 @@ def quality_summary(tally: DataFrame, times: DataFrame | None = None) -> DataFra
     return both.agg(*facts, F.sum("sessions").cast("long").alias("sessions"), F.sum("dropped").cast("long").alias("corrupt_stamps"))
 
 
-def submission_report(channels: DataFrame, samples: DataFrame, a: Analysis) -> DataFrame:
-    """One row a log: what was made of it. format, rows, kept, found (roles), missing, silent (dead headers), wideband,
-    wideband_scale, loop_samples, loop_error_pct, full_bins (with enough rows), warnings.
+def submission_report(channels: DataFrame, a: Analysis) -> DataFrame:
+    """One row a log: what was made of it. format, rows, kept, found (roles), missing, silent (dead headers), empty (headers without a number),
+    wideband, wideband_scale, loop_samples, loop_error_pct, full_bins (with enough rows), warnings; of interval logs from_rows, to_rows,
+    duration, sessions, dropped.
     """
     sorted_list = lambda c: F.sort_array(F.collect_set(c))
     kind = channels.groupBy("log_id").agg(F.first("format").alias("format"))
     found = a.settings.select("log_id", F.sort_array(F.coalesce("roles", F.array().cast("array<string>"))).alias("found"), "wideband", "wideband_scale")
     missing = a.missing.groupBy("log_id").agg(sorted_list("role").alias("missing"))
-    silent = ch.silent_channels(channels, samples).groupBy("log_id").agg(sorted_list("header").alias("silent"))
+    silent = a.silent.groupBy("log_id").agg(sorted_list("header").alias("silent"))
+    empty = a.empty.groupBy("log_id").agg(sorted_list("header").alias("empty"))
     loop = a.closed_loop.select("log_id", F.col("samples").alias("loop_samples"), F.col("error_pct").alias("loop_error_pct"))
     bins = a.bins.groupBy("log_id").agg(F.count_if("enough_data").alias("full_bins"))
     out = kind.join(a.tally.select("log_id", F.col("total").alias("rows"), "kept"), "log_id", "left").join(found, "log_id", "left")
-    for part in (missing, silent, loop, bins, a.warnings):
+    for part in (missing, silent, empty, loop, bins, a.warnings, a.resampled.drop("boundaries")):
         out = out.join(part, "log_id", "left")
     return out
 
 
+def report_text(report: DataFrame, step_ms: int = 100) -> DataFrame:
+    """log_id, text: a row of ``submission_report`` in markdown; facts that a log doesn't have are left out."""
+    words = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", "))
+    c = F.col
+    facts = {
+        "format": c("format"),
+        "resampled": F.when(c("to_rows").isNotNull(), F.format_string(f"%d to %d rows every {step_ms} ms", "from_rows", "to_rows")),
+        "duration": F.when(c("duration").isNotNull(), F.concat(c("duration").cast("string"), F.lit(" s"))),
+        "sessions": F.when(c("sessions") > 1, c("sessions")),
+        "corrupt stamps dropped": F.when(c("dropped") > 0, c("dropped")),
+        "rows usable": F.format_string("%d of %d", F.coalesce("kept", F.lit(0).cast("long")), F.coalesce("rows", F.lit(0).cast("long"))),
+        "channels detected": words("found"),
+        "not found": words("missing"),
+        "logged but empty": words("silent"),
+        "wideband": F.when(c("wideband").isNotNull(), F.concat("wideband", F.lit(" ("), F.coalesce("wideband_scale", F.lit("scale unknown")), F.lit(")"))),
+        "closed loop": F.when(c("loop_samples").isNotNull(), F.format_string("%s %% over %d samples", c("loop_error_pct").cast("string"), c("loop_samples"))),
+        "bins with enough samples": F.when(c("full_bins") > 0, c("full_bins")),
+        "warnings": F.when(F.size("warnings") > 0, F.array_join("warnings", "; ")),
+    }
+    return report.select("log_id", as_markdown(c("log_id").cast("string"), facts).alias("text"))
+
+
 def side_by_side(logs: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """One row per log: the per-log result tables side by side (each has log_id once), absent ones null."""
     out = logs.select("log_id").distinct()

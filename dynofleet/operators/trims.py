@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dynofleet.functions.numbers import exact_mean, half_away, step_down
+from dynofleet.operators import ranges
 
 REASONS = ("notRunning", "cold", "openLoop", "powerEnrich", "transient", "noTrimData")
 
@@ -29,17 +30,11 @@ class Filters:
     exclude_pe: bool = True
 
 
-def by_log() -> Window:
-    return Window.partitionBy("log_id").orderBy("row_no")
-
-
 def sample_deltas(log: DataFrame) -> DataFrame:
     """Adds d_tps and d_rpm against the row before (null counts as 0); null in the first row of a log."""
-    w = by_log()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    first = F.lag(F.lit(1)).over(w).isNull()
-    delta = lambda c: F.when(~first, F.abs(zero(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0))))
-    return log.withColumns({"d_tps": delta("tps"), "d_rpm": delta("rpm")})
+    delta = lambda c: F.when(F.col("near_").isNotNull(), F.abs(zero(c) - zero(f"near_.{c}")))
+    return ranges.lagged(log, ["tps", "rpm"]).withColumns({"d_tps": delta("tps"), "d_rpm": delta("rpm")}).drop("near_", ranges.RANGE)
 
 
 def derived_trims(log: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dynofleet.operators.analysis import Analysis, analyze
+from dynofleet.operators.analysis import analyze
 from dynofleet.operators.trims import REASONS
-from dynofleet.plans.standins import DENSE_SQL, WIDE, dense_log, half_away_sql as half, mean_sql as mean, step_sql as step
+from dynofleet.plans.standins import DENSE_SQL, SPARSE_SQL, WIDE, dense_log, sparse_log, half_away_sql as half, mean_sql as mean, step_sql as step
 from dynofleet.sources.logs import parse_lines
+from dynofleet.sources.tables import dropped, written
 
 QUERIES, SQL = {}, {}
 
@@ -42,13 +43,19 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(log.select("log_id", F.col("row_no").cast("int").alias("line_no"), line.alias("line")))
 
 
-def parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    channels, samples = parse_lines(log_lines(spark, d).persist())
-    return channels.persist(), samples.persist()
+def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    lines = written(lines)
+    out = tuple(map(written, parse_lines(lines)))
+    dropped(lines)
+    return out
 
 
-def analysis(spark: SparkSession, d: str) -> Analysis:
-    return analyze(*parsed(spark, d), WIDE)
+def reading(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """One reading of the dense text logs, as a table; what was written for it goes."""
+    logs = parsed(log_lines(spark, d))
+    out = analyze(*logs, WIDE).take(name)
+    dropped(*logs)
+    return out
 
 
 _SQL = f"""WITH {DENSE_SQL.replace('classified AS', 'plain AS').replace('kept AS (SELECT * FROM classified', 'plain_kept AS (SELECT * FROM plain')},
@@ -71,26 +78,27 @@ def query(name: str, sql: str):
 
 
 _REASONS = ", ".join(f"count(*) FILTER (reason = '{r}') AS \"{r}\"" for r in REASONS)
+_BINS = f"""SELECT log_id, bin_from, bin_from + 500 AS bin_to, n, {half('l', 2)} AS avg_ltft, {half('s', 2)} AS avg_stft, {half('t', 2)} AS avg_total,
+    {half('t', 1)} AS suggested_pct, {half('((100 + t) / 100)', 4)} AS multiplier, n >= 20 AS enough_data
+    FROM (SELECT log_id, {step('maf_hz', 500)} AS bin_from, count(*) AS n, {mean('ltft')} AS l, {mean('stft')} AS s, {mean('total')} AS t FROM kept GROUP BY ALL)"""
 
 
 @query("analysis_tally", f"SELECT log_id, {_REASONS}, count(*) FILTER (reason IS NULL) AS kept, count(*) AS total FROM classified GROUP BY log_id")
 def _(spark, d):
-    return analysis(spark, d).tally
+    return reading(spark, d, "tally")
 
 
 @query(
     "analysis_bins",
-    f"""SELECT log_id, bin_from, bin_from + 500 AS bin_to, n, {half('l', 2)} AS avg_ltft, {half('s', 2)} AS avg_stft, {half('t', 2)} AS avg_total,
-    {half('t', 1)} AS suggested_pct, {half('((100 + t) / 100)', 4)} AS multiplier, n >= 20 AS enough_data
-    FROM (SELECT log_id, {step('maf_hz', 500)} AS bin_from, count(*) AS n, {mean('ltft')} AS l, {mean('stft')} AS s, {mean('total')} AS t FROM kept GROUP BY ALL)""",
+    _BINS,
 )
 def _(spark, d):
-    return analysis(spark, d).bins
+    return reading(spark, d, "bins")
 
 
 @query("analysis_heatmap", f"SELECT log_id, {step('rpm', 500)} AS x, {step('map', 10)} AS y, count(*) AS n, {half(mean('total'), 2)} AS avg_total, count(*) >= 5 AS enough_data FROM kept GROUP BY ALL")
 def _(spark, d):
-    return analysis(spark, d).heatmap
+    return reading(spark, d, "heatmap")
 
 
 @query(
@@ -99,7 +107,7 @@ def _(spark, d):
     FROM (SELECT log_id, count(*) AS n, {mean('wb')} AS w, {mean('cmd')} AS c FROM mix WHERE CASE WHEN log_id % 4 = 0 THEN closed_loop ELSE abs(cmd - 1) <= CAST(0.01 AS DOUBLE) END AND (log_id % 4 = 2 OR NOT pe) GROUP BY log_id HAVING count(*) >= 20)""",
 )
 def _(spark, d):
-    return analysis(spark, d).closed_loop
+    return reading(spark, d, "closed_loop")
 
 
 @query(
@@ -108,7 +116,106 @@ def _(spark, d):
     ELSE 'no coolant temperature: warm-up was not checked|column ''Closed Loop'' holds no samples; closed_loop was not checked' END AS warnings FROM (SELECT DISTINCT log_id FROM log)""",
 )
 def _(spark, d):
-    return analysis(spark, d).warnings.select("log_id", F.array_join("warnings", "|").alias("warnings"))
+    return reading(spark, d, "warnings").select("log_id", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("analysis_knock_map", f"SELECT log_id, {step('rpm', 500)} AS x, {step('map', 10)} AS y, count(*) AS n, {half('max(knock_retard)', 2)} AS max_kr, count(*) FILTER (knock_retard >= CAST(0.1 AS DOUBLE)) AS hits FROM log WHERE rpm >= 500 GROUP BY ALL")
+def _(spark, d):
+    return reading(spark, d, "knock_map")
+
+
+@query("analysis_wot_summary", f"""SELECT log_id, count(*) AS wot_samples, count(*) FILTER (wb > 1) AS lean_samples, {half('max(wb)', 3)} AS worst_lambda, arg_max(rpm, (wb, -row_no)) AS worst_rpm
+    FROM mix WHERE (pe AND log_id % 4 <> 2) OR tps >= 80 GROUP BY log_id""")
+def _(spark, d):
+    return reading(spark, d, "wot_summary").select("log_id", "wot_samples", "lean_samples", "worst_lambda", "worst_rpm")
+
+
+@query("analysis_spark_summary", f"""SELECT log_id, count(*) FILTER (rpm >= 500) AS running_samples, count(*) FILTER (rpm >= 500 AND knock_retard >= CAST(0.1 AS DOUBLE)) AS knock_samples,
+    {half('max(knock_retard) FILTER (rpm >= 500 AND knock_retard >= CAST(0.1 AS DOUBLE))', 2)} AS worst_kr FROM log GROUP BY log_id""")
+def _(spark, d):
+    return reading(spark, d, "spark_summary").select("log_id", "running_samples", "knock_samples", "worst_kr")
+
+
+@query("analysis_empty", "SELECT DISTINCT log_id, 7 AS ordinal, 'Closed Loop' AS header FROM log WHERE log_id % 4 = 3")
+def _(spark, d):
+    return reading(spark, d, "empty")
+
+
+# ---- interval logs among dense ones: users play logs, every third one is logged densely
+_HEAD = "HP Tuners CSV Log File\n\n[Channel Information]\n0,12,2301,6,5,3\nOffset,Engine RPM,Mass Airflow,Short Term Fuel Trim Bank 1,Engine Coolant Temp,Closed Loop\ns,rpm,Hz,%,°F,\n\n[Channel Data]"
+CELLS = {"click": 1, "view": 2, "error": 3, "purchase": 4, "signup": 5}
+HOUR = 3_600_000
+
+
+def interval_lines(spark: SparkSession, d: str) -> DataFrame:
+    """log_id, line_no, line: users % 3 = 0 have all channels in every line, the others only the one that ticked."""
+    v = F.floor("value").cast("long")
+    whole = lambda c: c.cast("string")
+    text = [whole(400 + F.floor(F.col("value") * 20).cast("long")), whole(1000 + v * 50), whole(v % 13 - 6), whole(150 + v % 60), F.element_at(F.array(*map(F.lit, ("Off", "On", "1", "0"))), (v % 4 + 1).cast("int"))]
+    cells = [F.when((F.col("log_id") % 3 == 0) | (F.col("channel") == c), x).otherwise("") for (c, _), x in zip(CELLS.items(), text, strict=True)]
+    head = _HEAD.split("\n")
+    rows = sparse_log(spark, d).select("log_id", (F.col("row_no") + len(head) - 1).cast("int").alias("line_no"), F.concat_ws(",", F.col("t").cast("string"), *cells).alias("line"))
+    top = rows.select("log_id").distinct().select("log_id", F.posexplode(F.array(*map(F.lit, head))).alias("line_no", "line"))
+    return top.unionByName(rows)
+
+
+_INTERVAL_SQL = f"""WITH RECURSIVE {SPARSE_SQL},
+typed AS (SELECT log_id, row_no, t, channel, CASE channel WHEN 'click' THEN 400 + floor(value * 20) WHEN 'view' THEN 1000 + floor(value) * 50 WHEN 'error' THEN floor(value) % 13 - 6 WHEN 'purchase' THEN 150 + floor(value) % 60
+    ELSE CASE CAST(floor(value) AS BIGINT) % 4 WHEN 2 THEN 1 WHEN 3 THEN 0 END END AS num, CASE WHEN channel = 'signup' THEN CASE CAST(floor(value) AS BIGINT) % 4 WHEN 0 THEN 'Off' WHEN 1 THEN 'On' END END AS word FROM normal WHERE log_id % 3 <> 0),
+own AS (SELECT log_id, channel, t - lag(t) OVER (PARTITION BY log_id, channel ORDER BY row_no) AS g FROM typed),
+iv AS (SELECT log_id, channel, percentile_disc(0.5) WITHIN GROUP (ORDER BY g DESC) FILTER (WHERE g > 0) AS interval FROM own GROUP BY log_id, channel),
+hold AS (SELECT *, CAST(floor(coalesce(greatest(1, interval * 3), 5) * 1000 + 0.5) AS BIGINT) AS hold FROM iv),
+ms AS (SELECT *, CAST(floor(t * 1000 + 0.5) AS BIGINT) AS ms FROM typed),
+span AS (SELECT log_id, min(ms) AS t0, max(ms) AS t1, (max(ms) - min(ms)) // {HOUR} AS n FROM ms GROUP BY log_id),
+last AS (SELECT m.log_id, m.channel, least((m.ms - t0) // {HOUR}, n) AS a, arg_max(struct_pack(num := m.num, word := m.word, ms := m.ms), m.row_no) AS s, any_value(t0) AS t0, any_value(t1) AS t1, any_value(n) AS n FROM ms m JOIN span USING (log_id) GROUP BY 1, 2, 3),
+stands AS (SELECT l.*, hold, coalesce(lead(a) OVER (PARTITION BY log_id, channel ORDER BY a) - 1, n) AS z FROM last l JOIN hold USING (log_id, channel)),
+held AS (SELECT * FROM (SELECT *, unnest(range(a, z + 1)) AS k FROM stands) WHERE CASE WHEN k = n THEN t1 ELSE t0 + k * {HOUR} END - s.ms <= hold),
+rows_ AS (SELECT log_id, unnest(range(0, n + 1)) AS k FROM span),
+pick AS (SELECT log_id, k, {', '.join(f"max(s.num) FILTER (channel = '{c}') AS {n}" for c, n in (('click', 'rpm'), ('view', 'maf_hz'), ('error', 'stft'), ('purchase', 'ect'), ('signup', 'flag')))}, max(s.word) FILTER (channel = 'signup') AS word FROM held GROUP BY log_id, k),
+full_ AS (SELECT log_id, k + 1 AS row_no, rpm, maf_hz, stft, ect, flag, word FROM rows_ LEFT JOIN pick USING (log_id, k) UNION ALL
+  SELECT log_id, row_no, 400 + floor(value * 20), 1000 + floor(value) * 50, floor(value) % 13 - 6, 150 + floor(value) % 60, CASE CAST(floor(value) AS BIGINT) % 4 WHEN 2 THEN 1 WHEN 3 THEN 0 END, CASE CAST(floor(value) AS BIGINT) % 4 WHEN 0 THEN 'Off' WHEN 1 THEN 'On' END FROM sparse WHERE log_id % 3 = 0),
+live AS (SELECT log_id, count(flag) > 0 AS flagged FROM full_ GROUP BY log_id),
+classified AS (SELECT *, CASE WHEN rpm < 500 THEN 'notRunning' WHEN ect < 160 THEN 'cold' WHEN flagged AND NOT coalesce(CASE WHEN flag IS NOT NULL THEN flag <> 0 ELSE word = 'On' END, FALSE) THEN 'openLoop'
+    WHEN abs(coalesce(rpm, 0) - coalesce(before, 0)) > 2500 AND row_no > 1 THEN 'transient' WHEN stft IS NULL THEN 'noTrimData' END AS reason
+  FROM (SELECT *, lag(rpm) OVER (PARTITION BY log_id ORDER BY row_no) AS before FROM full_) JOIN live USING (log_id)),
+kept AS (SELECT *, CAST(0 AS DOUBLE) AS ltft, stft AS total FROM classified WHERE reason IS NULL)"""
+
+
+def interval_reading(spark: SparkSession, d: str, name: str) -> DataFrame:
+    logs = parsed(interval_lines(spark, d))
+    out = analyze(*logs, WIDE, step_ms=HOUR).take(name)
+    dropped(*logs)
+    return out
+
+
+def interval_query(name: str, sql: str):
+    def keep(f):
+        QUERIES[name] = f
+        SQL[name] = f"{_INTERVAL_SQL} {sql}"
+        return f
+
+    return keep
+
+
+@interval_query("analysis_sparse_tally", f"SELECT log_id, {_REASONS}, count(*) FILTER (reason IS NULL) AS kept, count(*) AS total FROM classified GROUP BY log_id")
+def _(spark, d):
+    return interval_reading(spark, d, "tally")
+
+
+@interval_query("analysis_sparse_bins", _BINS.replace("FROM kept", "FROM kept WHERE maf_hz IS NOT NULL"))
+def _(spark, d):
+    return interval_reading(spark, d, "bins")
+
+
+@interval_query(
+    "analysis_sparse_report",
+    f"""SELECT log_id, count(*) AS from_rows, (SELECT n + 1 FROM span s WHERE s.log_id = w.log_id) AS to_rows, {half('((SELECT t1 - t0 FROM span s WHERE s.log_id = w.log_id) / 1000)', 2)} AS duration, CAST(max(sessions) AS INTEGER) AS sessions, CAST(max(dropped) AS BIGINT) AS dropped,
+    coalesce(string_agg(CAST(CAST(sign(t + off) * floor(abs(t + off) * CAST(1000 AS DOUBLE) + 0.5) / CAST(1000 AS DOUBLE) AS DECIMAL(18,3)) AS VARCHAR), '|' ORDER BY row_no) FILTER (begins), '') AS boundaries
+    FROM (SELECT *, sessions > lag(sessions) OVER (PARTITION BY log_id ORDER BY row_no) AS begins FROM walk WHERE log_id % 3 <> 0) w GROUP BY log_id""",
+)
+def _(spark, d):
+    marks = F.array_join(F.transform("boundaries", lambda x: x.cast("decimal(18,3)").cast("string")), "|")
+    return interval_reading(spark, d, "resampled").withColumn("boundaries", marks)
 
 
 @query(
@@ -121,7 +228,10 @@ def _(spark, d):
 def _(spark, d):
     from dynofleet.operators.report import submission_report
 
-    channels, samples = parsed(spark, d)
-    r = submission_report(channels, samples, analyze(channels, samples, WIDE))
+    channels, samples = parsed(log_lines(spark, d))
+    a = analyze(channels, samples, WIDE)
+    r = written(submission_report(channels, a))
+    a.done()
+    dropped(channels, samples)
     words = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
     return r.select("log_id", "rows", "kept", "full_bins", words("missing"), words("silent"), "wideband", "wideband_scale", F.size("warnings").alias("warnings"))

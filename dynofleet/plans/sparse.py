@@ -31,9 +31,10 @@ def _(spark, d):
     return align.normalize_time(sparse_log(spark, d))
 
 
-@query("time_report", "SELECT log_id, CAST(max(sessions) AS INTEGER) AS sessions, CAST(max(dropped) AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS blank FROM walk GROUP BY log_id")
+@query("time_report", "SELECT log_id, CAST(max(sessions) AS INTEGER) AS sessions, CAST(max(dropped) AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS blank, coalesce(string_agg(CAST(CAST(sign(t + off) * floor(abs(t + off) * CAST(1000 AS DOUBLE) + 0.5) / CAST(1000 AS DOUBLE) AS DECIMAL(18,3)) AS VARCHAR), '|' ORDER BY row_no) FILTER (begins), '') AS boundaries FROM (SELECT *, sessions > lag(sessions) OVER (PARTITION BY log_id ORDER BY row_no) AS begins FROM walk) GROUP BY log_id")
 def _(spark, d):
-    return align.time_report(sparse_log(spark, d)).drop("boundaries")
+    marks = F.array_join(F.transform("boundaries", lambda x: x.cast("decimal(18,3)").cast("string")), "|")
+    return align.time_report(sparse_log(spark, d)).withColumn("boundaries", marks)
 
 
 @query("update_intervals", f"{_INTERVALS} SELECT log_id, channel, {half('interval', 3)} AS interval FROM iv")

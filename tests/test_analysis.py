@@ -55,3 +55,61 @@ def test_readings_and_warnings(spark):
     assert any("Commanded AFR" in w and "enrichment" in w for w in warnings["mixture"])
     missing = {(r.log_id, r.role) for r in a.missing.collect()}
     assert ("dead", "closed_loop") in missing and ("celsius", "closed_loop") not in missing and ("load", "maf_hz") in missing
+
+
+HEAD = "HP Tuners CSV Log File\nVersion: 1.0\n\n[Channel Information]\n{ids}\n{names}\n{units}\n\n[Channel Data]\n"
+
+
+def sectioned(rows: list[str], names="Offset,Engine RPM (SAE),Short Term Fuel Trim Bank 1 (SAE),Mass Airflow Sensor,Engine Coolant Temp (SAE)", units="s,rpm,%,Hz,°F", ids="0,12,6,2301,5") -> str:
+    return HEAD.format(ids=ids, names=names, units=units) + "\n".join(rows)
+
+
+def interval_logs(spark, step_ms: int = 100):
+    in_turn = [f"{i / 10:.1f}," + ",".join(v if i % 4 == k else "" for k, v in enumerate((str(1500 + i % 3), "-5", "3200", "190"))) for i in range(400)]
+    flagged = "Offset,Engine RPM (SAE),Short Term Fuel Trim Bank 1 (SAE),Mass Airflow Sensor,Engine Coolant Temp (SAE),Fuel System #1 Status (SAE)"
+    silent = [f"{i / 10:.1f},{800 + i % 3},-5,3200,190," for i in range(60)]
+    words = [f"{i / 10:.1f},{1500 if i % 2 else ''},{'' if i % 2 else -5},{'' if i % 2 else 3200},{190 if i % 2 else ''},{('1' if i == 0 else 'On' if i < 40 else 'Off') if i % 2 == 0 else ''}" for i in range(80)]
+    twice = [f"{i / 10:.1f},{800 + i},-5,3200,190" for i in range(50)] + ["16778.048,900,-5,3200,190"] + [f"{i / 10:.1f},{900 + i},-6,3300," for i in range(50)] + ["9.0,,,,", "9.1,,,,190"]
+    texts = {
+        "turns": sectioned(in_turn),
+        "silent": sectioned(silent, flagged, "s,rpm,%,Hz,°F,", "0,12,6,2301,5,3"),
+        "words": sectioned(words, flagged, "s,rpm,%,Hz,°F,", "0,12,6,2301,5,3"),
+        "twice": sectioned(twice + ["" for _ in range(3)] + [f"{9.2 + i / 10:.1f},,-6,,"[:99] for i in range(60)]),
+        "dense": log("Engine Speed (RPM),MAF Frequency (Hz),LTFT Bank 1 (%),STFT Bank 1 (%),TPS (%),MAP (kPa),ECT (F),Closed Loop", ["1500,2100,2,1,20,50,200,1" for _ in range(30)]),
+    }
+    return analyze(*parse_logs(spark.createDataFrame(list(texts.items()), "log_id string, text string")), Filters(), step_ms=step_ms)
+
+
+def test_interval_logs_are_put_on_a_grid(spark):
+    a = interval_logs(spark)
+    tally = {r.log_id: r.asDict() for r in a.tally.collect()}
+    assert tally["turns"]["total"] == 400 and tally["turns"]["kept"] > 380, "400 rows of one channel each give bins"
+    bins = {r.log_id: r for r in a.bins.collect()}
+    assert bins["turns"].bin_from == 3000 and bins["turns"].avg_stft == -5.0 and bins["turns"].enough_data
+    assert tally["silent"]["kept"] > 0 and tally["silent"]["openLoop"] == 0
+    assert ("silent", "closed_loop") in {(r.log_id, r.role) for r in a.silent.collect()}
+    assert any("no samples" in w for r in a.warnings.filter("log_id = 'silent'").collect() for w in r.warnings)
+    assert 30 <= tally["words"]["openLoop"] <= 40 and 30 <= tally["words"]["kept"] <= 41, "words are held like numbers"
+    assert tally["dense"]["kept"] == tally["dense"]["total"] == 30
+    report = {r.log_id: r for r in a.resampled.collect()}
+    assert set(report) == {"turns", "silent", "words", "twice"}
+    assert (report["twice"].sessions, report["twice"].dropped, len(report["twice"].boundaries)) == (2, 1, 1)
+    assert (report["turns"].from_rows, report["turns"].to_rows, report["turns"].duration) == (400, 400, 39.9)
+    empty = {(r.log_id, r.header) for r in a.empty.collect()}
+    assert ("silent", "Fuel System #1 Status (SAE)") in empty and not any(e[0] == "turns" for e in empty)
+
+
+def test_the_report_tells_what_was_done(spark):
+    from dynofleet.operators.report import report_text, submission_report
+    from dynofleet.sources.tables import shared_folder
+
+    a = interval_logs(spark)
+    channels, _ = parse_logs(spark.createDataFrame([("turns", sectioned(["0.0,1,,,", "0.1,,1,,", "0.2,,,1,"])), ("twice", sectioned(["0,1,1,1,1"])), ("dense", log("Engine Speed (RPM)", ["1500"]))], "log_id string, text string"))
+    texts = {r.log_id: r.text for r in report_text(submission_report(channels, a)).collect()}
+    assert "- resampled: 400 to 400 rows every 100 ms" in texts["turns"] and "sessions" not in texts["turns"]
+    assert "- sessions: 2" in texts["twice"] and "- corrupt stamps dropped: 1" in texts["twice"]
+    assert "resampled" not in texts["dense"] and "- rows usable: 30 of 30" in texts["dense"]
+    before = len(list(__import__("pathlib").Path(shared_folder(spark).removeprefix("file://")).glob("table-*")))
+    taken = a.take("tally")
+    after = len(list(__import__("pathlib").Path(shared_folder(spark).removeprefix("file://")).glob("table-*")))
+    assert taken.count() == 5 and after < before, "what was written on the way is gone"
