@@ -32,6 +32,8 @@ _NEVER = np.uint32(0xFFFFFFFF)
 NEAR, MARGIN = 128, 24
 #: Bytes that a run of repeated chunks must have to be cut out.
 LEAST_RUN = 100
+#: Bytes of text chunked at once: a dozen words of memory for each.
+SLICE = 1 << 20
 
 
 def gear_hash(data: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -125,7 +127,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for s in slices(batch.column("text")):
+            for s in slices(batch.column("text"), SLICE):
                 starts, ends, owner = chunks(s)
                 d1, d2 = s.span_hashes(starts, ends), s.span_hashes(starts, ends, seed=1)
                 doc, (at, beside) = ids[s.lo : s.hi][owner], _placed(starts, ends, owner, s)

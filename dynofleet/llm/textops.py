@@ -144,6 +144,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         hi = min(hi, len(column))
         yield Slice(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage, several an executor
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
