@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from dynofleet.functions.numbers import half_away
 from dynofleet.operators import ranges
 from dynofleet.operators.medians import upper_medians
+from dynofleet.sources.tables import written
 
 
 def time_blocks(samples: DataFrame) -> DataFrame:
     """Adds median, limit, timed, range_ and block: a block ends where time goes back or jumps by more than the limit.
 
     Rows without a time are left out. Inside a block time never goes back, so a block is kept or
-    dropped as a whole; one that goes on in the next range of rows counts there as another one, with the same outcome.
+    dropped as a whole; one that goes on in the next range of rows counts there as another one, with the same outcome. The
+    samples are written as a table first, as they are read for the median, the blocks and the result.
     """
-    timed = samples.filter(F.col("t").isNotNull() & ~F.isnan("t"))
+    timed = written(samples.filter(F.col("t").isNotNull() & ~F.isnan("t")))
     timed = ranges.lagged(timed, ["t"]).withColumn("step", F.col("t") - F.col("near_.t")).drop("near_")
     counts = timed.groupBy("log_id").agg(F.count("*").alias("timed"))
     stats = counts.join(upper_medians(timed, ["log_id"], "step"), "log_id", "left")
@@ -113,6 +115,7 @@ def resample_hold(samples: DataFrame, step_ms: int = 100, factor: float = 3.0, l
     """
     own = ["log_id", "channel"]
     ms = F.floor(F.col("t") * 1000 + 0.5).cast("long")
+    samples = written(samples.select("log_id", "row_no", "t", "channel", *values))  # read for spans, intervals and values
     timed = samples.filter("t is not null").select("log_id", "row_no", ms.alias("ms"), "channel", *values)
     span = timed.groupBy("log_id").agg(F.min("ms").alias("t0"), F.max("ms").alias("t1")).withColumn("n", F.floor((F.col("t1") - F.col("t0")) / step_ms).cast("long"))
     bucket = F.least(F.floor((F.col("ms") - F.col("t0")) / step_ms).cast("long"), F.col("n"))

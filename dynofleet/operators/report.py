@@ -17,9 +17,9 @@ def channel_summary(samples: DataFrame, places: int = 4) -> DataFrame:
 
 
 def write_readings(readings: dict[str, DataFrame], path: str, by: str = "log_date") -> None:
-    """One Parquet table per reading under ``path``, partitioned by ``by`` where a reading has it."""
+    """One Parquet table per reading under ``path``, partitioned by ``by`` where a reading has it: only its own partitions are replaced."""
     for name, df in readings.items():
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(by) if by in df.columns else writer).parquet(f"{path}/{name}")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dynofleet.sources.logs import parse_logs
+from dynofleet.sources import splits
+from dynofleet.sources.logs import log_lines, parse_lines, parse_logs
 
 # A vehicle number (17 characters of its alphabet, a digit and a letter among them), the
 # notes line, and channels that tell a place.
@@ -40,15 +41,32 @@ def scrub_location(lines: DataFrame, channels: DataFrame) -> DataFrame:
     cut = lines.join(location_columns(channels), "log_id", "left")
     fields = F.split("line", ",")
     kept = F.array_join(F.filter(fields, lambda c, i: ~F.array_contains(F.col("drop"), i)), ",")
-    return cut.select("log_id", "line_no", F.when(F.size(fields) == F.col("width"), kept).otherwise(F.col("line")).alias("line"))
+    rest = [c for c in lines.columns if c not in ("log_id", "line_no", "line")]
+    return cut.select("log_id", "line_no", F.when(F.size(fields) == F.col("width"), kept).otherwise(F.col("line")).alias("line"), *rest)
+
+
+def scrub_lines(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """The lines of logs (log_id, line_no, line, and others) with everything redacted, one by one: no log is held whole.
+
+    Vehicle numbers and notes never cross a line. ``heads``: as for ``logs.parse_lines``, so that channels come from them alone.
+    """
+    channels, _ = parse_lines(lines if heads is None else heads)
+    clean = lines.withColumn("line", scrub_notes(scrub_vins(F.col("line"))))
+    return scrub_location(clean, channels)
 
 
 def scrub_logs(logs: DataFrame) -> DataFrame:
     """log_id, text: logs (log_id, text) with everything redacted and otherwise unchanged, line order kept."""
-    channels, _ = parse_logs(logs)
-    lines = logs.select("log_id", scrub_notes(scrub_vins(F.col("text"))).alias("text")).select("log_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = logs.select("log_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    return scrub_location(lines, channels).groupBy("log_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+    return scrub_lines(lines, log_lines(logs)).groupBy("log_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+
+
+def write_scrubbed(spark: SparkSession, source: str, target: str, part_bytes: int = splits.PART) -> None:
+    """Every log file under ``source`` redacted into the same place under ``target``, byte for byte the same elsewhere."""
+    heads = splits.registered(spark).read.format("log_lines").option("mode", "head").load(source)
+    base = splits.located(source)[2] + splits.located(source)[1]
+    splits.write_logs(scrub_lines(splits.read_lines(spark, source, part_bytes), heads), target, base)
 
 
 def scrub_check(logs: DataFrame) -> DataFrame:

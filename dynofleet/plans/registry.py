@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dynofleet.plans import analyses, dense, flash, records, sparse
+from dynofleet.plans import analyses, dense, flash, records, sparse, stored
 
-MODULES = (dense, sparse, records, analyses, flash)
+MODULES = (dense, sparse, records, analyses, flash, stored)
 
 
 def queries() -> dict:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -11,11 +18,45 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """name, path, size, modified, sha256 of all files, newest name first."""
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, modified of all files under ``path``; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")).orderBy(F.desc("name"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def hashed_files(files: DataFrame) -> DataFrame:
+    """``files`` with sha256 of what each path holds, null where it can't be read; files are streamed, of any size."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path in b.column("path").to_pylist():
+                fs, inside = pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))
+                digest = hashlib.sha256()
+                try:
+                    with fs.open_input_stream(inside) as file:
+                        while block := file.read(1 << 20):
+                            digest.update(block)
+                    found.append(digest.hexdigest())
+                except OSError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "sha256"])
+
+    return files.repartition("path").mapInArrow(task, StructType([*files.schema.fields, StructField("sha256", StringType())]))
+
+
+def file_inventory(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """name, path, size, modified, sha256 of all files, newest name first.
+
+    ``known``: an inventory made before. Files whose path, size and time are in it keep their hash (unless it is null); only the others are read.
+    """
+    key, files = ["path", "size", "modified"], listed_files(spark, path)
+    if known is None:
+        hashed = hashed_files(files)
+    else:
+        same = known.filter("sha256 is not null").select(*key, "sha256")
+        hashed = files.join(same, key).unionByName(hashed_files(files.join(same, key, "left_anti")))
+    return hashed.select(F.element_at(F.split("path", "/"), -1).alias("name"), *key, "sha256").orderBy(F.desc("name"))
 
 
 def date_in(name: Column) -> Column:
@@ -38,6 +79,7 @@ def read_flash_log(spark: SparkSession, path: str) -> DataFrame:
     return flash_rows(spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")))
 
 
+# Fixed value: a row of the flash log.
 FLASH_ROW = r"^\|\s*(\d{4}-\d{2}-\d{2})\s*\|\s*([^|]+?)\s*\|\s*([^|]*?)\s*\|\s*([^|]*?)\s*\|$"
 
 
@@ -54,6 +96,7 @@ def flash_detail(adapter: Column, notes: Column) -> Column:
 
 def session_goal(text: Column) -> Column:
     """The goal line of session notes, else the revision line; null without either."""
+    # The labels of both lines.
     line = lambda label: F.nullif(F.trim(F.regexp_extract(text, rf"(?m)^\*\*{label}:\*\*[ \t]*(.*)$", 1)), F.lit(""))
     return F.coalesce(line("Goal for this session"), line("Tune revision flashed"))
 
@@ -62,6 +105,7 @@ def current_state(profile: Column) -> Column:
     """struct<current_revision, last_flashed> from a vehicle profile; placeholders are empty."""
 
     def bullet(label: str) -> Column:
+        # How a bullet is written, and what stands in for no value.
         v = F.trim(F.regexp_extract(profile, rf"(?m)^- {label}: (.*)$", 1))
         return F.when(v.rlike(r"^[—-]?\s*(\(stock\))?$"), "").otherwise(v)
 

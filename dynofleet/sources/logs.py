@@ -1,21 +1,29 @@
 """Datalog text files: plain (one header row) and sectioned (preamble, then sparse rows).
 
-Files are read whole, as a log's order is its line order. Result: ``log_channel`` (log_id, ordinal,
+The order of a log is its line order: ``read_text_logs`` reads files whole, ``sources.splits`` in ranges with line numbers. Result: ``log_channel`` (log_id, ordinal,
 parameter_id, name, unit_text, header, format) and ``log_sample`` (log_id, row_no, ordinal,
 value_num, value_str), both long, so any list of channels fits.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dynofleet.operators import ranges
+
 # What marks a sectioned file, and its sections.
 SECTIONED = r"(?i)^HP Tuners CSV Log File"
 INFO, DATA = "[Channel Information]", "[Channel Data]"
 NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
+def is_sectioned(first_line: str) -> bool:
+    return re.match(SECTIONED, first_line) is not None
+
+
 def read_text_logs(spark: SparkSession, path: str) -> DataFrame:
     """log_id (file path) and text of every file under ``path``."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log_id"), F.col("value").alias("text"))
@@ -63,7 +71,7 @@ def merge_units(name: Column, unit: Column) -> Column:
 
 
 def _frames(lines: DataFrame) -> DataFrame:
-    """One row per log: format, names, units, ids, and where its data begins."""
+    """One row per log: format, names, units, ids, and ``begin``, the last line before its data."""
     text = F.trim("line")
     marks = lines.groupBy("log_id").agg(
         F.min(F.when(text == DATA, F.col("line_no"))).alias("data"),
@@ -86,16 +94,18 @@ def _frames(lines: DataFrame) -> DataFrame:
         F.when(shifted, ids).otherwise(names).alias("names"),
         F.when(shifted, names).otherwise(units).alias("units"),
         "first",
+        F.lit(None).cast("long").alias("begin"),
     )
     width = F.coalesce(F.size(split_fields(F.col("first"))), F.size("ids"), F.size("units"), F.lit(0))
     sect = sect.withColumn("names", rejoin_names(F.col("names"), F.when(F.col("first").isNull(), F.coalesce(F.size("ids"), F.size("units"), F.lit(0))).otherwise(width))).drop("first")
     w = Window.partitionBy("log_id").orderBy("line_no")
     top = near.filter("not sectioned").withColumn("k", F.row_number().over(w)).filter("k <= 2")
-    top = top.groupBy("log_id").agg(F.max(F.when(F.col("k") == 1, F.col("line"))).alias("h"), F.max(F.when(F.col("k") == 2, F.col("line"))).alias("u"))
+    top = top.groupBy("log_id").agg(F.max(F.when(F.col("k") == 1, F.col("line"))).alias("h"), F.max(F.when(F.col("k") == 2, F.col("line"))).alias("u"), F.min("line_no").alias("at"), F.max("line_no").alias("units_at"))
     second = split_fields(F.col("u"))
     units_row = F.size(F.filter(second, lambda c: number_of(c).isNotNull())) <= F.size(second) / 2
-    plain = top.filter("u is not null").select("log_id", F.lit("plain").alias("format"), F.lit(None).cast("array<string>").alias("ids"), split_fields(F.col("h")).alias("names"), F.when(units_row, second).alias("units"))
-    return marks.join(sect.unionByName(plain), "log_id")
+    plain = top.filter("u is not null").select("log_id", F.lit("plain").alias("format"), F.lit(None).cast("array<string>").alias("ids"), split_fields(F.col("h")).alias("names"), F.when(units_row, second).alias("units"), F.when(units_row, F.col("units_at")).otherwise(F.col("at")).cast("long").alias("begin"))
+    both = marks.join(sect.unionByName(plain), "log_id")
+    return both.withColumn("begin", F.coalesce("begin", "data"))
 
 
 def parse_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,21 +113,20 @@ def parse_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parse_lines(log_lines(logs))
 
 
-def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_lines(lines: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(log_channel, log_sample) of the lines of logs (log_id, line_no from 0, line), so that no log is held whole.
 
-    Logs without data rows have no samples. Blank cells of sectioned logs are null; a cell that is no number is kept as text.
+    ``heads``: the first lines of every log, at least up to its first data line; without them all lines are searched for
+    what they say. Logs without data rows have no samples. Blank cells of sectioned logs are null; a cell that is no number is kept as text.
     """
-    frames = _frames(lines)
+    frames = _frames(lines if heads is None else heads)
     named = frames.select("log_id", "format", "ids", "units", F.posexplode("names").alias("ordinal", "name"))
     unit = F.get("units", F.col("ordinal"))
     header = F.when(F.col("format") == "sectioned", merge_units(F.col("name"), unit)).otherwise(F.col("name"))
     channels = named.select("log_id", "ordinal", F.get("ids", F.col("ordinal")).alias("parameter_id"), "name", unit.alias("unit_text"), header.alias("header"), "format")
-    body = lines.join(frames.select("log_id", "format", "data", F.col("units").isNotNull().alias("has_units")), "log_id").filter(F.trim("line") != "")
-    w = Window.partitionBy("log_id").orderBy("line_no")
-    plain = body.filter("format = 'plain'").withColumn("k", F.row_number().over(w)).filter(F.col("k") > F.when(F.col("has_units"), 2).otherwise(1)).drop("k")
-    sect = body.filter("format = 'sectioned' and line_no > data").filter(~F.trim("line").startswith("["))
-    rows = plain.unionByName(sect).withColumn("row_no", F.row_number().over(w).cast("long"))
+    body = lines.join(frames.select("log_id", "format", "begin"), "log_id").filter((F.trim("line") != "") & (F.col("line_no") > F.col("begin")))
+    data = body.filter((F.col("format") == "plain") | ~F.trim("line").startswith("["))
+    rows = ranges.numbered(data, "row_no")
     cells = rows.select("log_id", "row_no", "format", F.posexplode(split_fields(F.col("line"))).alias("ordinal", "cell"))
     value = number_of(F.col("cell"))
     text = F.when(value.isNull() & ~((F.col("format") == "sectioned") & (F.col("cell") == "")), F.col("cell"))
