@@ -22,11 +22,11 @@ def time_blocks(samples: DataFrame) -> DataFrame:
     """Adds median, limit, timed, range_ and block: a block ends where time goes back or jumps by more than the limit.
 
     Rows without a time are left out. Inside a block time never goes back, so a block is kept or
-    dropped as a whole; one that goes on in the next range of rows counts there as another one, with the same outcome. The
-    samples are written as a table first, as they are read for the median, the blocks and the result.
+    dropped as a whole; one that goes on in the next range of rows counts there as another one, with the same outcome. Rows
+    and steps are written as a table, as they are read for the median, the blocks and the result.
     """
-    timed = written(samples.filter(F.col("t").isNotNull() & ~F.isnan("t")))
-    timed = ranges.lagged(timed, ["t"]).withColumn("step", F.col("t") - F.col("near_.t")).drop("near_")
+    timed = samples.filter(F.col("t").isNotNull() & ~F.isnan("t"))
+    timed = written(ranges.lagged(timed, ["t"]).withColumn("step", F.col("t") - F.col("near_.t")).drop("near_"))
     counts = timed.groupBy("log_id").agg(F.count("*").alias("timed"))
     stats = counts.join(upper_medians(timed, ["log_id"], "step"), "log_id", "left")
     stats = stats.withColumn("median", F.coalesce("median", F.lit(0.1))).withColumn("limit", F.greatest(F.lit(60.0), F.col("median") * 1000))
