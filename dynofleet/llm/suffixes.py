@@ -87,8 +87,10 @@ def stretch_table(docs: DataFrame, length: int) -> DataFrame:
                 text, start, n, minimiser, digest, loop = stretches(s, length)
                 doc = ids[s.lo : s.hi][text]
                 order = np.lexsort((start, doc, digest, minimiser))
+                same = np.append(False, (digest[order[1:]] == digest[order[:-1]]) & (minimiser[order[1:]] == minimiser[order[:-1]]))[: len(order)]
+                first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
                 known = np.zeros(len(order), dtype=bool)
-                known[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (minimiser[order[1:]] == minimiser[order[:-1]])
+                known[order] = same & ((doc[order] != doc[first]) | (start[order] != start[first]))  # rows that repeat a document are no earlier place
                 cols = [minimiser.view(np.int64), digest.view(np.int64), doc, start.astype(np.int32), n.astype(np.int32), loop, known]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in _STRETCH.split(", ")])
 
@@ -106,6 +108,7 @@ def sort_out(table: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_m = last_d = waiting = None  # waiting: the first row of a minimiser that has one digest so far
+        origin = (0, 0)  # doc_id and start of the first row of the digest that goes on
         several = False
         for batch in batches:
             if not batch.num_rows:
@@ -114,7 +117,9 @@ def sort_out(table: DataFrame) -> DataFrame:
             goes_on = last_m is not None and m[0] == last_m
             same_m = np.append(goes_on, m[1:] == m[:-1])
             same_d = np.append(goes_on and d[0] == last_d, d[1:] == d[:-1]) & same_m
-            again = same_d | known
+            at = np.maximum.accumulate(np.where(same_d, -1, np.arange(len(d))))  # -1: begun in an earlier batch
+            again = known | (same_d & ((doc != np.where(at < 0, origin[0], doc[at])) | (start != np.where(at < 0, origin[1], start[at]))))
+            origin = (int(doc[at[-1]]), int(start[at[-1]])) if at[-1] >= 0 else origin
             group = np.cumsum(~same_m)  # 0: the one that goes on
             mixed = np.zeros(group[-1] + 1, dtype=bool)
             mixed[0] = several
@@ -234,7 +239,10 @@ def bucket_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes], lengt
     s = stretch[at]
     by = np.lexsort((start[s] + place[at], doc[s], number))
     number, at = number[by], at[by]
-    later = at[1:][number[1:] == number[:-1]]
+    same = np.append(False, number[1:] == number[:-1])[: len(number)]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(number))))
+    d, p = doc[stretch[at]], start[stretch[at]] + place[at]
+    later = at[same & ((d != d[first]) | (p != p[first]))]  # the first place doesn't repeat itself, however many rows hold it
     d, p = doc[stretch[later]], start[stretch[later]] + place[later]
     by = np.lexsort((p, d))
     d, p = d[by], p[by]
@@ -316,7 +324,8 @@ def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a smaller
     doc_id, or before in the same text. Strings never cross texts and are judged on the input. Null
     texts are empty; texts shorter than ``length`` and rows without doc_id stay whole; an empty table
-    gives no rows. doc_id is the key of the table: rows that share one are cut by their joint list.
+    gives no rows. Rows that repeat a doc_id and its text are one document and are cut alike, so a passage stays in all of them
+    where it comes first. Rows that share a doc_id but not the text are cut by their joint list.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = repeated_starts(given.filter("doc_id is not null"), length)

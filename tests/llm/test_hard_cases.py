@@ -127,3 +127,17 @@ def test_counts_of_rules_and_statistics_against_loops(spark):
     for i, text in enumerate(texts):
         alone = boosting.statistics(next(slices(pa.array([text]))))
         assert np.allclose(one[i], alone[0]), "a text's statistics don't depend on its neighbours"
+
+
+def test_repeated_rows_keep_what_comes_first(spark):
+    rng = random.Random(11)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c = word(80), word(70), word(60)
+    rows = [(1, a)] * 3 + [(2, b + a)] * 2 + [(3, c)] * 40 + [(4, a[:300] + c)] + [(5, "ab " * 400)] * 2 + [(6, a), (6, a), (6, b)]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {(r.doc_id, r.n_bytes): r for r in suffixes.deduplicated(docs).collect()}
+        assert suffixes.deduplicated(docs).count() == len(rows)
+        assert got[1, len(a)].n_removed == 0 and got[3, len(c)].n_removed == 0
+        assert got[2, len(a + b)].kept.decode() == b and got[4, 300 + len(c)].n_removed == 300 + len(c)
+        assert got[5, 1200].n_removed == 1200 - 3 and got[6, len(a)].n_removed == len(a)
