@@ -287,7 +287,7 @@ def _(spark, d):
 
 
 # ---- scanner: conversation turns play labelled entries
-_ENT = "e AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn AS seq, CAST(length(text) % 40 AS VARCHAR) AS parameter_id, left(trim(text), 12 + CAST(turn % 9 AS INTEGER)) AS label, CASE WHEN turn % 3 > 0 THEN CAST(turn % 3 AS VARCHAR) END AS unit_id FROM conversations WHERE text IS NOT NULL AND trim(text) <> '')"
+_ENT = "e AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn AS seq, CAST(length(text) % 40 AS VARCHAR) AS parameter_id, trim(text) AS label, CASE WHEN turn % 3 > 0 THEN CAST(turn % 3 AS VARCHAR) END AS unit_id FROM conversations WHERE text IS NOT NULL AND trim(text) <> '')"
 
 
 def _entries(spark, d):
@@ -296,7 +296,7 @@ def _entries(spark, d):
         F.col("conv_id").cast("string").alias("source"),
         F.col("turn").alias("seq"),
         (F.char_length("text") % 40).cast("string").alias("parameter_id"),
-        F.left(F.trim("text"), (12 + F.col("turn") % 9).cast("int")).alias("label"),
+        F.trim("text").alias("label"),
         F.when(F.col("turn") % 3 > 0, (F.col("turn") % 3).cast("string")).alias("unit_id"),
     )
 
@@ -472,11 +472,11 @@ def _(spark, d):
 
 
 @query("scrub_location", """WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)
-SELECT CAST(doc_id AS VARCHAR) AS log_id, CAST(line_no AS INTEGER) AS line_no, sha256(CASE WHEN doc_id % 5 = 0 THEN CAST(line_no AS VARCHAR) || ',' || CAST(length(line) AS VARCHAR) ELSE CAST(line_no AS VARCHAR) || ',' || CAST(length(line) AS VARCHAR) || ',1.5,2.5' END) AS line FROM t""")
+SELECT CAST(doc_id AS VARCHAR) AS log_id, CAST(line_no AS INTEGER) AS line_no, sha256(CASE WHEN doc_id % 5 = 0 THEN CAST(line_no AS VARCHAR) || ',' || replace(line, ',', ';') ELSE CAST(line_no AS VARCHAR) || ',' || replace(line, ',', ';') || ',1.5,2.5' END) AS line FROM t""")
 def _(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").withColumn("log_id", F.col("doc_id").cast("string"))
     body = docs.select("doc_id", "log_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line_no", F.col("at") + 1)
-    lines = body.select("log_id", "line_no", F.concat_ws(",", F.col("line_no").cast("string"), F.char_length("line").cast("string"), F.lit("1.5,2.5")).alias("line"))
+    lines = body.select("log_id", "line_no", F.concat_ws(",", F.col("line_no").cast("string"), F.translate("line", ",", ";"), F.lit("1.5,2.5")).alias("line"))
     names = F.when(F.col("doc_id") % 5 == 0, F.array(*map(F.lit, ("Time", "RPM", "GPS Latitude", "GPS Longitude")))).otherwise(F.array(*map(F.lit, ("Time", "RPM", "TPS", "MAP"))))
     channels = docs.select("log_id", F.posexplode(names).alias("ordinal", "header"))
     return scrub.scrub_location(lines, channels).select("log_id", "line_no", F.sha2(F.col("line").cast("binary"), 256).alias("line"))
