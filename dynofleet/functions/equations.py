@@ -1,19 +1,22 @@
-"""Arithmetic equations in X, compiled once on the driver to a Spark column."""
+"""Arithmetic equations in X: parsed to postfix form, which becomes a Spark column or runs over numpy arrays."""
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\s*(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+|[A-Za-z_]\w*|[-+*/^()])")
 
 
-def compile_equation(text: str | None, x: Column) -> Column:
-    """``X*0.1``, ``(X-128)*0.5``, ``X^2``, unary signs; every name means X; empty: X as it is.
+@lru_cache(maxsize=10_000)
+def postfix(text: str | None) -> tuple[str | float, ...]:
+    """The equation in postfix form: numbers, X, + - * / ^ and ``neg``; empty for X as it is.
 
-    Division by zero and results that are not finite give 0. ``^`` binds tightest and to the right;
+    ``X*0.1``, ``(X-128)*0.5``, ``X^2``, unary signs; every name means X. ``^`` binds tightest and to the right;
     a sign binds weaker than ``^`` and stronger than ``*``. Anything else is an error.
     """
     tokens, at = [], 0
@@ -27,54 +30,95 @@ def compile_equation(text: str | None, x: Column) -> Column:
         while at < len(text) and text[at].isspace():
             at += 1
     if not tokens:
-        return x
+        return ()
     tokens.append("")
     place = 0
+    out: list[str | float] = []
 
     def take() -> str:
         nonlocal place
         place += 1
         return tokens[place - 1]
 
-    def sums() -> Column:
-        out = products()
-        while tokens[place] in ("+", "-"):
-            out = out + products() if take() == "+" else out - products()
-        return out
-
-    def products() -> Column:
-        out = signed()
-        while tokens[place] in ("*", "/"):
-            if take() == "*":
-                out = out * signed()
-            else:
-                below = signed()
-                out = F.when(below == 0, 0.0).otherwise(out / F.when(below != 0, below))
-        return out
-
-    def signed() -> Column:
+    def chain(part, signs: tuple[str, str]) -> None:
+        part()
+        while tokens[place] in signs:
+            sign = take()
+            part()
+            out.append(sign)
+
+    def sums() -> None:
+        chain(products, ("+", "-"))
+
+    def products() -> None:
+        chain(signed, ("*", "/"))
+
+    def signed() -> None:
         if tokens[place] in ("+", "-"):
-            return signed() if take() == "+" else -signed()
-        base = atom()
+            minus = take() == "-"
+            signed()
+            if minus:
+                out.append("neg")
+            return
+        atom()
         if tokens[place] == "^":
             take()
-            return F.pow(base, signed())
-        return base
+            signed()
+            out.append("^")
 
-    def atom() -> Column:
+    def atom() -> None:
         t = take()
         if t == "(":
-            out = sums()
+            sums()
             if take() != ")":
                 raise ValueError(f"equation {text!r}: bracket not closed")
-            return out
-        if t and (t[0].isdigit() or t[0] == "."):
-            return F.lit(float(t))
-        if t and (t[0].isalpha() or t[0] == "_"):
-            return x
-        raise ValueError(f"equation {text!r}: {t or 'end'} not expected")
-
-    out = sums()
+        elif t and (t[0].isdigit() or t[0] == "."):
+            out.append(float(t))
+        elif t and (t[0].isalpha() or t[0] == "_"):
+            out.append("X")
+        else:
+            raise ValueError(f"equation {text!r}: {t or 'end'} not expected")
+
+    sums()
     if tokens[place]:
         raise ValueError(f"equation {text!r}: {tokens[place]} not expected")
+    return tuple(out)
+
+
+def _run(program: tuple, x, number, divide, power):
+    stack = []
+    for step in program:
+        if step == "neg":
+            stack.append(-stack.pop())
+        elif step == "X":
+            stack.append(x)
+        elif isinstance(step, float):
+            stack.append(number(step))
+        else:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left + right if step == "+" else left - right if step == "-" else left * right if step == "*" else divide(left, right) if step == "/" else power(left, right))
+    return stack[0]
+
+
+def compile_equation(text: str | None, x: Column) -> Column:
+    """The equation as a column. Division by zero and results that are not finite give 0; null stays null."""
+    program = postfix(text)
+    if not program:
+        return x
+    out = _run(program, x, F.lit, lambda a, b: F.when(b == 0, 0.0).otherwise(a / F.when(b != 0, b)), F.pow)
     return F.when(x.isNull(), F.lit(None).cast("double")).when(F.isnan(out) | (F.abs(out) == float("inf")), 0.0).otherwise(out)
+
+
+def evaluate(text: str | None, x: np.ndarray) -> np.ndarray:
+    """The equation over an array of doubles, by the same rules."""
+    program = postfix(text)
+    if not program:
+        return x
+
+    def divide(a, b):
+        a, b = np.broadcast_arrays(a, b)
+        return np.divide(a, b, out=np.zeros(a.shape), where=b != 0)
+
+    with np.errstate(all="ignore"):
+        out = np.broadcast_to(_run(program, x, np.float64, divide, np.power), x.shape)
+    return np.where(np.isfinite(out), out, 0.0)

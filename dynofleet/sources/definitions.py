@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dynofleet.functions.equations import compile_equation
+from dynofleet.functions.equations import evaluate
 from dynofleet.functions.numbers import half_away
 
 _EMBEDDED = "struct<_mmedaddress:string,_mmedtypeflags:string,_mmedelementsizebits:string,_mmedrowcount:string,_mmedcolcount:string,_mmedmajorstridebits:string,_mmedminorstridebits:string>"
@@ -119,11 +119,12 @@ def read_elements(images: DataFrame, axes: DataFrame) -> DataFrame:
     """image_id, os_id, table_id, axis, r, c, raw, value of every element. images: image_id, os_id, content.
 
     The image meets the list of its elements in one row, so its bytes are shuffled once, and a numpy
-    gather reads them. Floating cells are null. Equations are compiled once on the driver.
+    gather reads and scales them. Floating cells are null. Equations go with the elements and run there, each over all
+    of its elements at once, so plans don't grow with them.
     """
-    out = T.StructType.fromDDL("image_id string, os_id long, table_id string, axis string, r long, c long, raw long")
+    out = T.StructType.fromDDL("image_id string, os_id long, table_id string, axis string, r long, c long, raw long, v double, decimals int")
     e = _places(axes)
-    lists = e.groupBy("os_id").agg(F.collect_list(F.struct("table_id", "axis", "r", "c", "offset", "bits", "signed", "lsb_first", "floating")).alias("elements"))
+    lists = e.groupBy("os_id").agg(F.collect_list(F.struct("table_id", "axis", "r", "c", "offset", "bits", "signed", "lsb_first", "floating", "equation", F.col("decimals").cast("int").alias("decimals"))).alias("elements"))
     joined = images.select(F.col("image_id").cast("string"), F.col("os_id").cast("long"), "content").join(lists, "os_id").select("image_id", "os_id", "content", "elements")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,24 +142,21 @@ def read_elements(images: DataFrame, axes: DataFrame) -> DataFrame:
                 bits = get("bits")
                 value -= np.where(get("signed").astype(bool) & (value >= 1 << (bits - 1)), 1 << bits, 0)
                 n = len(at)
+                scaled, how = np.zeros(n), els.field("equation").dictionary_encode()
+                which = how.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                for k, text in [(-1, None), *enumerate(how.dictionary.to_pylist())]:
+                    use = np.flatnonzero(good & (which == k))
+                    scaled[use] = evaluate(text, value[use].astype(np.float64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("image_id")[i].as_py()] * n), pa.array([batch.column("os_id")[i].as_py()] * n, pa.int64()), els.field("table_id"), els.field("axis"), els.field("r"), els.field("c"), pa.array(value, mask=~good)],
+                    [pa.array([batch.column("image_id")[i].as_py()] * n), pa.array([batch.column("os_id")[i].as_py()] * n, pa.int64()), els.field("table_id"), els.field("axis"), els.field("r"), els.field("c"), pa.array(value, mask=~good), pa.array(scaled, mask=~good), els.field("decimals")],
                     names=out.names,
                 )
 
     raw = joined.mapInArrow(work, out)
-    texts = [r["equation"] for r in axes.select("equation").distinct().collect()]  # as many as definitions have equations
-    how = axes.select("os_id", "table_id", "axis", "equation", "decimals")
-    scaled = raw.join(how, ["os_id", "table_id", "axis"])
-    value = F.lit(None).cast("double")
-    x = F.col("raw").cast("double")
-    for text in texts:
-        value = F.when(F.col("equation") == text, compile_equation(text, x)).otherwise(value)
-    scaled = scaled.withColumn("v", value)
     rounded = F.lit(None).cast("double")
     for d in range(7):
         rounded = F.when(F.col("decimals") == d, half_away(F.col("v"), d)).otherwise(rounded)
-    return scaled.select("image_id", "os_id", "table_id", "axis", "r", "c", "raw", F.coalesce(rounded, "v").alias("value"))
+    return raw.select("image_id", "os_id", "table_id", "axis", "r", "c", "raw", F.coalesce(rounded, "v").alias("value"))
 
 
 def read_cells(images: DataFrame, axes: DataFrame) -> DataFrame:
