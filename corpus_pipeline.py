@@ -88,7 +88,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Learned models, set similarity, rolling hashes and a subword vocabulary are beyond SQL; tests hold it against brute force.
+#: Learned models, set similarity, rolling hashes and a subword vocabulary are beyond SQL; tests hold it against a planted corpus, and each operator against brute force.
 ORACLE_SQL = None
 
 
