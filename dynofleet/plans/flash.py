@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dynofleet.operators import revisions
 from dynofleet.plans.standins import table
 from dynofleet.sources import definitions, images, logs
 from dynofleet.sources.files import session_goal
@@ -176,6 +177,28 @@ def _(spark, d):
     return definitions.read_cells(content, axes).select("image_id", "r", "c", "raw", "x_label", "value")
 
 
+# ---- revisions: a nation is a vehicle and its system, each supplier a revision that holds the supplier's name at the front, last letter first
+@query(
+    "compare_revisions",
+    f"""WITH s AS (SELECT *, lag(s_suppkey) OVER w AS k0, lag(s_name) OVER w AS n0 FROM (SELECT s_nationkey, s_suppkey, reverse(s_name) AS s_name FROM supplier) WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+    p AS (SELECT s_nationkey AS n, k0, s_suppkey AS k, n0, s_name AS n1, len(list_filter(range(1, length(s_name) + 1), lambda j: substr(s_name, j, 1) <> substr(n0, j, 1))) AS changed FROM s WHERE k0 IS NOT NULL),
+    c AS (SELECT n, k, unicode(substr(n0, i + 1, 1)) * 256 + unicode(substr(n0, i + 2, 1)) AS x, unicode(substr(n1, i + 1, 1)) * 256 + unicode(substr(n1, i + 2, 1)) AS y, i FROM (SELECT *, n % 6 + 2 * unnest(range(6)) AS i FROM p)),
+    t AS (SELECT n, k, count(*) FILTER (x <> y) AS cells, coalesce(CAST(arg_max(0.5 * (y - x), abs(y - x) * 100 - i) FILTER (x <> y) AS DOUBLE), 0.0) AS max_delta FROM c GROUP BY n, k)
+    SELECT CAST(n AS BIGINT) AS vehicle, k0 || '.bin' AS a, k || '.bin' AS b, CAST(changed AS BIGINT) AS total_changed, CAST(changed AS BIGINT) AS header, CAST(changed = 0 AS BOOLEAN) AS identical,
+      CASE WHEN cells > 0 THEN 1 ELSE 0 END AS tables_changed, cells AS cells_changed, max_delta FROM p JOIN t USING (n, k)""",
+    "",
+)
+def _(spark, d):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
+    name = F.reverse("s_name").cast("binary")
+    content = F.concat(name, F.substr(_zeros(0x500), F.lit(1), 0x500 - F.octet_length(name)), F.unhex(F.lit("00000001")), F.unhex(_hex(n, 8)), _zeros(SIZE - 0x508))
+    files = table(spark, d, "supplier").select(n.alias("vehicle"), F.format_string("v%09d.bin", k).alias("name"), F.concat(k.cast("string"), F.lit(".bin")).alias("path"), content.alias("content"))
+    axes = definitions.read_axes(definitions.parse_definitions(definition_files(spark, d)))
+    header = F.filter("regions", lambda r: r["name"] == "header")[0]["changed"]
+    out = revisions.compare_revisions(files, axes)
+    return out.select("vehicle", "a", "b", "total_changed", header.alias("header"), "identical", "tables_changed", "cells_changed", F.coalesce(F.get("tables", F.lit(0))["max_delta"], F.lit(0.0)).alias("max_delta"))
+
+
 # ---- names of sectioned logs, session notes
 @query("rejoin_names", "SELECT p_partkey, 'Offset|Coolant (a,b)|' || p_name || ' [x,' || p_size || ']' AS names FROM part", "")
 def _(spark, d):

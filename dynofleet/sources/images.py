@@ -1,6 +1,7 @@
-"""Raw flash images: identity, checksums, differences. The only numpy of this side, one image per row.
+"""Raw flash images: identity, checksums, differences.
 
-Images are up to a megabyte; Spark bounds the bytes of an Arrow batch, and one image at a time is read from it.
+Readings take one image per row: images are up to a megabyte, Spark bounds the bytes of an Arrow batch, and one image at a
+time is read from it. Comparisons go by pages, so they shuffle what differs and not the images.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dynofleet.sources.tables import dropped, written
+
 # Sizes of the two kinds of image, segment names in the order of their table, and the
 # stretches whose words the system checksum adds up (start, end).
 KINDS = {524288: "P01", 1048576: "P59"}
@@ -128,31 +131,128 @@ def analyze_images(images: DataFrame) -> DataFrame:
     return images.select("path", "content").mapInArrow(work, schema)
 
 
-REGIONS = "a string, b string, total_changed long, identical boolean, size_mismatch boolean, regions array<struct<name:string,changed:bigint>>"
+#: Bytes of a page, the unit in which images are compared.
+PAGE = 4096
+#: Positions of the filter that tells which pages may be asked for: 8 MB whatever the number of images.
+FILTER_BITS = 1 << 26
+_REGIONS = 3 + len(SEGMENTS)
 
 
-def compare_images(pairs: DataFrame, images: DataFrame) -> DataFrame:
-    """Differing bytes of pairs (a, b: paths), in all and by region (only for equal sizes).
+def _spans(content: Column) -> Column:
+    """name, start, length, cal_id of the regions of a detected image; start is null where the segment table is out of range."""
+    size = F.octet_length(content)
+    fixed = [(n, F.lit(at), length) for n, at, length in (("header", 0, F.lit(0x4000)), ("eeprom", 0x4000, F.lit(0x4000)), ("system", 0x20000, F.when(size == 524288, SYSTEM_LENGTH[524288]).otherwise(SYSTEM_LENGTH[1048576])))]
+    out = [F.struct(F.lit(n).alias("name"), at.cast("long").alias("start"), k.cast("long").alias("length"), F.lit(None).cast("long").alias("cal_id")) for n, at, k in fixed]
+    for i, name in enumerate(SEGMENTS):
+        start, end = u32(content, 0x514 + 8 * i), u32(content, 0x518 + 8 * i)
+        good = (start < size) & (end < size) & (end > start)
+        cal = F.conv(F.hex(F.substr(content, (start + 5).cast("int"), F.lit(4))), 16, 10).cast("long")
+        out.append(F.struct(F.lit(name).alias("name"), F.when(good, start).alias("start"), (end - start + 1).alias("length"), F.when(good, cal).alias("cal_id")))
+    return F.array(*out)
+
+
+def _pages(content: Column) -> Column:
+    """digest and bytes of every page; an empty image has none."""
+    n = F.ceil(F.octet_length(content) / PAGE).cast("int")
+    page = lambda i: F.substr(content, i * PAGE + 1, F.lit(PAGE))
+    pages = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.unhex(F.sha2(page(i), 256)).alias("digest"), page(i).alias("bytes")))
+    return F.when(n > 0, pages).otherwise(F.array().cast("array<struct<digest:binary,bytes:binary>>"))
+
+
+def image_facts(images: DataFrame) -> DataFrame:
+    """path, length, sha256, os_id, spans, digests (one a page) of every image: a hundredth of its bytes. Null contents count as empty."""
+    content = F.coalesce("content", F.lit(b""))
+    known = F.coalesce(image_detect(content), F.lit(False))
+    whole = images.select("path", content.alias("content"))
+    return whole.select(
+        "path", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"), F.when(known, u32(F.col("content"), 0x504)).alias("os_id"),
+        F.when(known, _spans(F.col("content"))).alias("spans"), F.transform(_pages(F.col("content")), lambda p: p["digest"]).alias("digests"),
+    )
+
+
+def _place(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
 
-    Contents join the pairs last, once for each side.
+
+def fetch_pages(images: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest, bytes of the pages in ``wanted`` (digest), each once.
+
+    A bitmap of fixed size says on the side of the images which pages may be asked for, so the others' bytes are not
+    shuffled; what it lets through by chance ends in the join.
     """
-    schema = T.StructType.fromDDL(REGIONS)
-    of = lambda side: images.select(F.col("path").alias(side), F.col("content").alias(f"data_{side}"))
-    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    places = wanted.select(_place(F.col("digest")).alias("at")).select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
+    bitmap = F.broadcast(places.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    every = images.select(F.explode(_pages(F.coalesce("content", F.lit(b"")))).alias("p")).select("p.*").withColumn("at", _place(F.col("digest")))
+    every = every.select("digest", "bytes", F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").cast("int").alias("bit"))
+    octet = F.conv(F.hex(F.substr("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    likely = every.join(bitmap, "bucket").filter(F.getbit(octet, F.pmod("bit", F.lit(8))) == 1)
+    return likely.groupBy("digest").agg(F.first("bytes").alias("bytes")).join(wanted.select("digest").distinct(), "digest", "left_semi")
+
+
+def _page_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which bytes of two pages differ, one bit a byte, over the length of the shorter."""
+    for batch in batches:
+        bits = []
+        for one, two in zip(batch.column("bytes_a"), batch.column("bytes_b"), strict=True):
+            x, y = np.frombuffer(one.as_buffer(), np.uint8), np.frombuffer(two.as_buffer(), np.uint8)
+            n = min(len(x), len(y))
+            full = np.zeros(PAGE, bool)
+            full[:n] = x[:n] != y[:n]
+            bits.append(np.packbits(full).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("da"), batch.column("db"), pa.array(bits, pa.binary())], names=["da", "db", "bits"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Differing bytes of a page, in all and in each region: differences of running counts at the region's ends."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            bits = np.frombuffer(b"".join(x.as_py() for x in part.column("bits")), np.uint8).reshape(-1, PAGE // 8)
+            running = np.zeros((part.num_rows, PAGE + 1), np.int64)
+            np.cumsum(np.unpackbits(bits, axis=1), axis=1, out=running[:, 1:])
+            row, base = np.arange(part.num_rows), part.column("page").to_numpy() * PAGE
+            counts = [running[:, -1]]
+            for i in range(_REGIONS):
+                start, end = (part.column(f"{side}{i}").fill_null(0).to_numpy() for side in ("from", "to"))
+                counts.append(running[row, np.clip(end - base, 0, PAGE)] - running[row, np.clip(start - base, 0, PAGE)])
+            names = ["total", *(f"n{i}" for i in range(_REGIONS))]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *map(pa.array, counts)], names=["a", "b", *names])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, y = (np.frombuffer(row[k], np.uint8) for k in ("data_a", "data_b"))
-                n = min(len(x), len(y))
-                differ = x[:n] != y[:n]
-                changed = int(differ.sum()) + abs(len(x) - len(y))
-                out = {"a": row["a"], "b": row["b"], "total_changed": changed, "identical": changed == 0, "size_mismatch": len(x) != len(y), "regions": None}
-                info = read_image(row["a"], row["data_a"])
-                if len(x) == len(y) and info["segments"]:
-                    spans = [("header", 0, 0x4000), ("eeprom", 0x4000, 0x4000), ("system", 0x20000, SYSTEM_LENGTH[len(x)])]
-                    spans += [(s["name"], s["start"], s["length"]) for s in info["segments"] if not s["error"]]
-                    out["regions"] = [{"name": m, "changed": int(differ[p : p + k].sum())} for m, p, k in spans]
-                yield _arrow([out], schema)
-
-    return both.select("a", "b", "data_a", "data_b").mapInArrow(work, schema)
+
+def compare_images(pairs: DataFrame, images: DataFrame) -> DataFrame:
+    """Differing bytes of pairs (a, b: paths), in all and by region (only for equal sizes). A table of its own.
+
+    a, b, sha_a, sha_b, os_a, os_b, total_changed, identical, size_mismatch, regions (name, changed, cal_id_a, cal_id_b).
+    Pages are compared by digest, so of the contents only pages that differ are shuffled, each once, and two pages are
+    compared once however many pairs hold them. Pairs of unknown paths give no row, repeated ones one row each; bytes that
+    only the longer image has count as changed; null contents are empty. A path names one image.
+    """
+    facts = written(image_facts(images))
+    of = lambda side: facts.select(F.col("path").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("length", "sha256", "os_id", "spans", "digests")))
+    both = written(pairs.select("a", "b").groupBy("a", "b").agg(F.count("*").alias("times")).join(of("a"), "a").join(of("b"), "b"))
+    # Pages of both, where their digests differ; those beyond the shorter image have no partner.
+    zipped = F.transform(F.arrays_zip("digests_a", "digests_b"), lambda d, i: F.struct(i.cast("long").alias("page"), d["digests_a"].alias("da"), d["digests_b"].alias("db")))
+    whole = (F.col("length_a") == F.col("length_b")) & F.col("spans_a").isNotNull()
+    ends = [c for i in range(_REGIONS) for s in [F.when(whole, F.get("spans_a", F.lit(i)))] for c in (s["start"].alias(f"from{i}"), (s["start"] + s["length"]).alias(f"to{i}"))]
+    changes = written(both.select("a", "b", *ends, F.explode(F.filter(zipped, lambda d: d["da"] != d["db"])).alias("d")).select("a", "b", "d.*", *(f"{side}{i}" for i in range(_REGIONS) for side in ("from", "to"))))
+    wanted = changes.select(F.explode(F.array("da", "db")).alias("digest")).distinct()
+    pages = written(fetch_pages(images, wanted))
+    page = lambda side: pages.select(F.col("digest").alias(f"d{side}"), F.col("bytes").alias(f"bytes_{side}"))
+    bits = changes.select("da", "db").distinct().join(page("a"), "da").join(page("b"), "db").mapInArrow(_page_differences, "da binary, db binary, bits binary")
+    names = ["total", *(f"n{i}" for i in range(_REGIONS))]
+    types = changes.schema
+    counted = changes.join(bits, ["da", "db"]).drop("da", "db").mapInArrow(_counted, f"a {types['a'].dataType.simpleString()}, b {types['b'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    sums = counted.groupBy("a", "b").agg(*(F.sum(n).alias(n) for n in names))
+    out = both.join(sums, ["a", "b"], "left")
+    total = (F.coalesce("total", F.lit(0)) + F.abs(F.col("length_a") - F.col("length_b"))).cast("long")
+    read = lambda side, i, field: F.get(f"spans_{side}", F.lit(i))[field]
+    part = lambda i: F.named_struct(F.lit("name"), read("a", i, "name"), F.lit("changed"), F.coalesce(f"n{i}", F.lit(0)).cast("long"), F.lit("cal_id_a"), read("a", i, "cal_id"), F.lit("cal_id_b"), read("b", i, "cal_id"))
+    parts = [F.when(read("a", i, "start").isNotNull(), part(i)) for i in range(_REGIONS)]
+    kept = F.filter(F.array(*parts), lambda p: p.isNotNull())
+    result = out.select(
+        "a", "b", F.col("sha256_a").alias("sha_a"), F.col("sha256_b").alias("sha_b"), F.col("os_id_a").alias("os_a"), F.col("os_id_b").alias("os_b"), total.alias("total_changed"), (total == 0).alias("identical"),
+        (F.col("length_a") != F.col("length_b")).alias("size_mismatch"), F.when(whole, kept).alias("regions"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("once"),
+    )
+    result = written(result.drop("once"))
+    dropped(facts, both, changes, pages)
+    return result
