@@ -509,6 +509,36 @@ def _(spark, d):
     return scanner.labelled_entries(_layouts(spark, d)).select("source", "seq", "parameter_id", "label", "unit_id", "decimals", "maximum")
 
 
+def _scanner_files(spark, d):
+    """name, text: one scanner file a part, of each kind in turn; a second chart has no series."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    many = lambda tag, most, n: F.array_join(F.slice(F.array(*(F.concat(F.lit(f"<{tag}><Label>"), _xml(F.col("p_name")), F.lit("</Label><ParameterID>"), (k % 40 + j).cast("string"), F.lit(f"</ParameterID></{tag}>")) for j in range(most))), F.lit(1), n.cast("int")), "")
+    listed = F.array_join(F.slice(F.array(*(F.concat(F.lit('<Channel ParameterID="'), (k % 40 + j).cast("string"), F.lit(f'" Interval="00:00:0{j}.5"/>')) for j in range(3))), F.lit(1), (size % 4).cast("int")), "")
+    texts = [
+        ("channels", F.concat(F.lit("<Channels>"), listed, F.lit("</Channels>"))),
+        ("charts", F.concat(F.lit("<Charts><Chart>"), many("Series", 2, size % 3), F.lit("</Chart><Chart></Chart></Charts>"))),
+        ("graphs", F.concat(F.lit("<Graphs>"), many("Table", 3, size % 4), F.lit("</Graphs>"))),
+        ("layout", F.concat(F.lit('<DocumentContents><Content ID="1">'), many("Table", 3, size % 4), F.lit('</Content><Content ID="2"><Chart>'), many("Series", 2, size % 3), F.lit("</Chart></Content></DocumentContents>"))),
+        ("mathparameter", F.concat(F.lit('<MathParameter Name="'), _xml(F.col("p_name")), F.lit('" Expression="['), (k % 37).cast("string"), F.lit('] * 2"/>'))),
+    ]
+    pick = lambda part: F.element_at(F.array(*(part(x) for x in texts)), (k % 5 + 1).cast("int"))
+    return table(spark, d, "part").select(F.concat(k.cast("string"), F.lit("."), pick(lambda x: F.lit(x[0])), F.lit(".xml")).alias("name"), pick(lambda x: x[1]).alias("text"))
+
+
+@query("scanner_files", """WITH p AS (SELECT *, p_partkey % 5 AS m, p_size % 4 AS t, p_size % 3 AS s, ['channels', 'charts', 'graphs', 'layout', 'mathparameter'][p_partkey % 5 + 1] AS f FROM part)
+SELECT p_partkey || '.' || f || '.xml' AS name, CASE WHEN m = 4 THEN 'math' ELSE f END AS kind, CAST(CASE WHEN m = 1 THEN 2 ELSE 0 END AS BIGINT) AS charts, CAST(CASE WHEN m IN (1, 3) THEN s ELSE 0 END AS BIGINT) AS series,
+CAST(CASE WHEN m IN (2, 3) THEN t ELSE 0 END AS BIGINT) AS tables, CAST(CASE WHEN m = 3 THEN 2 ELSE 0 END AS BIGINT) AS panes, CASE WHEN m = 4 THEN p_name END AS title, CASE WHEN m = 4 THEN '[' || p_partkey % 37 || '] * 2' END AS expression,
+array_to_string(CASE WHEN m = 0 THEN list_transform(range(0, t), lambda j: p_partkey % 40 + j) ELSE [] END, ',') AS channels, CAST(CASE WHEN m = 0 THEN list_sum(list_transform(range(0, t), lambda j: 1000 * j + 500)) END AS BIGINT) AS interval_ms,
+array_to_string(list_concat(CASE WHEN m IN (2, 3) THEN list_transform(range(0, t), lambda j: p_partkey % 40 + j) ELSE [] END, CASE WHEN m IN (1, 3) THEN list_transform(range(0, s), lambda j: p_partkey % 40 + j) ELSE [] END), ',') AS labelled FROM p""")
+def _(spark, d):
+    interval = F.aggregate(F.filter(F.transform("channels", lambda c: scanner.interval_ms(c["_Interval"])), lambda x: x.isNotNull()), F.lit(0).cast("long"), lambda n, x: n + x)
+    return scanner.read_scanner(_scanner_files(spark, d)).select(
+        "name", "kind", "charts", "series", "tables", "panes", F.col("math._Name").alias("title"), F.col("math._Expression").alias("expression"),
+        F.array_join(F.transform("channels", lambda c: c["_ParameterID"]), ",").alias("channels"), F.when(F.size("channels") > 0, interval).alias("interval_ms"),
+        F.array_join(F.transform("entries", lambda e: e["ParameterID"]), ",").alias("labelled"),
+    )
+
+
 _OWN_UNIT = "CASE WHEN NOT has THEN NULL " + " ".join(f"WHEN regexp_matches(b, '{_sql_regex(p)}') THEN '{u}'" for p, u in units.SPELLINGS) + " ELSE b END"
 
 

@@ -35,15 +35,41 @@ def interval_ms(text: Column) -> Column:
     return F.floor((part(1) * 3600 + part(2) * 60 + part(3)) * 1000 + 0.5).cast("long")
 
 
-def _parsed(files: DataFrame, kind: str) -> DataFrame:
-    root, schema = KINDS[kind]
-    own = files.filter(file_kind(F.col("name"), F.col("text")) == kind)
-    return own.select("name", F.from_xml("text", schema, {"rowTag": root, "attributePrefix": "_"}).alias("x"))
+def read_scanner(files: DataFrame) -> DataFrame:
+    """name, kind, channels, entries, math, charts, series, tables, panes: one row a scanner file, of whatever kind, in one scan.
+
+    files: name, text. Every file is parsed once, by its own kind; lists that a kind doesn't have are empty, counts 0, math null.
+    Files of no kind give no row; what can't be parsed, or is null, counts as empty.
+    """
+    kind = F.col("kind")
+    one = files.select("name", "text", file_kind(F.col("name"), F.col("text")).alias("kind")).filter("kind is not null")
+    own = {k: F.from_xml(F.when(kind == k, F.col("text")), schema, {"rowTag": root, "attributePrefix": "_"}).alias(k) for k, (root, schema) in KINDS.items()}
+    x = one.select("name", "kind", *own.values())
+    empty = F.array().cast(f"array<{_LABELLED}>")
+    # A chart without a series is an empty list: null would take the series of all others with it.
+    series = lambda charts: F.coalesce(F.flatten(F.transform(charts, lambda c: F.coalesce(c["Series"], empty))), empty)
+    panes = F.transform("layout.Content", lambda c: F.concat(F.coalesce(c["Table"], empty), series(c["Chart"]), F.coalesce(c["Series"], empty)))
+    entries = F.coalesce(F.when(kind == "charts", series(F.col("charts.Chart"))).when(kind == "graphs", F.col("graphs.Table")).when(kind == "layout", F.flatten(panes)), empty)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    total = lambda f: F.aggregate(F.coalesce(F.transform("layout.Content", f), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda n, k: n + k)
+    return x.select(
+        "name", "kind", F.coalesce("channels.Channel", F.array().cast("array<struct<_ParameterID:string,_Interval:string,_TransformID:string,_Address:string,UserParameter:" + _USER + ">>")).alias("channels"),
+        entries.alias("entries"), "math",
+        size("charts.Chart").alias("charts"),
+        F.when(kind == "layout", total(lambda c: size(series(c["Chart"])) + size(c["Series"]))).otherwise(size(series(F.col("charts.Chart")))).alias("series"),
+        F.when(kind == "layout", total(lambda c: size(c["Table"]))).otherwise(size("graphs.Table")).alias("tables"),
+        size("layout.Content").alias("panes"),
+    )
 
 
 def read_channels(files: DataFrame) -> DataFrame:
     """name, parameter_id, interval_ms, transform_id, address, user_device of every listed channel. files: name, text."""
-    rows = _parsed(files, "channels").select("name", F.posexplode("x.Channel").alias("ordinal", "c"))
+    return channels_of(read_scanner(files))
+
+
+def channels_of(scanned: DataFrame) -> DataFrame:
+    """The channels in what ``read_scanner`` gives."""
+    rows = scanned.select("name", F.posexplode("channels").alias("ordinal", "c"))
     return rows.select("name", "ordinal", F.col("c._ParameterID").alias("parameter_id"), interval_ms(F.col("c._Interval")).alias("interval_ms"), F.col("c._TransformID").alias("transform_id"), F.col("c._Address").alias("address"), F.col("c.UserParameter").alias("user_device"))
 
 
@@ -55,12 +81,12 @@ def rate_summary(channels: DataFrame) -> DataFrame:
 def labelled_entries(files: DataFrame) -> DataFrame:
     """source, seq, parameter_id, label, unit_id, decimals, maximum, high, middle, low, column_parameter_id, column_unit_id
     of everything that charts, graphs and layouts label."""
-    series = _parsed(files, "charts").select("name", F.flatten(F.transform("x.Chart", lambda c: c["Series"])).alias("e"))
-    tables = _parsed(files, "graphs").select("name", F.col("x.Table").alias("e"))
-    empty = F.array().cast(f"array<{_LABELLED}>")
-    pane = lambda c: F.concat(F.coalesce(c["Table"], empty), F.coalesce(F.flatten(F.transform(c["Chart"], lambda h: h["Series"])), empty), F.coalesce(c["Series"], empty))
-    panes = _parsed(files, "layout").select("name", F.flatten(F.transform("x.Content", pane)).alias("e"))
-    rows = series.unionByName(tables).unionByName(panes).select("name", F.posexplode("e").alias("seq", "e"))
+    return entries_of(read_scanner(files))
+
+
+def entries_of(scanned: DataFrame) -> DataFrame:
+    """The labelled entries in what ``read_scanner`` gives."""
+    rows = scanned.select("name", F.posexplode("entries").alias("seq", "e"))
     own = lambda c: F.nullif(F.trim(F.col(f"e.{c}")), F.lit(""))
     number = lambda c: own(c).try_cast("double")
     limits = [number(c).alias(n) for c, n in (("Maximum", "maximum"), ("HighValue", "high"), ("MiddleValue", "middle"), ("LowValue", "low"))]
@@ -71,22 +97,19 @@ def labelled_entries(files: DataFrame) -> DataFrame:
 
 
 def config_counts(files: DataFrame) -> DataFrame:
-    """name, kind, charts, series, tables, panes of every file."""
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    none = F.lit(0).cast("long")
-    charts = _parsed(files, "charts").select("name", F.lit("charts").alias("kind"), size("x.Chart").alias("charts"), size(F.flatten(F.transform("x.Chart", lambda c: c["Series"]))).alias("series"), none.alias("tables"), none.alias("panes"))
-    graphs = _parsed(files, "graphs").select("name", F.lit("graphs").alias("kind"), none.alias("charts"), none.alias("series"), size("x.Table").alias("tables"), none.alias("panes"))
-    total = lambda f: F.aggregate(F.coalesce(F.transform("x.Content", f), F.array().cast("array<int>")), F.lit(0), lambda a, n: a + F.greatest(n, F.lit(0))).cast("long")
-    layout = _parsed(files, "layout").select(
-        "name", F.lit("layout").alias("kind"), none.alias("charts"), total(lambda c: F.coalesce(F.size(F.flatten(F.transform(c["Chart"], lambda h: h["Series"]))), F.lit(0)) + F.coalesce(F.size(c["Series"]), F.lit(0))).alias("series"), total(lambda c: F.coalesce(F.size(c["Table"]), F.lit(0))).alias("tables"), size("x.Content").alias("panes")
-    )
-    return charts.unionByName(graphs).unionByName(layout)
+    """name, kind, charts, series, tables, panes of every file of charts, graphs or a layout."""
+    return read_scanner(files).filter("kind in ('charts', 'graphs', 'layout')").select("name", "kind", "charts", "series", "tables", "panes")
 
 
 def read_math(files: DataFrame) -> DataFrame:
     """name, title, expression, unit_id of math parameters; line breaks of an expression are blanks."""
-    m = _parsed(files, "math")
-    return m.select("name", F.col("x._Name").alias("title"), F.trim(F.regexp_replace(F.coalesce("x._Expression", F.lit("")), r"\r?\n+", " ")).alias("expression"), F.col("x._Unit").alias("unit_id"))
+    return math_of(read_scanner(files))
+
+
+def math_of(scanned: DataFrame) -> DataFrame:
+    """The math parameters in what ``read_scanner`` gives."""
+    m = scanned.filter("kind = 'math'")
+    return m.select("name", F.col("math._Name").alias("title"), F.trim(F.regexp_replace(F.coalesce("math._Expression", F.lit("")), r"\r?\n+", " ")).alias("expression"), F.col("math._Unit").alias("unit_id"))
 
 
 def build_dictionary(entries: DataFrame) -> DataFrame:

@@ -215,6 +215,28 @@ def test_scanner_files(spark):
     assert counts == {"b": (1, 1, 0, 0), "c": (0, 0, 2, 0), "e": (0, 1, 1, 1)}
 
 
+def test_scanner_files_of_every_kind_in_one_scan(spark, tmp_path):
+    texts = [
+        ("a.charts.xml", "<Charts><Chart></Chart><Chart><Series><Label>RPM</Label><ParameterID>12</ParameterID></Series></Chart></Charts>"),
+        ("b.layout.xml", '<DocumentContents><Content ID="1"/><Content ID="2"><Chart/><Series><Label>TPS</Label><ParameterID>8</ParameterID></Series></Content></DocumentContents>'),
+        ("c.math.xml", '<MathParameter Name="m" Expression="[1]"/>'),
+        ("d.charts.xml", "<Charts><Chart"),
+        ("e.graphs.xml", None),
+        ("f.txt", None),
+        (None, "<Channels></Channels>"),
+    ]
+    spark.createDataFrame(texts, "name string, text string").write.parquet(str(tmp_path / "files"))
+    scanned = scanner.read_scanner(spark.read.parquet(str(tmp_path / "files")))
+    got = {r.name: r for r in scanned.collect()}
+    assert {(k, r.kind, r.charts, r.series, r.tables, r.panes, len(r.channels)) for k, r in got.items()} == {
+        ("a.charts.xml", "charts", 2, 1, 0, 0, 0), ("b.layout.xml", "layout", 0, 1, 0, 2, 0), ("c.math.xml", "math", 0, 0, 0, 0, 0),
+        ("d.charts.xml", "charts", 0, 0, 0, 0, 0), ("e.graphs.xml", "graphs", 0, 0, 0, 0, 0), (None, "channels", 0, 0, 0, 0, 0),
+    }
+    assert {(r.source, r.parameter_id) for r in scanner.entries_of(scanned).collect()} == {("a.charts.xml", "12"), ("b.layout.xml", "8")}
+    assert [r.expression for r in scanner.math_of(scanned).collect()] == ["[1]"]
+    assert scanned._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "flash.md").write_text("| date | revision |\n|---|---|\n| 2026-03-09 | v001 | OBDLink | — |\n| 2026-03-10 | v002 | OBDLink | idle |\n")
     flashes = files.read_flash_log(spark, str(tmp_path / "flash.md")).select(F.lit("car").alias("vehicle"), "date", "rev", "adapter", "notes").cache()
