@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dynofleet.sources.definitions import cell_diff, read_cells, top_changed_tables
+from dynofleet.sources.definitions import cell_diff, labelled_cells, read_elements, top_changed_tables
 from dynofleet.sources.images import compare_images
 from dynofleet.sources.tables import dropped, written
 
@@ -28,9 +28,10 @@ def table_changes(pairs: DataFrame, images: DataFrame, axes: DataFrame) -> DataF
     """What ``cell_diff`` gives of pairs (a, b, os_a, os_b) of one system that has a definition; images: path, content."""
     same = pairs.filter("os_a = os_b").join(axes.select(F.col("os_id").alias("os_a")).distinct(), "os_a", "left_semi").select("a", "b", "os_a")
     named = same.select(F.explode(F.array("a", "b")).alias("path"), F.col("os_a").alias("os_id")).distinct()
-    cells = written(read_cells(images.select("path", "content").join(named, "path").select(F.col("path").alias("image_id"), "os_id", "content"), axes))
+    elements = written(read_elements(images.select("path", "content").join(named, "path").select(F.col("path").alias("image_id"), "os_id", "content"), axes))
+    cells = written(labelled_cells(elements, axes))
     out = written(cell_diff(cells, same.select("a", "b").distinct()))
-    dropped(cells)
+    dropped(elements, cells)
     return out
 
 
@@ -46,6 +47,7 @@ def compare_revisions(images: DataFrame, axes: DataFrame | None = None, most: in
     out = pairs.join(compared, ["a", "b"])
     if axes is None:
         return out
+    axes = written(axes)
     diff = table_changes(compared.filter("not identical"), images, axes)
     counts = diff.groupBy("a", "b").agg(F.count_if(F.col("changed") > 0).alias("tables_changed"), F.sum("changed").alias("cells_changed"))
     ranked = top_changed_tables(diff, most).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("rank", "table_id", "changed", "max_delta", "avg_delta"))).alias("ranked"))

@@ -161,7 +161,11 @@ def read_elements(images: DataFrame, axes: DataFrame) -> DataFrame:
 
 def read_cells(images: DataFrame, axes: DataFrame) -> DataFrame:
     """image_id, table_id, r, c, raw, value, x_label, y_label: cells with their axis values or static labels."""
-    e = read_elements(images, axes)
+    return labelled_cells(read_elements(images, axes), axes)
+
+
+def labelled_cells(e: DataFrame, axes: DataFrame) -> DataFrame:
+    """The same from the elements that ``read_elements`` gives; they are read three times."""
     z = e.filter("axis = 'z'").drop("axis")
     at = lambda axis, key: e.filter(F.col("axis") == axis).select("image_id", "table_id", F.col(key), F.col("value").cast("string").alias(f"{axis}_read"))
     static = lambda axis, key: axes.filter((F.col("axis") == axis) & (F.size("labels") > 0)).select("os_id", "table_id", F.posexplode("labels").alias("k", f"{axis}_text")).select("os_id", "table_id", F.col("k").cast("long").alias(key), f"{axis}_text")

@@ -133,8 +133,8 @@ def analyze_images(images: DataFrame) -> DataFrame:
 
 #: Bytes of a page, the unit in which images are compared.
 PAGE = 4096
-#: Positions of the filter that tells which pages may be asked for: 8 MB whatever the number of images.
-FILTER_BITS = 1 << 26
+#: Positions of the filter that tells which pages may be asked for: 4 MB whatever the number of images.
+FILTER_BITS = 1 << 25
 _REGIONS = 3 + len(SEGMENTS)
 
 
@@ -152,11 +152,14 @@ def _spans(content: Column) -> Column:
 
 
 def _pages(content: Column) -> Column:
-    """digest and bytes of every page; an empty image has none."""
+    """The bytes of every page; an empty image has none."""
     n = F.ceil(F.octet_length(content) / PAGE).cast("int")
-    page = lambda i: F.substr(content, i * PAGE + 1, F.lit(PAGE))
-    pages = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.unhex(F.sha2(page(i), 256)).alias("digest"), page(i).alias("bytes")))
-    return F.when(n > 0, pages).otherwise(F.array().cast("array<struct<digest:binary,bytes:binary>>"))
+    pages = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(content, i * PAGE + 1, F.lit(PAGE)))
+    return F.when(n > 0, pages).otherwise(F.array().cast("array<binary>"))
+
+
+def _digest(page: Column) -> Column:
+    return F.unhex(F.sha2(page, 256))
 
 
 def image_facts(images: DataFrame) -> DataFrame:
@@ -166,7 +169,7 @@ def image_facts(images: DataFrame) -> DataFrame:
     whole = images.select("path", content.alias("content"))
     return whole.select(
         "path", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"), F.when(known, u32(F.col("content"), 0x504)).alias("os_id"),
-        F.when(known, _spans(F.col("content"))).alias("spans"), F.transform(_pages(F.col("content")), lambda p: p["digest"]).alias("digests"),
+        F.when(known, _spans(F.col("content"))).alias("spans"), F.transform(_pages(F.col("content")), _digest).alias("digests"),
     )
 
 
@@ -182,7 +185,7 @@ def fetch_pages(images: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     places = wanted.select(_place(F.col("digest")).alias("at")).select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
     bitmap = F.broadcast(places.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
-    every = images.select(F.explode(_pages(F.coalesce("content", F.lit(b"")))).alias("p")).select("p.*").withColumn("at", _place(F.col("digest")))
+    every = images.select(F.explode(_pages(F.coalesce("content", F.lit(b"")))).alias("bytes")).withColumn("digest", _digest(F.col("bytes"))).withColumn("at", _place(F.col("digest")))
     every = every.select("digest", "bytes", F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").cast("int").alias("bit"))
     octet = F.conv(F.hex(F.substr("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
     likely = every.join(bitmap, "bucket").filter(F.getbit(octet, F.pmod("bit", F.lit(8))) == 1)
