@@ -6,6 +6,7 @@ time is read from it. Comparisons go by pages, so they shuffle what differs and
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -138,58 +139,85 @@ FILTER_BITS = 1 << 25
 _REGIONS = 3 + len(SEGMENTS)
 
 
-def _spans(content: Column) -> Column:
+_SPAN = pa.struct([("name", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("cal_id", pa.int64())])
+
+
+def _spans(data: np.ndarray) -> list[dict]:
     """name, start, length, cal_id of the regions of a detected image; start is null where the segment table is out of range."""
-    size = F.octet_length(content)
-    fixed = [(n, F.lit(at), length) for n, at, length in (("header", 0, F.lit(0x4000)), ("eeprom", 0x4000, F.lit(0x4000)), ("system", 0x20000, F.when(size == 524288, SYSTEM_LENGTH[524288]).otherwise(SYSTEM_LENGTH[1048576])))]
-    out = [F.struct(F.lit(n).alias("name"), at.cast("long").alias("start"), k.cast("long").alias("length"), F.lit(None).cast("long").alias("cal_id")) for n, at, k in fixed]
+    out = [{"name": n, "start": at, "length": k} for n, at, k in (("header", 0, 0x4000), ("eeprom", 0x4000, 0x4000), ("system", 0x20000, SYSTEM_LENGTH[len(data)]))]
     for i, name in enumerate(SEGMENTS):
-        start, end = u32(content, 0x514 + 8 * i), u32(content, 0x518 + 8 * i)
-        good = (start < size) & (end < size) & (end > start)
-        cal = F.conv(F.hex(F.substr(content, (start + 5).cast("int"), F.lit(4))), 16, 10).cast("long")
-        out.append(F.struct(F.lit(name).alias("name"), F.when(good, start).alias("start"), (end - start + 1).alias("length"), F.when(good, cal).alias("cal_id")))
-    return F.array(*out)
+        start, end = _be(data, 0x514 + 8 * i, 4), _be(data, 0x518 + 8 * i, 4)
+        good = start < end < len(data)
+        out.append({"name": name, "start": start if good else None, "length": end - start + 1, "cal_id": _be(data, start + 4, 4) if good and start + 4 < len(data) else None})
+    return out
 
 
-def _pages(content: Column) -> Column:
-    """The bytes of every page; an empty image has none."""
-    n = F.ceil(F.octet_length(content) / PAGE).cast("int")
-    pages = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(content, i * PAGE + 1, F.lit(PAGE)))
-    return F.when(n > 0, pages).otherwise(F.array().cast("array<binary>"))
+def _view(content: pa.Scalar) -> memoryview:
+    """The bytes of a cell where Arrow holds them; null is empty."""
+    return memoryview(content.as_buffer() if content.is_valid else b"")
 
 
-def _digest(page: Column) -> Column:
-    return F.unhex(F.sha2(page, 256))
+def _pages(content: memoryview) -> Iterator[tuple[bytes, memoryview]]:
+    """Digest and bytes of every page; an empty image has none."""
+    for at in range(0, len(content), PAGE):
+        page = content[at : at + PAGE]
+        yield hashlib.sha256(page).digest(), page
 
 
 def image_facts(images: DataFrame) -> DataFrame:
     """path, length, sha256, os_id, spans, digests (one a page) of every image: a hundredth of its bytes. Null contents count as empty."""
-    content = F.coalesce("content", F.lit(b""))
-    known = F.coalesce(image_detect(content), F.lit(False))
-    whole = images.select("path", content.alias("content"))
-    return whole.select(
-        "path", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"), F.when(known, u32(F.col("content"), 0x504)).alias("os_id"),
-        F.when(known, _spans(F.col("content"))).alias("spans"), F.transform(_pages(F.col("content")), _digest).alias("digests"),
-    )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                whole = _view(batch.column("content")[i])
+                data = np.frombuffer(whole, np.uint8)
+                known = len(data) in KINDS and data[0x503] == 1
+                columns = [
+                    batch.column("path").slice(i, 1), pa.array([len(data)], pa.int64()), pa.array([hashlib.sha256(whole).hexdigest()]), pa.array([_be(data, 0x504, 4) if known else None], pa.int64()),
+                    pa.array([_spans(data) if known else None], pa.list_(_SPAN)), pa.array([[d for d, _ in _pages(whole)]], pa.list_(pa.binary())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "length", "sha256", "os_id", "spans", "digests"])
+
+    rest = "length long, sha256 string, os_id long, spans array<struct<name:string,start:bigint,length:bigint,cal_id:bigint>>, digests array<binary>"
+    schema = T.StructType([images.schema["path"], *T.StructType.fromDDL(rest).fields])
+    return images.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(work, schema)
 
 
 def _place(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
+    """Where a digest stands in the filter: its first four bytes."""
+    return F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long") % FILTER_BITS
 
 
 def fetch_pages(images: DataFrame, wanted: DataFrame) -> DataFrame:
     """digest, bytes of the pages in ``wanted`` (digest), each once.
 
-    A bitmap of fixed size says on the side of the images which pages may be asked for, so the others' bytes are not
-    shuffled; what it lets through by chance ends in the join.
+    A bitmap of fixed size says on the side of the images which pages may be asked for, so the others' bytes don't leave
+    their task, and a task sends a page once; what it lets through by chance ends in the join.
     """
-    places = wanted.select(_place(F.col("digest")).alias("at")).select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
-    bitmap = F.broadcast(places.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
-    every = images.select(F.explode(_pages(F.coalesce("content", F.lit(b"")))).alias("bytes")).withColumn("digest", _digest(F.col("bytes"))).withColumn("at", _place(F.col("digest")))
-    every = every.select("digest", "bytes", F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").cast("int").alias("bit"))
-    octet = F.conv(F.hex(F.substr("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    likely = every.join(bitmap, "bucket").filter(F.getbit(octet, F.pmod("bit", F.lit(8))) == 1)
-    return likely.groupBy("digest").agg(F.first("bytes").alias("bytes")).join(wanted.select("digest").distinct(), "digest", "left_semi")
+    places = wanted.select((_place(F.col("digest")) + 1).alias("at")).select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, bits in places.groupBy("bucket").agg(F.bitmap_construct_agg("bit")).collect():  # at most 4 MB
+        bitmap[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, np.uint8)
+    shared = images.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, sent = shared.value, set()
+        for batch in batches:
+            for content in batch.column("content"):
+                found = {}
+                for digest, page in _pages(_view(content)):
+                    at = int.from_bytes(digest[:4], "big") % FILTER_BITS
+                    if asked[at >> 3] >> (at & 7) & 1 and digest not in sent:
+                        found[digest] = bytes(page)
+                        sent.add(digest)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["digest", "bytes"])
+                if len(sent) > 200_000:  # a page sent twice does no harm
+                    sent = set()
+
+    likely = images.select(F.col("content").cast("binary").alias("content")).mapInArrow(work, "digest binary, bytes binary")
+    return likely.join(wanted.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("bytes").alias("bytes"))
 
 
 def _page_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,3 +71,25 @@ def test_revisions_in_order(spark):
     frame = spark.createDataFrame([(v, n, p, x.tobytes()) for v, n, p, x in rows], "vehicle string, name string, path string, content binary")
     got = sorted((r.a, r.b, r.total_changed) for r in revisions.compare_revisions(frame).collect())
     assert got == [("s", "u", 0), ("t", "v", 1), ("u", "t", 1)]
+
+
+def test_images_made_from_few_rows_spread_and_stay_out_of_plans(spark):
+    from dynofleet.plans import flash
+
+    made = flash.flash_images(spark, "/root/testdata/sf0.1")
+    assert made.rdd.getNumPartitions() == 16  # before: the one of the supplier file
+    assert len(made._jdf.queryExecution().toString()) < 200_000  # before: half a megabyte of zeros in each step
+    sizes = {r[0]: r[1] for r in made.selectExpr("octet_length(content) as n").groupBy("n").count().collect()}
+    assert sizes == {flash.SIZE: 857, flash.SHORT: 143}
+
+
+def test_facts_of_segments_at_the_end(spark):
+    data = np.zeros(524288, np.uint8)
+    data[0x503] = 1
+    ends = [(0, 1), (524286, 524287), (524280, 524288), (9, 9), (9, 8), (0xFFFFFFFF, 0xFFFFFFFF), (5, 524287)]
+    data[0x514 : 0x514 + 56] = np.frombuffer(b"".join(a.to_bytes(4, "big") + b.to_bytes(4, "big") for a, b in ends), np.uint8)
+    data[-2:] = 3
+    (row,) = images.image_facts(spark.createDataFrame([("x", data.tobytes())], "path string, content binary")).collect()
+    assert [s.start for s in row.spans] == [0, 0x4000, 0x20000, 0, 524286, None, None, None, None, 5]
+    assert [s.cal_id for s in row.spans][3:] == [0, None, None, None, None, None, 0]
+    assert len(row.digests) == 128 and row.os_id == 0
