@@ -16,6 +16,8 @@ from dynofleet.sources.files import session_goal
 
 QUERIES, SQL = {}, {}
 SIZE, SHORT = 524288, 100
+#: Images of one task, 32 MB.
+IMAGES = 64
 SEG_AT, SEG_STEP = 0x8000, 0x100
 #: Sum of the words of the segment table: low halves of starts and ends.
 TABLE_SUM = sum(2 * (SEG_AT + SEG_STEP * i) + SEG_STEP - 1 for i in range(7))
@@ -29,6 +31,19 @@ def _zeros(n: int) -> Column:
     return F.unhex(F.repeat(F.lit("00"), F.lit(n)))
 
 
+def _filled(parts: list[tuple[int, Column]], size: int = SIZE) -> Column:
+    """``size`` bytes: every part (place, bytes) at its place, zeros between. Zeros are put in row by row, so plans hold no images."""
+    whole = F.lit(b"")
+    for at, part in parts:
+        whole = F.concat(F.rpad(whole, F.lit(at), _zeros(256)), part)
+    return F.rpad(whole, F.lit(size), _zeros(256))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A few rows that become images, dealt out over tasks before they do: the file they stand in is one task's, a ten-thousandth of the images."""
+    return rows.repartition(max(1, -(-rows.count() // IMAGES)))
+
+
 def _letters(prefix: str, value: Column, digits: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(value.cast("string"), digits, "0"))
 
@@ -42,16 +57,14 @@ def flash_images(spark: SparkSession, d: str) -> DataFrame:
     negative = lambda total: F.pmod(-total, F.lit(65536))
     system = (negative(1 + halves(os_id) + word(version) + TABLE_SUM + 0x4E56) + F.when(k % 4 == 0, 1).otherwise(0)) % 65536
     head = F.concat(_hex(system, 4), F.lit("0001"), _hex(os_id, 8), F.hex(version), F.lit("00" * 10), F.lit("".join(f"{SEG_AT + SEG_STEP * i:08X}{SEG_AT + SEG_STEP * i + SEG_STEP - 1:08X}" for i in range(7))))
-    parts = [_zeros(0x500), F.unhex(head), _zeros(0x4000 - 0x500 - 0x4C)]
     block = F.concat(_zeros(4), F.unhex(_hex(9_000_000 + k, 8)), _letters("SER", k, 9).cast("binary"), _zeros(8), _letters("C", k % 1000, 3).cast("binary"), _zeros(1), _letters("1ZZTEST99Z", k, 7).cast("binary"))
-    parts += [block, _zeros(0x88 - 50), F.unhex(F.lit("A5A0")), _zeros(0x4000 - 0x8A)]
+    parts = [(0x500, F.unhex(head)), (0x4000, block), (0x4088, F.unhex(F.lit("A5A0")))]
     for i in range(7):
         cal, seg_version = 90_000_000 + k * 7 + i, _letters("Z", F.lit(i), 1)
         mine = (negative(halves(cal) + word(seg_version)) + F.when((k + i) % 5 == 0, 1).otherwise(0)) % 65536
-        parts += [F.unhex(F.concat(_hex(mine, 4), F.lit("0000"), _hex(cal, 8), F.hex(seg_version))), _zeros(SEG_STEP - 10)]
-    parts += [_zeros(0x20000 - SEG_AT - 7 * SEG_STEP), F.lit("NV").cast("binary"), _zeros(SIZE - 0x20000 - 2)]
-    whole = F.concat(*parts)
-    return table(spark, d, "supplier").select(F.concat(k.cast("string"), F.lit(".bin")).alias("path"), F.when(k % 7 == 0, _zeros(SHORT)).otherwise(whole).alias("content"))
+        parts.append((SEG_AT + SEG_STEP * i, F.unhex(F.concat(_hex(mine, 4), F.lit("0000"), _hex(cal, 8), F.hex(seg_version)))))
+    parts.append((0x20000, F.lit("NV").cast("binary")))
+    return spread(table(spark, d, "supplier")).select(F.concat(k.cast("string"), F.lit(".bin")).alias("path"), F.when(k % 7 == 0, _zeros(SHORT)).otherwise(_filled(parts)).alias("content"))
 
 
 _NEG = "((65536 - ({}) % 65536) % 65536)"
@@ -191,8 +204,8 @@ def _(spark, d):
 def _(spark, d):
     k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
     name = F.reverse("s_name").cast("binary")
-    content = F.concat(name, F.substr(_zeros(0x500), F.lit(1), 0x500 - F.octet_length(name)), F.unhex(F.lit("00000001")), F.unhex(_hex(n, 8)), _zeros(SIZE - 0x508))
-    files = table(spark, d, "supplier").select(n.alias("vehicle"), F.format_string("v%09d.bin", k).alias("name"), F.concat(k.cast("string"), F.lit(".bin")).alias("path"), content.alias("content"))
+    content = _filled([(0, name), (0x500, F.unhex(F.concat(F.lit("00000001"), _hex(n, 8))))])
+    files = spread(table(spark, d, "supplier")).select(n.alias("vehicle"), F.format_string("v%09d.bin", k).alias("name"), F.concat(k.cast("string"), F.lit(".bin")).alias("path"), content.alias("content"))
     axes = definitions.read_axes(definitions.parse_definitions(definition_files(spark, d)))
     header = F.filter("regions", lambda r: r["name"] == "header")[0]["changed"]
     out = revisions.compare_revisions(files, axes)
