@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from dynofleet.functions.units import detect_scale
 from dynofleet.operators import align, knock, mixture, trims
 from dynofleet.operators import channels as ch
+from dynofleet.sources.logs import cells_of
 from dynofleet.sources.tables import dropped, written
 
 _KNOWN = ("lambda", "eq", "afr")
@@ -94,25 +95,27 @@ def interval_logs(channels: DataFrame, samples: DataFrame) -> DataFrame:
     return at.join(sparse, "log_id")
 
 
-def on_grid(channels: DataFrame, samples: DataFrame, step_ms: int = 100) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
-    """(samples, report, tables written on the way): interval logs resampled, all others as they are.
+def on_grid(channels: DataFrame, samples: DataFrame, step_ms: int = 100) -> tuple[DataFrame, DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """(samples of dense logs, samples of interval logs on a grid, report, tables written on the way).
 
     Of an interval log restarts and corrupt stamps are settled on its rows, then numbers and words (flags) of every channel
     stand on a grid of ``step_ms`` until they expire; row_no is the place on the grid from 1, and a grid row on which nothing stands has one
     sample of no channel. ``report``: log_id, from_rows, to_rows, duration, sessions, dropped, boundaries of these logs.
+    ``samples``: log_sample, or what ``logs.parse_rows`` gives; those of dense logs stay in the same form.
     """
     which = written(interval_logs(channels, samples))  # one row a log, read four times
-    interval = samples.join(which, "log_id")
+    dense = samples.join(which, "log_id", "left_anti")
+    own = samples.join(which.select("log_id"), "log_id", "left_semi")
+    interval = (cells_of(own) if "values" in samples.columns else own).join(which, "log_id")
     clock = interval.filter("ordinal = time_at").select("log_id", "row_no", F.col("value_num").alias("t"))
     rows = interval.select("log_id", "row_no").distinct().join(clock, ["log_id", "row_no"], "left")
     times = written(align.normalize_time(rows))
     cells = interval.filter("ordinal <> time_at and (value_num is not null or value_str is not null)").join(times, ["log_id", "row_no"])
     held = align.resample_hold(cells.select("log_id", "row_no", "t", F.col("ordinal").alias("channel"), "value_num", "value_str").unionByName(_clock(times)), step_ms, values=("value_num", "value_str"))
     filler = align.grid_rows(times, step_ms).select("log_id", F.col("k") + 1, F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("string"))
-    stand = held.filter("channel >= 0").select("log_id", F.col("k") + 1, "channel", "value_num", "value_str")
-    dense = samples.join(which, "log_id", "left_anti").select("log_id", "row_no", "ordinal", "value_num", "value_str")
+    stand = held.filter("channel >= 0").select("log_id", (F.col("k") + 1).alias("row_no"), F.col("channel").alias("ordinal"), "value_num", "value_str")
     report = align.resample_report(times, step_ms).drop("from_rows").join(rows.groupBy("log_id").agg(F.count("*").alias("from_rows")), "log_id").join(align.time_report(rows).drop("blank"), "log_id")
-    return dense.union(stand).union(filler), report.select("log_id", "from_rows", "to_rows", "duration", "sessions", "dropped", "boundaries"), (which, times)
+    return dense, stand.union(filler), report.select("log_id", "from_rows", "to_rows", "duration", "sessions", "dropped", "boundaries"), (which, times)
 
 
 def _clock(times: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def _clock(times: DataFrame) -> DataFrame:
 
 
 def analyze(channels: DataFrame, samples: DataFrame, f: trims.Filters = trims.Filters(), fuel: str = "gasoline", overrides: DataFrame | None = None, step_ms: int = 100) -> Analysis:
-    """All readings of parsed logs (log_channel, log_sample); interval logs are put on a grid of ``step_ms`` before.
+    """All readings of parsed logs (log_channel, and log_sample or what ``logs.parse_rows`` gives); interval logs are put on a grid of ``step_ms`` before.
 
     Maps have manifold pressure as their second axis, or load in logs without it. The dense log is written once, as a table.
     """
@@ -132,11 +135,20 @@ def analyze(channels: DataFrame, samples: DataFrame, f: trims.Filters = trims.Fi
         parsed = [channels, samples]
     roles = ch.role_candidates(channels).select("log_id", "ordinal")
     wanted = roles.unionByName(overrides.select("log_id", "ordinal")) if overrides is not None else roles
-    grid, resampled, made = on_grid(channels, samples, step_ms)
+    dense, grid, resampled, made = on_grid(channels, samples, step_ms)
+    arrays = "values" in samples.columns
+    if not arrays:
+        grid = dense.select(*grid.columns).union(grid)
     # Only channels that may play a role go on, and the rows themselves.
     grid = written(grid.join(wanted.distinct().withColumn("role_", F.lit(True)), ["log_id", "ordinal"], "left").withColumn("ordinal", F.when(F.col("role_"), F.col("ordinal"))).withColumns({c: F.when(F.col("role_"), F.col(c)) for c in ("value_num", "value_str")}).drop("role_"))
-    used = written(ch.live_channels(channels, grid, overrides))
-    log = written(ch.wide_log(used, grid))
+    # Columns with a number, once for all who ask: of the logs as they came, and with the interval logs' as they stand on the grid.
+    seen = lambda df: written(df.withColumn("value_num", F.lit(1.0)))
+    raw = seen(ch.live_cells(samples) if arrays else ch.live_columns(samples))
+    live = ch.live_columns(grid)
+    live = seen(raw.join(made[0], "log_id", "left_anti").select("log_id", "ordinal").unionByName(live) if arrays else live)
+    used = written(ch.live_channels(channels, live, overrides))
+    log = ch.wide_log(used, grid)
+    log = written(ch.wide_rows(used, dense).unionByName(log) if arrays else log)
     settings = written(log_settings(channels, used, log, f))
     has = lambda role: F.coalesce(F.array_contains("roles", role), F.lit(False))
     axis = settings.select("log_id", has("map").alias("has_map"))
@@ -144,7 +156,7 @@ def analyze(channels: DataFrame, samples: DataFrame, f: trims.Filters = trims.Fi
     classified = trims.classify_rows(loaded, f, settings=settings)
     kept = trims.kept_rows(classified)
     mixed = mixture.as_lambda(log, fuel, settings=settings)
-    silent = ch.silent_channels(channels, grid)
+    silent = ch.silent_channels(channels, live)
     events = knock.knock_events(loaded, y="y_axis")
     return Analysis(
         settings=settings,
@@ -154,9 +166,9 @@ def analyze(channels: DataFrame, samples: DataFrame, f: trims.Filters = trims.Fi
         bins=trims.axis_bins(kept),
         heatmap=trims.trim_heatmap(kept, y="y_axis"),
         warnings=ch.log_warnings(used, silent, channels, settings),
-        missing=ch.missing_roles(channels, grid),
+        missing=ch.missing_roles(channels, live),
         silent=silent,
-        empty=ch.empty_channels(channels, samples),
+        empty=ch.empty_channels(channels, raw),
         wot=mixture.wot_bins(mixed, fuel),
         wot_summary=mixture.wot_summary(mixed),
         closed_loop=mixture.closed_loop_check(mixed, fuel, settings=settings),
@@ -165,5 +177,5 @@ def analyze(channels: DataFrame, samples: DataFrame, f: trims.Filters = trims.Fi
         knock_events=events,
         spark_summary=knock.spark_summary(log, events),
         resampled=written(resampled),
-        tables=(*parsed, *made, grid, used, log, settings),
+        tables=(*parsed, *made, grid, raw, live, used, log, settings),
     )

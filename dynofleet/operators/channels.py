@@ -106,10 +106,44 @@ def wide_log(used: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.groupBy("log_id", "row_no").agg(*columns)
 
 
+def wide_rows(used: DataFrame, rows: DataFrame) -> DataFrame:
+    """``wide_log`` of ``logs.parse_rows``: columns are picked from the arrays of a row, so rows meet only where their log's channels stand."""
+    role, at = F.col("role"), F.col("ordinal").cast("int")
+    of = lambda r: F.collect_list(F.when(role == r, at)) if r in BANKS else F.min(F.when(role == r, at))
+    places = used.groupBy("log_id").agg(*(of(r).alias(f"at_{r}") for r in PATTERNS))
+    value = lambda i: F.get("values", i)
+    cents = lambda x: x.cast("decimal(18,6)")
+
+    def column(r: str) -> Column:
+        place = F.col(f"at_{r}")
+        if r in FLAGS:
+            return F.when(place < F.size("values"), flag_on(value(place), F.get("words", place)))  # null in rows too short to hold it
+        if r in BANKS:
+            there = F.filter(F.transform(place, value), lambda x: x.isNotNull())
+            total = F.aggregate(there, F.lit(0).cast("decimal(28,6)"), lambda acc, x: (acc + cents(x)).cast("decimal(28,6)"))
+            mean = F.when(F.size(there) > 0, total.cast("double") / F.size(there))
+            return F.when(F.size(place) == 1, cents(value(F.get(place, F.lit(0)))).cast("double")).otherwise(mean)
+        return value(place)
+
+    return rows.join(places, "log_id", "left").select("log_id", "row_no", *(column(r).alias(r) for r in PATTERNS))
+
+
+def live_cells(rows: DataFrame) -> DataFrame:
+    """``live_columns`` of ``logs.parse_rows``."""
+    return rows.select("log_id", F.posexplode("values").alias("ordinal", "value_num")).filter("value_num is not null").select("log_id", "ordinal").distinct()
+
+
 def log_density(channels: DataFrame, samples: DataFrame) -> DataFrame:
-    """log_id, rows, density (3 places) and sparse: filled cells of rows x headers, sparse below 0.9 before rounding."""
+    """log_id, rows, density (3 places) and sparse: filled cells of rows x headers, sparse below 0.9 before rounding.
+
+    ``samples``: log_sample, or what ``logs.parse_rows`` gives.
+    """
     n = channels.groupBy("log_id").agg(F.count("*").alias("headers"))
-    got = samples.groupBy("log_id").agg(F.count_if(F.col("value_num").isNotNull() | F.col("value_str").isNotNull()).alias("filled"), F.countDistinct("row_no").alias("rows"))
+    if "filled" in samples.columns:
+        counts = [F.sum("filled").alias("filled"), F.count("*").alias("rows")]
+    else:
+        counts = [F.count_if(F.col("value_num").isNotNull() | F.col("value_str").isNotNull()).alias("filled"), F.countDistinct("row_no").alias("rows")]
+    got = samples.groupBy("log_id").agg(*counts)
     raw = F.col("filled") / (F.col("rows") * F.col("headers"))
     return n.join(got, "log_id").select("log_id", "rows", F.round(raw, 3).alias("density"), (raw < 0.9).alias("sparse"))
 

@@ -8,9 +8,14 @@ value_num, value_str), both long, so any list of channels fits.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dynofleet.operators import ranges
 
@@ -119,6 +124,12 @@ def parse_lines(lines: DataFrame, heads: DataFrame | None = None) -> tuple[DataF
     ``heads``: the first lines of every log, at least up to its first data line; without them all lines are searched for
     what they say. Logs without data rows have no samples. Blank cells of sectioned logs are null; a cell that is no number is kept as text.
     """
+    channels, rows = parse_rows(lines, heads)
+    return channels, cells_of(rows)
+
+
+def parse_rows(lines: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same with one row a data line: log_id, row_no, values, words (by ordinal), filled (cells that hold either)."""
     frames = _frames(lines if heads is None else heads)
     named = frames.select("log_id", "format", "ids", "units", F.posexplode("names").alias("ordinal", "name"))
     unit = F.get("units", F.col("ordinal"))
@@ -126,11 +137,54 @@ def parse_lines(lines: DataFrame, heads: DataFrame | None = None) -> tuple[DataF
     channels = named.select("log_id", "ordinal", F.get("ids", F.col("ordinal")).alias("parameter_id"), "name", unit.alias("unit_text"), header.alias("header"), "format")
     body = lines.join(frames.select("log_id", "format", "begin"), "log_id").filter((F.trim("line") != "") & (F.col("line_no") > F.col("begin")))
     data = body.filter((F.col("format") == "plain") | ~F.trim("line").startswith("["))
-    rows = ranges.numbered(data, "row_no")
-    cells = rows.select("log_id", "row_no", "format", F.posexplode(split_fields(F.col("line"))).alias("ordinal", "cell"))
-    value = number_of(F.col("cell"))
-    text = F.when(value.isNull() & ~((F.col("format") == "sectioned") & (F.col("cell") == "")), F.col("cell"))
-    return channels, cells.select("log_id", "row_no", "ordinal", value.alias("value_num"), text.alias("value_str"))
+    rows = ranges.numbered(data.select("log_id", "line_no", (F.col("format") == "sectioned").alias("sectioned"), "line"), "row_no").select("log_id", "row_no", "sectioned", "line")
+    schema = T.StructType([rows.schema["log_id"], rows.schema["row_no"], *T.StructType.fromDDL("values array<double>, words array<string>, filled int").fields])
+    return channels, rows.mapInArrow(_read_cells, schema)
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """log_sample of what ``parse_rows`` gives."""
+    cells = rows.select("log_id", "row_no", F.posexplode(F.arrays_zip("values", "words")).alias("ordinal", "c"))
+    return cells.select("log_id", "row_no", "ordinal", F.col("c.values").alias("value_num"), F.col("c.words").alias("value_str"))
+
+
+# Numbers that Arrow casts as they stand; a quote at an end of a cell, which may have a line break behind it.
+_SIMPLE = r"^-?[0-9]{1,15}(\.[0-9]{1,15})?$"
+_QUOTE = re.compile('^"|"(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\\Z)')
+_NUMBER = re.compile(NUMBER, re.ASCII)
+
+
+def _numbers(cells: pa.Array) -> pa.Array:
+    """``number_of`` for a column of cells; what isn't written simply is read one distinct cell at a time."""
+    simple = pc.match_substring_regex(cells, _SIMPLE)
+    values = pc.cast(pc.if_else(simple, cells, None), pa.float64())
+    odd = pc.filter(cells, pc.and_(pc.invert(simple), pc.not_equal(cells, ""))).unique()
+    found = [(c, float(m[1])) for c in odd.to_pylist() if (m := _NUMBER.match(c))]
+    if not found:
+        return values
+    at = pc.index_in(cells, pa.array([c for c, _ in found], pa.string()))
+    return pc.coalesce(values, pc.take(pa.array([v for _, v in found], pa.float64()), at))
+
+
+def _read_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fields between commas, trimmed and without quotes (``split_fields``), as numbers and words."""
+    for batch in batches:
+        fields = pc.split_pattern(batch.column("line").cast(pa.string()), ",")
+        cells = pc.utf8_trim(fields.flatten(), " ")
+        quoted = pc.match_substring(cells, '"')
+        if pc.any(quoted).as_py():
+            known = pc.filter(cells, quoted).unique()
+            at = pc.index_in(cells, known)
+            cells = pc.coalesce(pc.take(pa.array([_QUOTE.sub("", c) for c in known.to_pylist()], pa.string()), at), cells)
+        values = _numbers(cells)
+        sizes = pc.list_value_length(fields)
+        blank = pc.and_(pc.take(batch.column("sectioned"), pc.list_parent_indices(fields)), pc.equal(cells, ""))
+        words = pc.if_else(pc.or_(pc.is_valid(values), blank), pa.scalar(None, pa.string()), cells)
+        offsets = np.concatenate(([0], np.cumsum(sizes.to_numpy()))).astype(np.int32)
+        running = np.concatenate(([0], np.cumsum(pc.or_(pc.is_valid(values), pc.is_valid(words)).to_numpy(zero_copy_only=False))))
+        filled = pa.array((running[offsets[1:]] - running[offsets[:-1]]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (values, words)]
+        yield pa.RecordBatch.from_arrays([batch.column("log_id"), batch.column("row_no"), *lists, filled], names=["log_id", "row_no", "values", "words", "filled"])
 
 
 def to_timed(channels: DataFrame, samples: DataFrame) -> DataFrame:

@@ -113,3 +113,32 @@ def test_the_report_tells_what_was_done(spark):
     taken = a.take("tally")
     after = len(list(__import__("pathlib").Path(shared_folder(spark).removeprefix("file://")).glob("table-*")))
     assert taken.count() == 5 and after < before, "what was written on the way is gone"
+
+
+def test_rows_in_arrays_give_what_samples_give(spark):
+    """Dense logs are never taken apart into cells; the analysis of both forms is the same, odd cells are read as the built-ins read them."""
+    from pyspark.sql import functions as F
+
+    from dynofleet.sources import logs
+
+    odd = ["1", " -2.50 ", '"3"', '"', "", "+4", "5.", ".5", "1e3", "-1.5E-2x", "7 rpm", "nan", "Infinity", "0x10", "٣", "1_0", "--1", '""6""', "12345678901234567890.125", "1d", "\t8", "Off", '9"\r', "1e400"]
+    body = [",".join(odd[i:] + odd[:i]) for i in range(len(odd))] + ["", "1,2"]
+    plain = "\n".join([",".join(["Time", "Engine RPM", "LTFT Bank 1", "LTFT Bank 2", "STFT", "MAF Hz", "ECT (F)"] + [f"c{i}" for i in range(len(odd) - 7)]), *body])
+    sect = "HP Tuners CSV Log File\n\n[Channel Information]\n1,2\nOffset,Engine RPM\ns,rpm\n\n[Channel Data]\n0,900\n0.1,\n0.2,\n0.3,\n"
+    texts = spark.createDataFrame([("p", plain), ("s", sect)], "log_id string, text string")
+    lines = logs.log_lines(texts)
+    channels, rows = logs.parse_rows(lines)
+    samples = logs.cells_of(rows)
+    value = logs.number_of(F.col("cell"))
+    cut = lines.filter("log_id = 'p' and line_no > 0 and trim(line) <> ''").select(F.posexplode(logs.split_fields(F.col("line"))).alias("ordinal", "cell"))
+    wanted = sorted(map(tuple, cut.select("ordinal", value, F.when(value.isNull(), F.col("cell"))).collect()), key=str)
+    assert sorted(map(tuple, samples.filter("log_id = 'p'").select("ordinal", "value_num", "value_str").collect()), key=str) == wanted
+    mild = [x for x in odd if x not in ("12345678901234567890.125", "1e400")]  # trims are summed as decimals
+    mild_text = plain.split("\n")[0] + "\n" + "\n".join(",".join(mild[i:] + mild[:i]) for i in range(len(mild)))
+    channels, rows = logs.parse_rows(logs.log_lines(spark.createDataFrame([("p", mild_text), ("s", sect)], "log_id string, text string")))
+    samples = logs.cells_of(rows)
+    one, two = analyze(channels, rows), analyze(channels, samples)
+    for name in ("rows", "tally", "empty", "missing", "resampled", "warnings"):
+        a, b = (sorted(map(str, getattr(x, name).select(*getattr(one, name).columns).collect())) for x in (one, two))
+        assert a == b, name
+    assert one.rows.filter("log_id = 'p'").count() == len(mild)
