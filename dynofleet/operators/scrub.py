@@ -64,7 +64,7 @@ def scrub_logs(logs: DataFrame) -> DataFrame:
 
 def write_scrubbed(spark: SparkSession, source: str, target: str, part_bytes: int = splits.PART) -> None:
     """Every log file under ``source`` redacted into the same place under ``target``, byte for byte the same elsewhere."""
-    heads = splits.registered(spark).read.format("log_lines").option("mode", "head").load(source)
+    heads = splits.read_heads(spark, source)
     base = splits.located(source)[2] + splits.located(source)[1]
     splits.write_logs(scrub_lines(splits.read_lines(spark, source, part_bytes), heads), target, base)
 

@@ -35,6 +35,11 @@ def named(path: str) -> F.Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def in_folders(ending: str) -> F.Column:
+    """A file for each document, a thousand a folder at most, so that many tasks can list them."""
+    return F.concat(F.expr("doc_id div 1000").cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(ending))
+
+
 # ---- texts play logs: a header with two columns that tell a place, a vehicle number, notes, then the text
 @query(
     "write_scrubbed",
@@ -46,7 +51,8 @@ def _(spark, d):
     vin = F.concat(F.lit("1ZZTEST99Z"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))
     text = F.concat_ws("\n", F.lit("Time,RPM,GPS Latitude,GPS Longitude"), F.concat(F.col("doc_id").cast("string"), F.lit(",900,51.5,"), vin), F.concat(F.lit("Notes: seen "), vin, F.lit(" today")), F.translate("text", ",", ";"))
     source, target = folder(spark), folder(spark)
-    lines = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".csv")).alias("log_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"), F.size(F.split(text, "\n")).alias("n"))
+    split = docs.select(in_folders(".csv").alias("log_id"), F.split(text, "\n").alias("lines")).withColumn("n", F.size("lines"))
+    lines = split.select("log_id", "n", F.posexplode("lines").alias("line_no", "line"))
     splits.write_logs(lines.withColumn("ending", F.when(F.col("line_no") + 1 < F.col("n"), "\n").otherwise("")), source)
     scrub.write_scrubbed(spark, source, target)
     return files.hashed_files(files.listed_files(spark, target)).select(named("path").alias("name"), "size", "sha256")
@@ -75,7 +81,7 @@ def _(spark, d):
     """A first inventory, a third of the files written anew, and a second one that reads only those."""
     path = folder(spark)
     docs = table(spark, d, "documents").filter("text is not null")
-    named_ = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("content"), (F.col("doc_id") % 3 == 0).alias("third"))
+    named_ = docs.select(in_folders(".txt").alias("name"), F.col("text").alias("content"), (F.col("doc_id") % 3 == 0).alias("third"))
     splits.write_files(named_.withColumn("content", F.when(F.col("third"), F.concat("content", F.lit(" old"))).otherwise(F.col("content"))), path)
     first = files.file_inventory(spark, path)
     known = f"{folder(spark)}/manifest"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,16 +11,63 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from dynofleet.sources.tables import written
+
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content of raw ``.bin`` images; other files can't be analysed and aren't read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
+def located(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system of a path, the path in it, and what stands before such paths in a log_id."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/"), "file://"
+    fs, inside = pafs.FileSystem.from_uri(path)
+    return fs, inside, path.split("://")[0] + "://" if "://" in path else "file://"
+
+
+#: Files and bytes of one task.
+FILES, BYTES = 2_000, 64 << 20
+
+
+def dealt(files: DataFrame, *keys: str) -> DataFrame:
+    """``files`` dealt by ``keys`` to as many tasks as their number and size ask for; such a table is too small for Spark to see the work in it."""
+    size = F.sum("size") if "size" in files.columns else F.lit(0)
+    n, total = files.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, n // FILES, total // BYTES), *keys)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands in each folder; a file stands for itself. Names that begin with . or _ are left out, as by Spark's own sources."""
+    for b in batches:
+        for at in b.column("path").to_pylist():
+            fs, inside, _ = located(at)
+            own = fs.get_file_info(inside)
+            found = fs.get_file_info(pafs.FileSelector(inside)) if own.type == pafs.FileType.Directory else [own]
+            for i in range(0, len(found), 10_000):
+                some = [f for f in found[i : i + 10_000] if f is own or not (f.base_name.startswith(".") or f.base_name.startswith("_") and "=" not in f.base_name)]
+                paths = [at if f is own else f"{at.rstrip('/')}/{f.base_name}" for f in some]
+                times = pa.array([f.mtime_ns // 1_000_000 * 1000 if f.mtime_ns is not None else None for f in some], pa.int64()).cast(pa.timestamp("us", "UTC"))
+                columns = [pa.array(paths, pa.string()), pa.array([f.size for f in some], pa.int64()), times, pa.array([f.type == pafs.FileType.Directory for f in some], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "size", "modified", "folder"])
+
+
 def listed_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, modified of all files under ``path``; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """path, size, modified of all files under ``path``; no content is read.
+
+    Tasks list the folders, level by level, into tables: the driver sees how many folders a level has, and no file.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(root) or []
+    if not there:
+        raise FileNotFoundError(path)
+    level, n, found = spark.range(1).select(F.explode(F.lit([f.getPath().toString() for f in there])).alias("path")), len(there), None
+    while n:
+        listed = written(level.repartition(min(n, max(spark.sparkContext.defaultParallelism, n // 100)), "path").mapInArrow(_entries, "path string, size long, modified timestamp, folder boolean"))
+        files, level = listed.filter("not folder").drop("folder"), listed.filter("folder").select("path")
+        found, n = files if found is None else found.union(files), level.count()
+    return found
 
 
 def hashed_files(files: DataFrame) -> DataFrame:
@@ -31,7 +77,7 @@ def hashed_files(files: DataFrame) -> DataFrame:
         for b in batches:
             found = []
             for path in b.column("path").to_pylist():
-                fs, inside = pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))
+                fs, inside, _ = located(path)
                 digest = hashlib.sha256()
                 try:
                     with fs.open_input_stream(inside) as file:
@@ -42,7 +88,7 @@ def hashed_files(files: DataFrame) -> DataFrame:
                     found.append(None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "sha256"])
 
-    return files.repartition("path").mapInArrow(task, StructType([*files.schema.fields, StructField("sha256", StringType())]))
+    return dealt(files, "path").mapInArrow(task, StructType([*files.schema.fields, StructField("sha256", StringType())]))
 
 
 def file_inventory(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:

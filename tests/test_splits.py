@@ -119,3 +119,22 @@ def test_a_second_inventory_reads_only_what_changed(spark, tmp_path):
     second = {r.name: r.sha256 for r in files.file_inventory(spark, str(tmp_path), known).collect()}
     old = {r.name: r.sha256 for r in first}
     assert second == {k: v for k, v in old.items() if k not in ("2.bin", "3.bin")} | {"2.bin": hashlib.sha256(b"new").hexdigest(), "7.bin": hashlib.sha256(b"7").hexdigest()}
+
+
+def test_tasks_list_folders_and_write_files_so_the_driver_holds_no_names(spark, tmp_path):
+    from dynofleet.sources import files
+
+    rows = spark.range(300).select(F.expr("concat(id div 50, '/', id % 3, '/', id, ' a%20.txt')").alias("name"), F.col("id").cast("string").alias("content"))
+    splits.write_files(rows, str(tmp_path / "out"))
+    (tmp_path / "out" / "_hidden").mkdir()
+    (tmp_path / "out" / "_hidden" / "x").write_text("x")
+    listed = files.listed_files(spark, str(tmp_path / "out"))
+    assert len(listed.inputFiles()) < 100  # tables with the names, not the files
+    want = {f"file:{p}": (p.stat().st_size, p.stat().st_mtime_ns // 1_000_000) for p in (tmp_path / "out").rglob("*.txt")}
+    got = {r.path: (r.size, r.ms) for r in listed.selectExpr("path", "size", "unix_millis(modified) ms").collect()}
+    assert got == want and len(want) == 300
+    assert files.hashed_files(listed).filter("sha256 is null").isEmpty()
+    assert not list((tmp_path / "out").glob("_staged*"))
+    with pytest.raises(ValueError, match="two logs"):
+        splits.write_files(rows.limit(2).withColumn("name", F.lit("a.txt")), str(tmp_path / "twice"))
+    assert not [p for p in (tmp_path / "twice").rglob("*") if p.is_file()]
