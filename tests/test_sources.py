@@ -280,3 +280,8 @@ def test_report(spark, tmp_path):
     assert one.filter("log_id = 'a'").select(report.as_markdown(F.col("log_id"), {"mean": F.col("mean"), "none": F.lit(None).cast("string")})).first()[0] == "## a\n- mean: 1.5"
 
 
+def test_scanner_files_made_from_one_small_table_are_parsed_by_many_tasks(spark):
+    from dynofleet.plans import records
+
+    for name in ("read_scanner_xml", "config_counts", "scanner_files"):
+        assert records.QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() > 1, name
