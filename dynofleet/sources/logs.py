@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dynofleet.operators import ranges
+from dynofleet.sources.tables import written
 
 # What marks a sectioned file, and its sections.
 SECTIONED = r"(?i)^HP Tuners CSV Log File"
@@ -135,9 +136,19 @@ def parse_rows(lines: DataFrame, heads: DataFrame | None = None) -> tuple[DataFr
     unit = F.get("units", F.col("ordinal"))
     header = F.when(F.col("format") == "sectioned", merge_units(F.col("name"), unit)).otherwise(F.col("name"))
     channels = named.select("log_id", "ordinal", F.get("ids", F.col("ordinal")).alias("parameter_id"), "name", unit.alias("unit_text"), header.alias("header"), "format")
-    body = lines.join(frames.select("log_id", "format", "begin"), "log_id").filter((F.trim("line") != "") & (F.col("line_no") > F.col("begin")))
-    data = body.filter((F.col("format") == "plain") | ~F.trim("line").startswith("["))
-    rows = ranges.numbered(data.select("log_id", "line_no", (F.col("format") == "sectioned").alias("sectioned"), "line"), "row_no").select("log_id", "row_no", "sectioned", "line")
+    begin = written(frames.select("log_id", (F.col("format") == "sectioned").alias("sectioned"), F.col("begin").cast("long").alias("begin")))  # one row a log, joined to all lines
+    body = lines.join(begin, "log_id").filter((F.trim("line") != "") & (F.col("line_no") > F.col("begin")))
+    data = body.filter(~F.col("sectioned") | ~F.trim("line").startswith("["))
+    # Data lines that follow each other are numbered by their line; only logs with other lines between them need a window.
+    found = data.groupBy("log_id").agg(F.count("*").alias("n"), (F.max("line_no") - F.first("begin")).alias("last"))
+    broken = written(found.filter("n <> last").select("log_id"))
+    columns = ["log_id", "row_no", "sectioned", "line"]
+    by_line = lambda df: df.withColumn("row_no", (F.col("line_no") - F.col("begin")).cast("long")).select(columns)
+    if broken.isEmpty():
+        rows = by_line(data)
+    else:
+        counted = ranges.numbered(data.join(broken, "log_id", "left_semi").select("log_id", "line_no", "sectioned", "line"), "row_no")
+        rows = by_line(data.join(broken, "log_id", "left_anti")).union(counted.select(columns))
     schema = T.StructType([rows.schema["log_id"], rows.schema["row_no"], *T.StructType.fromDDL("values array<double>, words array<string>, filled int").fields])
     return channels, rows.mapInArrow(_read_cells, schema)
 

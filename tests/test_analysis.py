@@ -142,3 +142,17 @@ def test_rows_in_arrays_give_what_samples_give(spark):
         a, b = (sorted(map(str, getattr(x, name).select(*getattr(one, name).columns).collect())) for x in (one, two))
         assert a == b, name
     assert one.rows.filter("log_id = 'p'").count() == len(mild)
+
+
+def test_rows_are_numbered_without_a_window_unless_other_lines_stand_between(spark):
+    from dynofleet.sources import logs
+
+    even = "Time,RPM\n1,2\n2,3\n3,4\n"
+    lines = lambda texts: logs.log_lines(spark.createDataFrame(texts, "log_id string, text string"))
+    numbers = lambda rows: sorted((r.log_id, r.row_no, r["values"][0]) for r in rows.collect())
+    _, rows = logs.parse_rows(lines([("a", even)]))
+    assert numbers(rows) == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0)]
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    broken = "HP Tuners CSV Log File\n[Channel Information]\nOffset,RPM\n[Channel Data]\n1,2\n\n[x]\n2,3\n3,4\n"
+    _, rows = logs.parse_rows(lines([("a", even), ("b", broken), ("c", "\nTime,RPM\n\n5,6\n\n7,8")]))
+    assert numbers(rows) == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", 1, 1.0), ("b", 2, 2.0), ("b", 3, 3.0), ("c", 1, 5.0), ("c", 2, 7.0)]
