@@ -183,11 +183,17 @@ flash AS (SELECT DISTINCT vehicle, rev FROM r WHERE o_orderkey % 3 = 0),
 logs AS (SELECT vehicle, CASE WHEN o_orderkey % 7 = 0 THEN printf('v%03d', n + 500) ELSE rev END AS rev FROM r WHERE o_orderkey % 4 <> 0)"""
 
 
+#: Orders in one task, on average: a task's memory depends on it, not on the table or on how well its rows compress.
+ORDERS_A_TASK = 500_000
+
+
 def _revisions(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    n = F.row_number().over(w)
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("vehicle"), "o_orderkey", n.alias("n"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
-    return rows.withColumn("rev", F.format_string("v%03d", "n"))
+    """Every step by vehicle goes on with this one exchange, so distinct revisions are found in tasks of the same bounded size."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("vehicle"), "o_orderkey", "o_orderdate")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ORDERS_A_TASK))
+    n = F.row_number().over(Window.partitionBy("vehicle").orderBy("o_orderdate", "o_orderkey"))
+    numbered = rows.repartition(tasks, "vehicle").select("vehicle", "o_orderkey", n.alias("n"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    return numbered.withColumn("rev", F.format_string("v%03d", "n"))
 
 
 def _flashes(spark, d):

@@ -285,3 +285,20 @@ def test_scanner_files_made_from_one_small_table_are_parsed_by_many_tasks(spark)
 
     for name in ("read_scanner_xml", "config_counts", "scanner_files"):
         assert records.QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() > 1, name
+
+
+def test_orders_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    from dynofleet.plans import records
+
+    d = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(tuple, records.QUERIES["timeline_counts"](spark, d).collect()))
+    few = rows()
+    monkeypatch.setattr(records, "ORDERS_A_TASK", 100)
+    assert rows() == few and sum(r[2] for r in few) == spark.read.parquet(f"{d}/orders.parquet").count()
+    # A vehicle's orders meet in one task, and no task gets many times the average.
+    at = records._revisions(spark, d).groupBy("vehicle", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).cache()
+    assert at.count() == at.select("vehicle").distinct().count()
+    assert at.groupBy("task").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] < 350
+    # Distinct revisions are found where the orders stand: nothing is dealt out a second time, packed tighter.
+    plan = records.QUERIES["timeline_counts"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
