@@ -494,7 +494,7 @@ def _xml(text):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
 
 
-def _parts(spark, d):
+def _dealt_parts(spark, d):
     """Parts, dealt to many tasks: texts made and parsed for each take far more time than reading a table that one task reads."""
     return written(files.dealt(table(spark, d, "part"), "p_partkey"))  # a table, as filters on the texts would go below an exchange
 
@@ -506,7 +506,7 @@ def _layouts(spark, d):
     tables = F.array_join(F.slice(F.array(*(entry("Table", k) for k in range(3))), F.lit(1), (size % 4).cast("int")), "")
     series = F.array_join(F.slice(F.array(*(entry("Series", k) for k in range(5, 7))), F.lit(1), (size % 3).cast("int")), "")
     text = F.concat(F.lit("<DocumentContents><Content ID=\"1\">"), tables, F.lit("</Content><Content ID=\"2\"><Chart>"), series, F.lit("</Chart></Content></DocumentContents>"))
-    return _parts(spark, d).select(F.concat(F.col("p_partkey").cast("string"), F.lit(".layout.xml")).alias("name"), text.alias("text"))
+    return _dealt_parts(spark, d).select(F.concat(F.col("p_partkey").cast("string"), F.lit(".layout.xml")).alias("name"), text.alias("text"))
 
 
 @query("config_counts", "SELECT p_partkey || '.layout.xml' AS name, 'layout' AS kind, CAST(0 AS BIGINT) AS charts, CAST(p_size % 3 AS BIGINT) AS series, CAST(p_size % 4 AS BIGINT) AS tables, CAST(2 AS BIGINT) AS panes FROM part")
@@ -534,7 +534,7 @@ def _scanner_files(spark, d):
         ("mathparameter", F.concat(F.lit('<MathParameter Name="'), _xml(F.col("p_name")), F.lit('" Expression="['), (k % 37).cast("string"), F.lit('] * 2"/>'))),
     ]
     pick = lambda part: F.element_at(F.array(*(part(x) for x in texts)), (k % 5 + 1).cast("int"))
-    return _parts(spark, d).select(F.concat(k.cast("string"), F.lit("."), pick(lambda x: F.lit(x[0])), F.lit(".xml")).alias("name"), pick(lambda x: x[1]).alias("text"))
+    return _dealt_parts(spark, d).select(F.concat(k.cast("string"), F.lit("."), pick(lambda x: F.lit(x[0])), F.lit(".xml")).alias("name"), pick(lambda x: x[1]).alias("text"))
 
 
 @query("scanner_files", """WITH p AS (SELECT *, p_partkey % 5 AS m, p_size % 4 AS t, p_size % 3 AS s, ['channels', 'charts', 'graphs', 'layout', 'mathparameter'][p_partkey % 5 + 1] AS f FROM part)

@@ -302,3 +302,29 @@ def test_orders_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
     # Distinct revisions are found where the orders stand: nothing is dealt out a second time, packed tighter.
     plan = records.QUERIES["timeline_counts"](spark, d)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+
+
+@pytest.mark.parametrize("name", ["convert_units", "convert_delta", "preferred_unit", "format_value"])
+def test_unit_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from dynofleet.plans import records
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{d}/part.parquet'")
+    got = sorted(map(tuple, records.QUERIES[name](spark, d).collect()))
+    assert got == sorted(con.execute(records.SQL[name]).fetchall()) and got
+
+
+def test_no_name_of_a_module_of_plans_is_defined_twice():
+    import ast
+    from pathlib import Path
+
+    from dynofleet import plans
+
+    for file in Path(plans.__path__[0]).glob("*.py"):
+        body = ast.parse(file.read_text()).body
+        names = [n.name for n in body if isinstance(n, ast.FunctionDef) and n.name != "_"]
+        names += [t.id for n in body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
+        assert len(names) == len(set(names)), file
