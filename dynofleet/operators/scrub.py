@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dynofleet.sources import splits
-from dynofleet.sources.logs import log_lines, parse_lines, parse_logs
+from dynofleet.sources.files import listed_files
+from dynofleet.sources.logs import channels_of, log_lines, parse_logs
+from dynofleet.sources.tables import dropped
 
 # A vehicle number (17 characters of its alphabet, a digit and a letter among them), the
 # notes line, and channels that tell a place.
@@ -36,13 +38,22 @@ def location_columns(channels: DataFrame) -> DataFrame:
     return channels.groupBy("log_id").agg(F.count("*").alias("width"), F.collect_list(at).alias("drop")).filter(F.size("drop") > 0)
 
 
+def without_places(line: Column) -> Column:
+    """A line without its log's place columns (``width``, ``drop``); it is only cut if it has as many fields as the log has columns."""
+    fields = F.split(line, ",")
+    kept = F.array_join(F.filter(fields, lambda c, i: ~F.array_contains(F.col("drop"), i)), ",")
+    return F.when(F.size(fields) == F.col("width"), kept).otherwise(line)
+
+
 def scrub_location(lines: DataFrame, channels: DataFrame) -> DataFrame:
-    """Lines with place columns taken out; only lines with as many fields as the log has columns are cut."""
+    """Lines with place columns taken out."""
     cut = lines.join(location_columns(channels), "log_id", "left")
-    fields = F.split("line", ",")
-    kept = F.array_join(F.filter(fields, lambda c, i: ~F.array_contains(F.col("drop"), i)), ",")
     rest = [c for c in lines.columns if c not in ("log_id", "line_no", "line")]
-    return cut.select("log_id", "line_no", F.when(F.size(fields) == F.col("width"), kept).otherwise(F.col("line")).alias("line"), *rest)
+    return cut.select("log_id", "line_no", without_places(F.col("line")).alias("line"), *rest)
+
+
+def cleaned(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("line", scrub_notes(scrub_vins(F.col("line"))))
 
 
 def scrub_lines(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
@@ -50,9 +61,7 @@ def scrub_lines(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 
     Vehicle numbers and notes never cross a line. ``heads``: as for ``logs.parse_lines``, so that channels come from them alone.
     """
-    channels, _ = parse_lines(lines if heads is None else heads)
-    clean = lines.withColumn("line", scrub_notes(scrub_vins(F.col("line"))))
-    return scrub_location(clean, channels)
+    return scrub_location(cleaned(lines), channels_of(lines if heads is None else heads))
 
 
 def scrub_logs(logs: DataFrame) -> DataFrame:
@@ -64,9 +73,10 @@ def scrub_logs(logs: DataFrame) -> DataFrame:
 
 def write_scrubbed(spark: SparkSession, source: str, target: str, part_bytes: int = splits.PART) -> None:
     """Every log file under ``source`` redacted into the same place under ``target``, byte for byte the same elsewhere."""
-    heads = splits.read_heads(spark, source)
-    base = splits.located(source)[2] + splits.located(source)[1]
-    splits.write_logs(scrub_lines(splits.read_lines(spark, source, part_bytes), heads), target, base)
+    listed = listed_files(spark, source)
+    heads = splits.read_heads(spark, source, listed)
+    splits.rewrite_logs(listed, source, target, lambda lines: cleaned(lines).withColumn("line", without_places(F.col("line"))), location_columns(channels_of(heads)), part_bytes)
+    dropped(listed, heads)
 
 
 def scrub_check(logs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dynofleet.operators import scrub
@@ -12,7 +12,7 @@ from dynofleet.operators.report import write_readings
 from dynofleet.plans import dense, flash
 from dynofleet.plans.standins import table
 from dynofleet.sources import files, images, splits
-from dynofleet.sources.tables import shared_folder
+from dynofleet.sources.tables import dropped, shared_folder
 
 QUERIES, SQL = {}, {}
 
@@ -40,6 +40,21 @@ def in_folders(ending: str) -> F.Column:
     return F.concat(F.expr("doc_id div 1000").cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(ending))
 
 
+#: Bytes of disk that the files of one portion take, in blocks of 4 KB.
+PORTION = 256 << 20
+
+
+def portions(logs: DataFrame) -> list[DataFrame]:
+    """``logs`` (doc_id, content) in ranges of doc_id: as few of 1, 2, 4, 8 as take PORTION each, else 8; together they hold every row, none is empty."""
+    eighths = F.percentile_approx("doc_id", [i / 8 for i in range(1, 8)], 10_000)
+    n, size, at, last = logs.agg(F.count("*"), F.sum(F.ceil(F.octet_length("content") / 4096) * 4096), eighths, F.max("doc_id")).first()
+    many = next((k for k in (1, 2, 4) if (size or 0) <= k * PORTION), 8)
+    bounds = sorted({x for x in (at or [])[8 // many - 1 :: 8 // many] if x < last})
+    key, places = F.col("doc_id"), [None, *bounds, None]
+    within = lambda a, b: (F.lit(True) if a is None else key > a) & (F.lit(True) if b is None else key <= b)
+    return [logs.filter(within(a, b) | key.isNull() if a is None else within(a, b)) for a, b in zip(places, places[1:], strict=False)] if n else []
+
+
 # ---- texts play logs: a header with two columns that tell a place, a vehicle number, notes, then the text
 @query(
     "write_scrubbed",
@@ -47,15 +62,24 @@ def in_folders(ending: str) -> F.Column:
     SELECT doc_id || '.csv' AS name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM t""",
 )
 def _(spark, d):
+    """Portion by portion: a text stands in two files until it is hashed, and a file takes a block of disk at least."""
     docs = table(spark, d, "documents").filter("text is not null")
     vin = F.concat(F.lit("1ZZTEST99Z"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))
     text = F.concat_ws("\n", F.lit("Time,RPM,GPS Latitude,GPS Longitude"), F.concat(F.col("doc_id").cast("string"), F.lit(",900,51.5,"), vin), F.concat(F.lit("Notes: seen "), vin, F.lit(" today")), F.translate("text", ",", ";"))
-    source, target = folder(spark), folder(spark)
-    split = docs.select(in_folders(".csv").alias("log_id"), F.split(text, "\n").alias("lines")).withColumn("n", F.size("lines"))
-    lines = split.select("log_id", "n", F.posexplode("lines").alias("line_no", "line"))
-    splits.write_logs(lines.withColumn("ending", F.when(F.col("line_no") + 1 < F.col("n"), "\n").otherwise("")), source)
-    scrub.write_scrubbed(spark, source, target)
-    return files.hashed_files(files.listed_files(spark, target)).select(named("path").alias("name"), "size", "sha256")
+    logs, found, schema = docs.select("doc_id", in_folders(".csv").alias("name"), text.alias("content")), folder(spark), "name string, size long, sha256 string"
+    some_of = portions(logs)
+    for some in some_of:
+        source, target = folder(spark), folder(spark)
+        try:
+            splits.write_files(some, source)
+            scrub.write_scrubbed(spark, source, target)
+            listed = files.listed_files(spark, target)
+            files.hashed_files(listed).select(named("path").alias("name"), "size", "sha256").write.mode("append").parquet(found)
+            dropped(listed)
+        finally:
+            for made in (source, target):
+                files.removed(spark, made)
+    return spark.read.schema(schema).parquet(found) if some_of else spark.createDataFrame([], schema)
 
 
 @query("write_readings", dense.SQL["maf_bins"].replace("SELECT log_id, bin_from", "SELECT '2026-01-' || lpad(CAST(log_id % 28 + 1 AS VARCHAR), 2, '0') AS log_date, log_id, bin_from", 1))

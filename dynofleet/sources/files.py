@@ -31,10 +31,14 @@ def located(path: str) -> tuple[pafs.FileSystem, str, str]:
 FILES, BYTES = 2_000, 64 << 20
 
 
-def dealt(files: DataFrame, *keys: str) -> DataFrame:
-    """``files`` dealt by ``keys`` to as many tasks as their number and size ask for; such a table is too small for Spark to see the work in it."""
-    size = F.sum("size") if "size" in files.columns else F.lit(0)
-    n, total = files.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+def dealt(files: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
+    """``files`` dealt by ``keys`` to as many tasks as their number and size ask for; such a table is too small for Spark to see the work in it.
+
+    ``like``: rows of the same number and size that cost less to count.
+    """
+    counted = files if like is None else like
+    size = F.sum("size") if "size" in counted.columns else F.lit(0)
+    n, total = counted.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
     return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, n // FILES, total // BYTES), *keys)
 
 
@@ -62,14 +66,36 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
     there = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(root) or []
     if not there:
         raise FileNotFoundError(path)
-    level, n, found = spark.range(1).select(F.explode(F.lit([f.getPath().toString() for f in there])).alias("path")), len(there), None
+    level, n, found, at = spark.range(1).select(F.explode(F.lit([f.getPath().toString() for f in there])).alias("path")), len(there), None, []
     while n:
         listed = written(level.repartition(min(n, max(spark.sparkContext.defaultParallelism, n // 100)), "path").mapInArrow(_entries, "path string, size long, modified timestamp, folder boolean"))
         files, level = listed.filter("not folder").drop("folder"), listed.filter("folder").select("path")
         found, n = files if found is None else found.union(files), level.count()
+        at += listed._written_at
+    found._written_at = at
     return found
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete the folder ``path``, if it is there; tasks delete what stands in it."""
+    fs, inside, before = located(path)
+    if fs.get_file_info(inside).type == pafs.FileType.NotFound:
+        return
+    within = [before + f.path for f in fs.get_file_info(pafs.FileSelector(inside)) if f.type == pafs.FileType.Directory]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in b.column("path").to_pylist():
+                fs, folder, _ = located(at)
+                if fs.get_file_info(folder).type != pafs.FileType.NotFound:  # another attempt of the task may have been here
+                    fs.delete_dir(folder)
+            yield pa.RecordBatch.from_pydict({"removed": [b.num_rows]})
+
+    if within:
+        dealt(spark.createDataFrame([(x,) for x in within], "path string"), "path").mapInArrow(task, "removed long").collect()
+    fs.delete_dir(inside)
+
+
 def hashed_files(files: DataFrame) -> DataFrame:
     """``files`` with sha256 of what each path holds, null where it can't be read; files are streamed, of any size."""
 

@@ -129,13 +129,22 @@ def parse_lines(lines: DataFrame, heads: DataFrame | None = None) -> tuple[DataF
     return channels, cells_of(rows)
 
 
-def parse_rows(lines: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The same with one row a data line: log_id, row_no, values, words (by ordinal), filled (cells that hold either)."""
-    frames = _frames(lines if heads is None else heads)
+def channels_of(heads: DataFrame) -> DataFrame:
+    """log_channel of the first lines of every log (log_id, line_no, line), at least up to its first data line; samples are not read."""
+    return _channels(_frames(heads))
+
+
+def _channels(frames: DataFrame) -> DataFrame:
     named = frames.select("log_id", "format", "ids", "units", F.posexplode("names").alias("ordinal", "name"))
     unit = F.get("units", F.col("ordinal"))
     header = F.when(F.col("format") == "sectioned", merge_units(F.col("name"), unit)).otherwise(F.col("name"))
-    channels = named.select("log_id", "ordinal", F.get("ids", F.col("ordinal")).alias("parameter_id"), "name", unit.alias("unit_text"), header.alias("header"), "format")
+    return named.select("log_id", "ordinal", F.get("ids", F.col("ordinal")).alias("parameter_id"), "name", unit.alias("unit_text"), header.alias("header"), "format")
+
+
+def parse_rows(lines: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same with one row a data line: log_id, row_no, values, words (by ordinal), filled (cells that hold either)."""
+    frames = _frames(lines if heads is None else heads)
+    channels = _channels(frames)
     begin = written(frames.select("log_id", (F.col("format") == "sectioned").alias("sectioned"), F.col("begin").cast("long").alias("begin")))  # one row a log, joined to all lines
     body = lines.join(begin, "log_id").filter((F.trim("line") != "") & (F.col("line_no") > F.col("begin")))
     data = body.filter(~F.col("sectioned") | ~F.trim("line").startswith("["))

@@ -26,14 +26,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_at = path
+    out._written_at = [path]
     return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more."""
+    """Delete tables made by ``written`` (and listings made of them) that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_written_at", None)
-        if path:
+        for path in getattr(df, "_written_at", []):
             where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -138,3 +138,60 @@ def test_tasks_list_folders_and_write_files_so_the_driver_holds_no_names(spark,
     with pytest.raises(ValueError, match="two logs"):
         splits.write_files(rows.limit(2).withColumn("name", F.lit("a.txt")), str(tmp_path / "twice"))
     assert not [p for p in (tmp_path / "twice").rglob("*") if p.is_file()]
+
+
+def test_redaction_shuffles_no_line_and_heads_hold_what_the_parser_needs(spark, folder, monkeypatch):
+    plans, write = [], splits._write
+    monkeypatch.setattr(splits, "_write", lambda files, *a: (plans.append(files._jdf.queryExecution().executedPlan().toString()), write(files, *a)))
+    scrub.write_scrubbed(spark, str(folder / "in"), str(folder / "out"), 300)
+    assert len(plans) == 1 and "Exchange" not in plans[0].split("MapInArrow")[0] and "Sort" not in plans[0].split("MapInArrow")[0]
+    heads = {}
+    for r in splits.read_heads(spark, str(folder / "in")).collect():
+        heads.setdefault(r.log_id.removeprefix(f"file://{folder}/in/"), []).append((r.line_no, r.line))
+    assert heads["a/plain.csv"] == [(0, "Time,RPM,ECT"), (1, "s,rpm,C")] and heads["b/bare.csv"] == [(1, "Time,RPM"), (2, "1,2")]
+    assert [x for _, x in sorted(heads["b/marked.csv"])[-3:]] == ["Offset,RPM", "[Channel Data]", "1,2"]
+
+
+def test_texts_are_redacted_in_portions_of_which_nothing_stays(spark, tmp_path, monkeypatch):
+    import hashlib
+    from pathlib import Path
+
+    from dynofleet.plans import stored
+
+    rows = [(i * 7, f"a,{i}\n" * (i % 50)) for i in range(300)] + [(-5, "first\r\n"), (9000, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    place, scrubbed, seen = Path(stored.shared_folder(spark).removeprefix("file://")), scrub.write_scrubbed, []
+    files_there = lambda: {p for p in place.rglob("*.csv")}
+    monkeypatch.setattr(scrub, "write_scrubbed", lambda *a: (scrubbed(*a), seen.append(len(files_there() - before))))
+    got = {}
+    for portion in (stored.PORTION, 4096 * 120):
+        monkeypatch.setattr(stored, "PORTION", portion)
+        before = files_there()
+        seen.clear()
+        found = stored.QUERIES["write_scrubbed"](spark, str(tmp_path)).collect()
+        got[len(seen)] = sorted(map(tuple, found))
+        assert sum(seen) == 2 * 302 and max(seen) <= 2 * (302 // len(seen) + 2)  # one portion's files at a time, in both folders
+        assert files_there() == before
+    whole = {i: f"Time,RPM\n{i},900\nNotes:\n" + t.replace(",", ";") for i, t in rows if t is not None}
+    want = sorted((f"{i}.csv", len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, t in whole.items())
+    assert got == {1: want, 4: want}
+    for n, of in ((1, 1), (5, 5), (302, 8)):  # portions hold every row once, and none is empty
+        logs = spark.createDataFrame([(i * 3 - 7, "x" * 5000) for i in range(n)], "doc_id long, content string")
+        monkeypatch.setattr(stored, "PORTION", 1)
+        some = [[r.doc_id for r in p.collect()] for p in stored.portions(logs)]
+        assert len(some) == of and sorted(sum(some, [])) == [i * 3 - 7 for i in range(n)]
+    assert stored.QUERIES["write_scrubbed"](spark, f"{tmp_path}/none").collect() == []
+
+
+def test_a_failed_redaction_leaves_nothing(spark, tmp_path):
+    from pathlib import Path
+
+    from dynofleet.plans import stored
+
+    place = Path(stored.shared_folder(spark).removeprefix("file://"))
+    before = set(place.rglob("*.csv"))
+    spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(ValueError, match="two logs"):
+        stored.QUERIES["write_scrubbed"](spark, str(tmp_path))
+    assert set(place.rglob("*.csv")) == before
