@@ -45,14 +45,19 @@ PORTION = 256 << 20
 
 
 def portions(logs: DataFrame) -> list[DataFrame]:
-    """``logs`` (doc_id, content) in ranges of doc_id: as few of 1, 2, 4, 8 as take PORTION each, else 8; together they hold every row, none is empty."""
+    """``logs`` (doc_id, name, content) in ranges of doc_id: as few of 1, 2, 4, 8 as take PORTION each, else 8; together they hold every row, none is empty.
+
+    Each is dealt to many tasks, as files take far more time to write than rows to read, of which a task may read very many.
+    """
     eighths = F.percentile_approx("doc_id", [i / 8 for i in range(1, 8)], 10_000)
     n, size, at, last = logs.agg(F.count("*"), F.sum(F.ceil(F.octet_length("content") / 4096) * 4096), eighths, F.max("doc_id")).first()
     many = next((k for k in (1, 2, 4) if (size or 0) <= k * PORTION), 8)
     bounds = sorted({x for x in (at or [])[8 // many - 1 :: 8 // many] if x < last})
     key, places = F.col("doc_id"), [None, *bounds, None]
     within = lambda a, b: (F.lit(True) if a is None else key > a) & (F.lit(True) if b is None else key <= b)
-    return [logs.filter(within(a, b) | key.isNull() if a is None else within(a, b)) for a, b in zip(places, places[1:], strict=False)] if n else []
+    some = [logs.filter(within(a, b) | key.isNull() if a is None else within(a, b)) for a, b in zip(places, places[1:], strict=False)] if n else []
+    tasks = max(logs.sparkSession.sparkContext.defaultParallelism, n // many // files.FILES)
+    return [x.repartition(tasks, "name") for x in some]
 
 
 # ---- texts play logs: a header with two columns that tell a place, a vehicle number, notes, then the text

@@ -177,10 +177,11 @@ def test_texts_are_redacted_in_portions_of_which_nothing_stays(spark, tmp_path,
     want = sorted((f"{i}.csv", len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, t in whole.items())
     assert got == {1: want, 4: want}
     for n, of in ((1, 1), (5, 5), (302, 8)):  # portions hold every row once, and none is empty
-        logs = spark.createDataFrame([(i * 3 - 7, "x" * 5000) for i in range(n)], "doc_id long, content string")
+        logs = spark.createDataFrame([(i * 3 - 7, f"{i}", "x" * 5000) for i in range(n)], "doc_id long, name string, content string").coalesce(1)
         monkeypatch.setattr(stored, "PORTION", 1)
         some = [[r.doc_id for r in p.collect()] for p in stored.portions(logs)]
         assert len(some) == of and sorted(sum(some, [])) == [i * 3 - 7 for i in range(n)]
+        assert n < 300 or all(p.select(F.spark_partition_id()).distinct().count() > 1 for p in stored.portions(logs))  # though one task reads them
     assert stored.QUERIES["write_scrubbed"](spark, f"{tmp_path}/none").collect() == []
 
 
